@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, pii, warc
+from . import decontam, embed, langid, lines, lm, mixing, ngram_join, pii, spans, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +17,14 @@ def _remainder(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     places = [F.round(c, 6).alias(c) for c in ("position", "position_again")]
@@ -37,6 +43,18 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN best <> page_id THEN
 """
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), _remainder("doc_id", 7) != 2)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii_spans")
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
@@ -68,5 +86,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op4_arc_to_warc, op8_pii, op9_line_dedup, op10_language_id)}
+OPERATORS = (
+    op1_decontaminate, op2_ngram_join, op3_mix_sources, op4_arc_to_warc, op5_class_lm, op6_embedding_dedup, op7_span_dedup, op8_pii,
+    op9_line_dedup, op10_language_id,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
+#: Where SQL can express the whole result; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op4_arc_to_warc": OP4_SQL, "op9_line_dedup": OP9_SQL}
