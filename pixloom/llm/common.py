@@ -53,36 +53,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``links`` (a, b): one row (node, component), the smallest node reachable.
+    """Connected components of undirected ``links`` (a, b): (node, component) with the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Each step groups by
-    a node only to take a minimum, so a hub is combined before the shuffle; the joins that bring the minimum
-    back are plain equi-joins, whose hot keys adaptive execution splits. Each round is written to the shared folder.
-    Nodes without any link don't appear. Null ends and self-links are ignored.
+    Rows are the nodes that have a smaller one in reach; a component's smallest node, and nodes without links, don't appear.
+    Alternates large-star and small-star steps (Kiveris et al., 2014), each a minimum by node, combined before the
+    shuffle, and an equi-join that brings it back, whose hot keys adaptive execution splits. No step makes more rows than
+    there are links. Each round is written to the shared folder. Null ends and self-links are ignored.
     """
-    spark = links.sparkSession
-    edges = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     for _ in range(rounds):
+        edges = stored(edges, "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        before = now
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "large-star")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        nexts = large.join(small, "u").select(F.col("v").alias("x"), F.col("u").alias("y"), "m")
-        nexts = (
-            nexts.select(F.col("x").alias("u"), F.col("m").alias("v")).union(nexts.select("y", "m")).where("u <> v").distinct()
-        )
-        edges = stored(nexts, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    # Every node now points at its root, or is one.
-    root = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("component", "node").alias("component"))
+        edges = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -125,7 +125,7 @@ def _points(shingle: int, percent: int, sent):
 
 
 def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node) sorted by key, those whose key has more; the first and last row of a partition stay,
+    """Of rows (key, node, n) sorted by key, those whose key has more; the first and last row of a partition stay,
     as their key may go on in another one."""
     last: pa.RecordBatch | None = None  # not yet given out
     key, begun = None, False
@@ -162,8 +162,11 @@ def survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, rank) that the bound on fine groups leaves."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
-    near = pairs.join(a.drop("fa"), "a").join(b.drop("fb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "rank")
-    return near.join(a, "a").join(b, "b").select("a", "b", "rank", "na", "fa", "nb", "fb").mapInArrow(_bounded(percent), "a long, b long, rank long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "rank", "na", "fa", "nb", "fb").mapInArrow(_bounded(percent), "a long, b long, rank long")
+
+
+def _sizes_fit(percent: int, a: str, b: str) -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
 def _verified(shingle: int, percent: int):
@@ -189,56 +192,66 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some documents. A list of ids within MOST_SENT goes to all tasks; a longer one is joined."""
     ids = stored(ids.distinct().withColumnRenamed("node", "doc_id"), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi")
+    return stored(docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi"), "texts")
+
+
+#: Rows and pairs of points that a task looks at together.
+_ROWS, _PAIRS = 1 << 16, 1 << 19
 
 
 def _in_leaves(percent: int):
-    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, coarse) sorted by item."""
+    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, coarse) sorted by item.
+
+    A pair of leaves is an item; side 2 marks a leaf that meets itself. Many items are scanned together.
+    """
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        side, node, n, part = (t.column(c).to_numpy() for c in ("side", "node", "n", "component"))
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        item, side, node, n, part = (t.column(c).to_numpy() for c in ("item", "side", "node", "n", "component"))
         counts = t.column("coarse").combine_chunks().flatten().to_numpy().reshape(-1, COARSE)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found_a, found_b = [], []
-        for i in left:
-            near = right[(part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if side[i] == 2:
-                near = near[near > i]  # a leaf with itself
-            room = np.minimum(counts[near], counts[i]).sum(1) * (100 + percent) >= percent * (n[near] + n[i])
-            found_b.append(node[near[room]])
-            found_a.append(np.full(len(found_b[-1]), node[i]))
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (found_a, found_b))
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+        bounds = np.concatenate([[0], np.flatnonzero(item[1:] != item[:-1]) + 1, [len(item)]])
+        after = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(item)) - 1
+        total = np.concatenate([[0], np.cumsum(after)])
+        lo = 0
+        while lo < len(item):
+            # Every row with all later ones of its item, for as many rows as make about _PAIRS pairs.
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(lo, hi), after[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], after[lo:hi])
+            lo = hi
+            keep = (part[i] != part[j]) & ((side[i] == 2) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            room = np.minimum(counts[i], counts[j]).sum(1) * (100 + percent) >= percent * (n[i] + n[j])
+            a, b = np.minimum(node[i[room]], node[j[room]]), np.maximum(node[i[room]], node[j[room]])
+            pair = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             items = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(items[1:] != items[:-1]) + 1, [len(items)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and items[lo] != key:
-                    yield pairs(held)
-                    held = []
-                key = items[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield pairs(held)
+            cut = 0
+            if size + len(items) >= _ROWS and len(items):  # up to the last item's first row
+                other = np.flatnonzero(items != items[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, size = [], 0
+            held.append(batch.slice(cut))
+            size += len(items) - cut
+        if size:
+            yield from pairs(pa.Table.from_batches(held))
 
     return each
 
 
 def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from rows (key, node, n, component) of slabs that hold several."""
-    sizes = filed.groupBy("key").agg(F.count("*").alias("in_slab"))
+    """Candidate pairs (a, b) of different components, from rows (key, node, n, component, in_slab) of slabs that hold several."""
     # Leaves are bands of size; a band that is too full for one leaf is dealt by the node's hash.
     leaf = F.concat_ws(".", F.floor(F.log("n") / F.log(F.lit(1.25))), F.pmod(F.hash("node"), F.ceil(F.col("in_slab") / LEAF).cast("int")))
-    points = filed.join(sizes, "key").withColumn("leaf", F.when(F.col("in_slab") <= LEAF, F.lit("")).otherwise(leaf))
-    points = stored(points.join(nodes.select("node", "coarse"), "node"), "tree-points")
+    points = filed.withColumn("leaf", F.when(F.col("in_slab") <= LEAF, F.lit("")).otherwise(leaf))
+    points = stored(points.drop("in_slab").join(nodes.select("node", "coarse"), "node"), "tree-points")
     highest = F.array(*(F.max(F.col("coarse")[i]) for i in range(COARSE)))
     bounds = points.groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"), highest.alias("high"))
     bounds = stored(bounds, "tree-leaves")
@@ -257,7 +270,7 @@ def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 # ---- the operator ------------------------------------------------------------------------------------------------
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, centres: int = 8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, class_id.
 
     Words are runs without space and \\t to \\r, A-Z lower-cased; a text of fewer than ``shingle`` words is one shingle, one
@@ -267,8 +280,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id have n_shingles and null for the rest. Rows that share an id are one document that has
     the links of each. Ids must be integers. Other columns aren't read; an empty table gives an empty table.
 
-    Before the search that is exact, ``rounds`` cheap rounds link points to one point of each slab, so that dense groups
-    become one component and need no further pairs; they only ever add verified links.
+    Before the search that is exact, points are compared with the first one of their slabs, then the rest of dense slabs
+    with a few ``centres`` more, so that dense groups become one component and need no further pairs; this only ever
+    adds verified links.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,33 +297,65 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = stored(points.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "members")
     nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["node", "s1", "s2"]).select("node", "n", "coarse", "fine", "lead")
     nodes = stored(nodes, "nodes")
-    entries = nodes.select(F.explode("lead").alias("key"), "node")
+    entries = nodes.select(F.explode("lead").alias("key"), "node", "n")
     entries = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    entries = stored(entries.mapInArrow(_not_alone, "key long, node long"), "filed")
+    entries = stored(entries.mapInArrow(_not_alone, "key long, node long, n long"), "filed")
 
     # Rows of one id with different sets are one document.
     several = members.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    links = stored(members.join(several, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b")), "links")
-    texts, parts = None, None
-    for turn in range(rounds + 1):
-        filed = entries.withColumn("component", F.col("node")) if parts is None else _with_component(entries, parts)
-        mixed = filed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("centre")).where("c0 <> c1")
-        open_rows = filed.join(mixed.select("key", "centre"), "key")
-        if turn < rounds:
-            pairs = open_rows.where("component <> centre.component").select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
-            pairs = survivors(pairs.groupBy("a", "b").agg(F.count("*").alias("rank")), nodes, percent)
-            # The likeliest centre of each point.
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("rank", F.col("a") * -1)).alias("a"))
-        else:
-            open_rows = open_rows.join(nodes.select("node", "n"), "node").select("key", "node", "n", "component")
-            pairs = survivors(_search_leaves(open_rows, nodes, percent).withColumn("rank", F.lit(0).cast("long")), nodes, percent)
-        pairs = stored(pairs.select("a", "b"), "pairs")
-        texts = _texts_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        links = links.union(verified(pairs, texts, shingle, percent))
-        parts = components(links)
-    found = members.join(parts.withColumnRenamed("component", "component_id"), "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "node", "doc_id").alias("component_id"), F.coalesce("node", "doc_id").alias("class_id"))
-
-
-def _with_component(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    return entries.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    same = members.join(several, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+
+    # Cheap links first: to the first point of each slab; then, where those are many, from the rest to some of them.
+    first = survivors(_to_first(entries, percent), nodes, percent)
+    first = first.groupBy("b").agg(F.max_by("a", F.struct("rank", -F.col("a"))).alias("a"))
+    parts = components(same.union(_links(first, docs, shingle, percent)))
+    some = survivors(_to_linked(_mixed(entries, parts), centres, percent), nodes, percent)
+    parts = _merged(parts, _links(some, docs, shingle, percent))
+    # Then every pair of points of a slab whose components differ.
+    rest = survivors(_search_leaves(_mixed(entries, parts), nodes, percent).withColumn("rank", F.lit(0).cast("long")), nodes, percent)
+    parts = _merged(parts, _links(rest, docs, shingle, percent))
+    found = members.join(parts, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"), F.coalesce("node", "doc_id").alias("class_id"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    return verified(pairs, texts, shingle, percent)
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links: only the components that these join are settled anew."""
+    at = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    ends = links.join(at, "a", "left").join(at.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+    more = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    old = parts.join(more.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    new = more.join(parts.select("node"), "node", "left_anti").select("node", "component")
+    return stored(old.unionByName(new), "parts")
+
+
+def _mixed(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node, n, component, in_slab, lead) of slabs with several components; lead is that of the first point."""
+    filed = entries.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    slabs = filed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("in_slab"), F.min_by("component", "node").alias("lead"))
+    return stored(filed.join(slabs.where("c0 <> c1").select("key", "in_slab", "lead"), "key"), "mixed")
+
+
+def _to_first(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b, rank): points b with the first point a of their slab, and the number of slabs in which they meet so."""
+    slabs = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min_by("n", "node").alias("na")).where("a < z").drop("z")
+    met = entries.join(slabs, "key").where("node <> a").where(_sizes_fit(percent, "n", "na"))
+    return met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("rank"))
+
+
+def _to_linked(mixed: DataFrame, centres: int, percent: int) -> DataFrame:
+    """(a, b, rank): in slabs where several points are in the first one's component, the others with ``centres`` of these.
+
+    Which ones depends on the points alone, so slabs of much the same points take much the same ones.
+    """
+    inside = F.col("component") == F.col("lead")
+    chosen = [F.min_by(F.struct("node", "n"), F.when(inside, F.xxhash64("node", F.lit(k)))) for k in range(centres)]
+    slabs = mixed.groupBy("key").agg(F.sum(inside.cast("int")).alias("many"), F.array(*chosen).alias("chosen")).where("many > 2").drop("many")
+    met = mixed.where(~inside).select("key", "node", "n").join(slabs, "key").select("node", "n", F.explode(F.array_distinct("chosen")).alias("to"))
+    met = met.where(_sizes_fit(percent, "n", "to.n"))
+    return met.groupBy(F.col("to.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("rank"))
