@@ -10,7 +10,7 @@ over the cluster:
   in the slab of each leading group, and every link lies in a slab.
 * A slab's points are packed into leaves by size. A leaf keeps its bounds: least and largest size, and the largest count
   per coarse group. Pairs of leaves, then of points, survive only where sizes and the sum of minima allow it.
-* Surviving pairs are bounded again on finer groups, as many as suit their size, and then verified on their whole texts.
+* Surviving pairs are bounded again on finer groups, about as many as shingles, and then verified on their whole texts.
 
 Equal sets are one class from the start, and points that are known to be in one component are not compared again, so
 large groups of copies cost neither pairs nor texts. Only links between different sets are looked for.
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .textkit import U, Words, as_text, mix, shingle_sets, slices
 
-#: Coarse groups, carried with each filed point; fine groups number a power of two near n / 4, within these.
-COARSE, FINE_LEAST, FINE_MOST = 32, 32, 4096
+#: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
+COARSE, NEAR, FINE_MOST = 32, 128, 16384
+#: The highest count that a point's vector holds; it stands for any number from there on.
+_MANY = 127
 #: Points in a leaf, about; ids that are sent to all tasks at most (else the texts are shuffled); frequent shingles known by name.
-LEAF, MOST_SENT, MOST_FREQUENT = 512, 1 << 20, 1 << 17
-#: A shingle is frequent in a stretch of documents that hold it in this share, and this often at least.
-_SHARE, _TIMES, _STRETCH = 0.005, 8, 4096
+LEAF, MOST_SENT, MOST_FREQUENT = 512, 1 << 20, 1 << 19
+#: A shingle is frequent if, in a stretch of documents, so many hold it.
+_TIMES, _STRETCH = 4, 4096
 
 
 def lead_length(n: int, percent: int = 80) -> int:
@@ -42,17 +44,22 @@ def lead_length(n: int, percent: int = 80) -> int:
 
 
 def fine_groups(n: int) -> int:
-    return 1 << (min(FINE_MOST, max(FINE_LEAST, n // 4)).bit_length() - 1)
+    return 1 << (min(FINE_MOST, max(NEAR, n)).bit_length() - 1)
 
 
-def group_counts(hashes: np.ndarray, groups: int) -> np.ndarray:
+def _grouped(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes >> U(64 - (groups.bit_length() - 1))).astype(np.int64), minlength=groups)
 
 
+def group_counts(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return np.minimum(_grouped(hashes, groups), _MANY).astype(np.int8)
+
+
 def may_link(na: int, nb: int, fa: np.ndarray, fb: np.ndarray, percent: int) -> bool:
     """Whether sizes and summed minima leave room for percent * union <= 100 * intersection."""
     if 100 * min(na, nb) < percent * max(na, nb):
         return False
+    fa, fb = (np.where(f == _MANY, n, f.astype(np.int64)) for f, n in ((fa, na), (fb, nb)))
     while len(fa) > len(fb):
         fa = fa.reshape(-1, 2).sum(1)
     while len(fb) > len(fa):
@@ -92,11 +99,11 @@ def _frequent(shingle: int):
 
 def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     h, n = np.unique(np.concatenate([*held, np.zeros(0, U)]), return_counts=True)
-    often = n >= max(_TIMES, _SHARE * len(held))
+    often = n >= _TIMES
     return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
 
-_POINT = "doc_id long, n long, s1 long, s2 long, coarse array<int>, fine array<int>, lead array<long>"
+_POINT = "doc_id long, n long, s1 long, s2 long, coarse array<int>, near array<tinyint>, fine array<tinyint>, lead array<long>"
 
 
 def _points(shingle: int, percent: int, sent):
@@ -105,21 +112,22 @@ def _points(shingle: int, percent: int, sent):
         for batch in batches:
             text = as_text(batch.column(1))
             for lo, hi in slices(text):
-                ns, s1, s2, coarse, fine, lead = [], [], [], [], [], []
+                ns, s1, s2, coarse, near, fine, lead = [], [], [], [], [], [], []
                 for h in shingle_sets(Words(text, lo, hi), shingle):
                     n = len(h)
                     ns.append(n)
                     s1.append(mix(h, 1).sum(dtype=U))
                     s2.append(mix(h, 2).sum(dtype=U))
-                    coarse.append(group_counts(h, COARSE))
+                    coarse.append(_grouped(h, COARSE))
+                    near.append(group_counts(h, NEAR))
                     fine.append(group_counts(h, fine_groups(n)))
                     if n:
                         late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(n, bool)
                         h = np.concatenate([h[~late], h[late]])[: lead_length(n, percent)]
                     lead.append(h.view(np.int64))
                 sums = [pa.array(np.array(s, U).view(np.int64)) for s in (s1, s2)]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(ns, pa.int64()), *sums, _list(coarse, pa.int32()), _list(fine, pa.int32()), _list(lead, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "coarse", "fine", "lead"])
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(ns, pa.int64()), *sums, _list(coarse, pa.int32()), _list(near, pa.int8()), _list(fine, pa.int8()), _list(lead, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "coarse", "near", "fine", "lead"])
 
     return each
 
@@ -160,6 +168,8 @@ def _bounded(percent: int):
 
 def survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, rank) that the bound on fine groups leaves."""
+    pairs = stored(pairs, "candidates")
+    nodes = _some_of(nodes.select("node", "n", "fine"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "rank", "na", "fa", "nb", "fb").mapInArrow(_bounded(percent), "a long, b long, rank long")
@@ -189,10 +199,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents. A list of ids within MOST_SENT goes to all tasks; a longer one is joined."""
-    ids = stored(ids.distinct().withColumnRenamed("node", "doc_id"), "ids")
-    return stored(docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi"), "texts")
+def _some_of(table: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """Some rows of a table. A list of ids within MOST_SENT goes to all tasks; a longer one is joined."""
+    ids = stored(ids.distinct().toDF(by), "ids")
+    return table.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, by, "left_semi")
 
 
 #: Rows and pairs of points that a task looks at together.
@@ -200,7 +210,7 @@ _ROWS, _PAIRS = 1 << 16, 1 << 19
 
 
 def _in_leaves(percent: int):
-    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, coarse) sorted by item.
+    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, near) sorted by item.
 
     A pair of leaves is an item; side 2 marks a leaf that meets itself. Many items are scanned together.
     """
@@ -208,7 +218,8 @@ def _in_leaves(percent: int):
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         item, side, node, n, part = (t.column(c).to_numpy() for c in ("item", "side", "node", "n", "component"))
-        counts = t.column("coarse").combine_chunks().flatten().to_numpy().reshape(-1, COARSE)
+        counts = t.column("near").combine_chunks().flatten().to_numpy().reshape(-1, NEAR)
+        full = counts.max(1) == _MANY
         bounds = np.concatenate([[0], np.flatnonzero(item[1:] != item[:-1]) + 1, [len(item)]])
         after = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(item)) - 1
         total = np.concatenate([[0], np.cumsum(after)])
@@ -221,7 +232,8 @@ def _in_leaves(percent: int):
             lo = hi
             keep = (part[i] != part[j]) & ((side[i] == 2) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[keep], j[keep]
-            room = np.minimum(counts[i], counts[j]).sum(1) * (100 + percent) >= percent * (n[i] + n[j])
+            room = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int32) * (100 + percent) >= percent * (n[i] + n[j])
+            room |= full[i] & full[j]
             a, b = np.minimum(node[i[room]], node[j[room]]), np.maximum(node[i[room]], node[j[room]])
             pair = np.unique(np.stack([a, b]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
@@ -251,7 +263,7 @@ def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     # Leaves are bands of size; a band that is too full for one leaf is dealt by the node's hash.
     leaf = F.concat_ws(".", F.floor(F.log("n") / F.log(F.lit(1.25))), F.pmod(F.hash("node"), F.ceil(F.col("in_slab") / LEAF).cast("int")))
     points = filed.withColumn("leaf", F.when(F.col("in_slab") <= LEAF, F.lit("")).otherwise(leaf))
-    points = stored(points.drop("in_slab").join(nodes.select("node", "coarse"), "node"), "tree-points")
+    points = stored(points.drop("in_slab").join(nodes.select("node", "coarse", "near"), "node"), "tree-points")
     highest = F.array(*(F.max(F.col("coarse")[i]) for i in range(COARSE)))
     bounds = points.groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"), highest.alias("high"))
     bounds = stored(bounds, "tree-leaves")
@@ -262,7 +274,7 @@ def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     meet = meet.select("key", "x_leaf", "y_leaf", F.xxhash64("key", "x_leaf", "y_leaf").alias("item"))
     sides = meet.select("key", F.col("x_leaf").alias("leaf"), "item", F.when(F.col("x_leaf") == F.col("y_leaf"), 2).otherwise(0).alias("side"))
     sides = sides.union(meet.where("x_leaf <> y_leaf").select("key", "y_leaf", "item", F.lit(1)))
-    dealt = sides.join(points, ["key", "leaf"]).select("item", "side", "node", "n", "component", "coarse")
+    dealt = sides.join(points, ["key", "leaf"]).select("item", "side", "node", "n", "component", "near")
     dealt = dealt.repartition("item").sortWithinPartitions("item")
     return dealt.mapInArrow(_in_leaves(percent), "a long, b long").distinct()
 
@@ -295,7 +307,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = points.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     members = stored(points.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "members")
-    nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["node", "s1", "s2"]).select("node", "n", "coarse", "fine", "lead")
+    nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("node", "n", "coarse", "near", "fine", "lead")
     nodes = stored(nodes, "nodes")
     entries = nodes.select(F.explode("lead").alias("key"), "node", "n")
     entries = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
@@ -320,7 +332,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    texts = _texts_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    texts = stored(_some_of(docs, pairs.select("a").union(pairs.select("b")), "doc_id"), "texts")
     return verified(pairs, texts, shingle, percent)
 
 
