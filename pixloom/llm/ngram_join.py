@@ -300,7 +300,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = docs.select("text").mapInArrow(_frequent(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # Which shingles are known as frequent decides the global order alone; any order finds every link.
-    named = often.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
+    named = often.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow()["h"].to_numpy()
     sent = spark.sparkContext.broadcast(np.sort(named.view(U)))
     points = stored(docs.mapInArrow(_points(shingle, percent, sent), _POINT), "points")
 
