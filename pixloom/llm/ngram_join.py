@@ -29,7 +29,7 @@ from .common import components, stored
 from .textkit import U, Words, as_text, mix, shingle_sets, slices
 
 #: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
-COARSE, NEAR, FINE_MOST = 32, 128, 16384
+COARSE, NEAR, FINE_MOST = 32, 256, 16384
 #: The highest count that a point's vector holds; it stands for any number from there on.
 _MANY = 127
 #: Points in a leaf, about; ids that are sent to all tasks at most (else the texts are shuffled); frequent shingles known by name.
