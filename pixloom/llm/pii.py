@@ -92,8 +92,9 @@ def find(text: str | None, window: int = 40, threshold: float = 0.45) -> list[tu
         around = f"{text[max(0, a - window) : a]} {text[b : b + window]}".lower()
         if any(w in CONTEXT[kind] for w in re.findall(r"[\w-]+", around)):
             score += NEARBY
+        score = round(min(score, 1.0), 2)  # before it is compared: 0.3 + 0.15 is less than 0.45
         if kind in BASE or score >= threshold:
-            out.append((kind, a, b, round(min(score, 1.0), 2), text[a:b]))
+            out.append((kind, a, b, score, text[a:b]))
     return out
 
 
