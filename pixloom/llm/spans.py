@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
-from .textkit import U, Words, _powers, as_text, mix, runs, slices
+from .textkit import U, Words, _powers, as_text, mix, slices
 
 #: Consecutive sentences in a span; words that they have together at least; words at which a long sentence is cut.
 RUN, LEAST_WORDS, LONGEST = 3, 8, 16
@@ -60,25 +61,54 @@ class Sentences:
         ends = self.first[1:][self.first[1:] > self.first[:-1]] - 1
         self.end[ends] = w.offsets[1:][self.first[1:] > self.first[:-1]]
 
-    def spans(self, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place in the row, hash, hash) of each run of sentences within a row that has words enough."""
-        n = len(self.begin) - run + 1
-        if n <= 0:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),) * 2
-        row = np.searchsorted(self.first, np.arange(len(self.begin)), side="right") - 1
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the sentences from ``start`` to before ``end``, wherever they stand."""
+        power, inverse = _powers(len(self.begin))
+        out = []
+        for own, salt in ((self.hash1, 13), (self.hash2, 14)):
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, U), np.cumsum(own * power[: len(own)])])
+                out.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U), salt))
+        return out[0], out[1]
+
+    def spans(self, run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first sentence, the one after the last) of each span.
+
+        A span is ``run`` sentences within a row that have words enough. With ``lengthen`` those that have too few take in
+        as many more as it needs, after them and, as another span, before them; and a row that is too short for that is one
+        span. So each sentence of a repeated passage with sentences and words enough is in a span that lies within it.
+        """
+        n = len(self.begin)
+        if not n:
+            return (np.zeros(0, np.int64),) * 3
+        i = np.arange(n)
+        row = np.searchsorted(self.first, i, side="right") - 1
         total = np.concatenate([[0], np.cumsum(self.words)])
-        keep = np.flatnonzero((row[:n] == row[run - 1 :]) & (total[run:] - total[:-run] >= least_words))
-        return row[keep], keep - self.first[row[keep]], runs(self.hash1, run)[keep], runs(self.hash2, run)[keep]
-
-
-def _spans_of(run: int, least_words: int):
+        if not lengthen:
+            start = i[: max(n - run + 1, 0)]
+            keep = start[(row[start] == row[start + run - 1]) & (total[start + run] - total[start] >= least_words)]
+            return row[keep], keep, keep + run
+        end = np.maximum(i + run, np.searchsorted(total, total[:-1] + least_words))
+        start = np.minimum(i + 1 - run, np.searchsorted(total, total[1:] - least_words, side="right") - 1)
+        after, before = end <= self.first[row + 1], start >= self.first[row]
+        before[before] = end[start[before]] != i[before] + 1
+        lo, hi = self.first[:-1], self.first[1:]
+        short = (hi > lo) & ((hi - lo < run) | (total[hi] - total[lo] < least_words))
+        start = np.concatenate([i[after], start[before], lo[short]])
+        return row[start], start, np.concatenate([end[after], i[before] + 1, hi[short]])
+
+
+def _spans_of(run: int, least_words: int, lengthen: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = as_text(batch.column(1))
             for lo, hi in slices(text):
-                row, place, h1, h2 = Sentences(text, lo, hi).spans(run, least_words)
+                s = Sentences(text, lo, hi)
+                row, start, end = s.spans(run, least_words, lengthen)
+                h1, h2 = s.hashes(start, end)
+                place = (start - s.first[row]) * (max(run, least_words) + 1) + end - start
                 ids = batch.column(0).take(pa.array(row + lo))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array(place.astype(np.int32))], ["h1", "h2", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array(place)], ["h1", "h2", "doc", "place"])
 
     return each
 
@@ -102,7 +132,7 @@ def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-def _rebuild(at: int, drops: int, run: int):
+def _rebuild(at: int, drops: int, most: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
@@ -111,14 +141,22 @@ def _rebuild(at: int, drops: int, run: int):
             for lo, hi in slices(text):
                 s = Sentences(text, lo, hi)
                 many += np.diff(s.first).tolist()
-                marks = runs(s.hash1, run)
+                own = gone.slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+                place, mark = (own.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                start = s.first[row] + place // (most + 1)
+                end = start + place % (most + 1)
+                # Of several rows of one id only those that have the span at this place.
+                there = end <= s.first[row + 1]
+                start, end, mark = start[there], end[there], mark[there]
+                there = s.hashes(start, end)[0].view(np.int64) == mark
+                edges = np.zeros(len(s.begin) + 1, np.int64)
+                np.add.at(edges, start[there], 1)
+                np.add.at(edges, end[there], -1)
+                covered = np.cumsum(edges)[:-1] > 0
                 for r in range(hi - lo):
                     whole = text[lo + r].as_py() if column[lo + r].is_valid else None
-                    cover = np.zeros(int(s.first[r + 1] - s.first[r]), bool)
-                    for drop in (gone[lo + r].as_py() or ()) if gone[lo + r].is_valid else ():
-                        i = s.first[r] + drop["place"]
-                        if i + run <= s.first[r + 1] and int(marks[i : i + 1].view(np.int64)[0]) == drop["h1"]:
-                            cover[drop["place"] : drop["place"] + run] = True
+                    cover = covered[s.first[r] : s.first[r + 1]]
                     removed.append(int(cover.sum()))
                     if removed[-1]:
                         raw, base = whole.encode(), int(s.offsets[r])
@@ -134,12 +172,13 @@ def _rebuild(at: int, drops: int, run: int):
     return each
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False) -> DataFrame:
     """``docs`` without the sentences that a repeated span covers, except where the span comes first; and n_sentences, n_removed.
 
     A sentence ends with a word that ends in . ! or ?, at a newline, or after LONGEST words, so a long one counts as several.
     A span is ``run`` sentences in a row that have ``least_words`` words or more together; spans are equal when
-    their words are, A-Z lower-cased. Of equal spans, in all documents and within one, that in the smallest document,
+    their words are, A-Z lower-cased. With ``lengthen`` shorter sentences count too: a span takes in as many more as reach
+    ``least_words``, and a row with less than a span is one itself. Of equal spans, in all documents and within one, that in the smallest document,
     and there the earliest, stays; sentences that any other covers go, with the space after them.
 
     A null text has no sentences and stays null; an empty one stays empty. Documents with a null id come last. Rows of one
@@ -152,13 +191,13 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_sentences", "n_removed")])
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words), f"h1 long, h2 long, doc {kind}, place int")
+    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words, lengthen), f"h1 long, h2 long, doc {kind}, place long")
     spans = spans.repartitionByRange("h1", "h2", "doc", "place").sortWithinPartitions("h1", "h2", "doc", "place")
-    spans = stored(spans.mapInArrow(_not_alone, f"h1 long, h2 long, doc {kind}, place int"), "spans")
+    spans = stored(spans.mapInArrow(_not_alone, f"h1 long, h2 long, doc {kind}, place long"), "spans")
     where = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("place").alias("place"))
     first = spans.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("final")).where("first < final").drop("final")
     again = spans.join(first, ["h1", "h2"]).where(where > F.col("first"))
     lists = again.groupBy("doc").agg(F.collect_set(F.struct("place", "h1")).alias("_drops")).withColumnRenamed("doc", "_span_doc")
     beside = docs.join(lists, docs[id_col].eqNullSafe(lists["_span_doc"]), "left").drop("_span_doc")
     out = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
-    return beside.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), run), out)
+    return beside.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), max(run, least_words)), out)

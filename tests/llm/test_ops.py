@@ -489,6 +489,32 @@ def test_long_repeated_passages_go_and_clean_documents_stay(spark):
     assert all(len(got[i].text.split()) >= 160 for i in range(5))
 
 
+def left_of_repeats(rows, size=51):
+    """Words within a run of ``size`` words that stood before, in a row above or further up in the same."""
+    seen, left = set(), 0
+    for _, text in rows:
+        w, marks = words(text), set()
+        for p in range(len(w) - size + 1):
+            key = tuple(w[p : p + size])
+            marks |= set(range(p, p + size)) if key in seen else set()
+            seen.add(key)
+        left += len(marks)
+    return left
+
+
+def test_passages_of_short_sentences_go(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    short = lambda n: " ".join(" ".join(word() for _ in range(rng.randint(1, 2))) + rng.choice(".!?") for _ in range(n))
+    passage, copy = short(50), short(80)
+    rows = [(i, f"{short(20)} {passage} {short(20)}") for i in range(4)] + [(10, copy), (11, copy), (12, "Two. Words."), (13, "two. words."), (14, "Two. Others.")]
+    assert left_of_repeats(rows) > 250
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), lengthen=True).collect()}
+    assert left_of_repeats(sorted((i, r.text) for i, r in got.items())) == 0
+    assert got[0].text == rows[0][1] and all(got[i].text == rows[i][1].replace(passage + " ", "") for i in range(1, 4))
+    assert [got[i].text for i in (10, 11, 12, 13, 14)] == [copy, "", "Two. Words.", "", "Two. Others."]
+
+
 def test_spans_awkward(spark):
     got = spans.dedup_spans(awkward(spark))
     assert got.count() == len(AWKWARD) and got.columns[:4] == ["doc_id", "text", "lang", "source"]
