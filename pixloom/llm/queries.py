@@ -52,7 +52,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), lengthen=True)
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), lengthen=True, window=spans.WINDOW)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

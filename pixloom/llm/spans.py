@@ -16,18 +16,37 @@ from .textkit import U, Words, _powers, as_text, mix, slices
 
 #: Consecutive sentences in a span; words that they have together at least; words at which a long sentence is cut.
 RUN, LEAST_WORDS, LONGEST = 3, 8, 16
+#: Words among which a sentence is cut at the one with the least hash, and words of a span of such pieces: no fewer than
+#: one with a piece of LONGEST has. Of a run of 47 words or more that repeats all are in spans that every copy has, but up to
+#: 2 * WINDOW - 2 before the first and one more after the last; 47 is that start, LEAST_PIECES + WINDOW - 1, and WINDOW.
+WINDOW, LEAST_PIECES = 8, LONGEST + RUN - 1
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
+def _least(x: np.ndarray, opens: np.ndarray, window: int) -> np.ndarray:
+    """Where the least of each ``window`` words within a sentence stands, of equal ones the last."""
+    n = len(x) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, at = x[:n].copy(), np.arange(n)
+    for j in range(1, window):
+        less = x[j : j + n] <= least
+        least[less] = x[j : j + n][less]
+        at[less] = np.flatnonzero(less) + j
+    sentence = np.cumsum(opens)
+    return np.unique(at[sentence[:n] == sentence[window - 1 :]])
+
+
 class Sentences:
     """The sentences of rows of a text column.
 
     first: where each row's sentences begin, one more than rows; begin, end: bytes of each sentence in the slice, up to the
-    next one's first word; hash1, hash2: of its words, A-Z lower-cased; words: their number.
+    next one's first word; hash1, hash2: of its words, A-Z lower-cased; words: their number. whole: where those begin that
+    are no later pieces of a sentence cut by ``window``.
     """
 
-    def __init__(self, text: pa.Array, lo: int, hi: int, longest: int = LONGEST):
+    def __init__(self, text: pa.Array, lo: int, hi: int, longest: int = LONGEST, window: int = 0):
         w = Words(text, lo, hi)
         start = np.frombuffer(text.buffers()[1], np.int64)[text.offset + lo]
         size = int(w.offsets[-1])
@@ -36,17 +55,23 @@ class Sentences:
         self.offsets = w.offsets
         if not n:
             self.first, self.begin, self.end = np.zeros(hi - lo + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            self.hash1, self.hash2, self.words = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+            self.hash1, self.hash2, self.words, self.whole = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         newline = np.concatenate([[0], np.cumsum(data == 10)])
         opens = np.zeros(n, bool)
         opens[1:] = _ENDS[data[w.end[:-1] - 1]] | (newline[w.start[1:]] > newline[w.end[:-1]])
         row_starts = w.first[:-1][w.first[:-1] < w.first[1:]]
         opens[row_starts] = True
-        # Long sentences are cut every ``longest`` words from their own start, so that equal ones are cut alike.
-        at = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-        opens |= at % longest == 0
+        sentence = opens.copy() if window else opens
+        if window:
+            # By words nearby alone, so that the same words are cut alike wherever they stand; no piece is longer than a window.
+            opens[_least(mix(w.hash, 15), opens, window)] = True
+        else:
+            # Long sentences are cut every ``longest`` words from their own start, so that equal ones are cut alike.
+            at = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+            opens |= at % longest == 0
         s = np.flatnonzero(opens)
+        self.whole = np.flatnonzero(sentence[s])
         self.words = np.diff(np.concatenate([s, [n]]))
         power, inverse = _powers(n)
         sums = []
@@ -76,37 +101,52 @@ class Sentences:
 
         A span is ``run`` sentences within a row that have words enough. With ``lengthen`` those that have too few take in
         as many more as it needs, after them and, as another span, before them; and a row that is too short for that is one
-        span. So each sentence of a repeated passage with sentences and words enough is in a span that lies within it.
+        span. So each sentence of a repeated passage with sentences and words enough is in a span that lies within it. Of
+        sentences cut by a window uncut ones make such spans, and pieces that have LEAST_PIECES words others.
         """
         n = len(self.begin)
         if not n:
             return (np.zeros(0, np.int64),) * 3
-        i = np.arange(n)
-        row = np.searchsorted(self.first, i, side="right") - 1
+        row = np.searchsorted(self.first, np.arange(n), side="right") - 1
         total = np.concatenate([[0], np.cumsum(self.words)])
         if not lengthen:
-            start = i[: max(n - run + 1, 0)]
+            start = np.arange(max(n - run + 1, 0))
             keep = start[(row[start] == row[start + run - 1]) & (total[start + run] - total[start] >= least_words)]
             return row[keep], keep, keep + run
-        end = np.maximum(i + run, np.searchsorted(total, total[:-1] + least_words))
-        start = np.minimum(i + 1 - run, np.searchsorted(total, total[1:] - least_words, side="right") - 1)
-        after, before = end <= self.first[row + 1], start >= self.first[row]
-        before[before] = end[start[before]] != i[before] + 1
-        lo, hi = self.first[:-1], self.first[1:]
-        short = (hi > lo) & ((hi - lo < run) | (total[hi] - total[lo] < least_words))
-        start = np.concatenate([i[after], start[before], lo[short]])
-        return row[start], start, np.concatenate([end[after], i[before] + 1, hi[short]])
-
-
-def _spans_of(run: int, least_words: int, lengthen: bool):
+        bound = np.append(self.whole, n)
+        at = np.searchsorted(bound, self.first)
+        start, end = (bound[x] for x in _runs_of(total[bound], at, run, least_words))
+        if len(self.whole) < n:
+            more, to = _runs_of(total, self.first, run, max(least_words, LEAST_PIECES), bound[1:])
+            start, end = np.divmod(np.unique(np.concatenate([start, more]) * (n + 1) + np.concatenate([end, to])), n + 1)
+        return row[start], start, end
+
+
+def _runs_of(total: np.ndarray, first: np.ndarray, run: int, least_words: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the shortest spans from each sentence on and, where not the same, up to each of ``ends``, or to all, and
+    then of rows that are too short; total: words before each sentence, and all."""
+    n = len(total) - 1
+    row = np.searchsorted(first, np.arange(n), side="right") - 1
+    end = np.maximum(np.arange(n) + run, np.searchsorted(total, total[:-1] + least_words))
+    after = np.flatnonzero(end <= first[row + 1])
+    last = np.arange(n) if ends is None else ends - 1
+    start = np.minimum(last + 1 - run, np.searchsorted(total, total[last + 1] - least_words, side="right") - 1)
+    before = start >= first[row[last]]
+    before[before] = end[start[before]] != last[before] + 1
+    lo, hi = first[:-1], first[1:]
+    short = (hi > lo) & ((hi - lo < run) | (total[hi] - total[lo] < least_words)) & (ends is None)
+    return np.concatenate([after, start[before], lo[short]]), np.concatenate([end[after], last[before] + 1, hi[short]])
+
+
+def _spans_of(run: int, least_words: int, lengthen: bool, window: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = as_text(batch.column(1))
             for lo, hi in slices(text):
-                s = Sentences(text, lo, hi)
+                s = Sentences(text, lo, hi, window=window)
                 row, start, end = s.spans(run, least_words, lengthen)
                 h1, h2 = s.hashes(start, end)
-                place = (start - s.first[row]) * (max(run, least_words) + 1) + end - start
+                place = ((start - s.first[row]) << 32) + end - start
                 ids = batch.column(0).take(pa.array(row + lo))
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array(place)], ["h1", "h2", "doc", "place"])
 
@@ -132,20 +172,20 @@ def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-def _rebuild(at: int, drops: int, most: int):
+def _rebuild(at: int, drops: int, window: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
             text, gone = as_text(column), batch.column(drops)
             texts, many, removed = [], [], []
             for lo, hi in slices(text):
-                s = Sentences(text, lo, hi)
+                s = Sentences(text, lo, hi, window=window)
                 many += np.diff(s.first).tolist()
                 own = gone.slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
                 place, mark = (own.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                start = s.first[row] + place // (most + 1)
-                end = start + place % (most + 1)
+                start = s.first[row] + (place >> 32)
+                end = start + (place & 0xFFFFFFFF)
                 # Of several rows of one id only those that have the span at this place.
                 there = end <= s.first[row + 1]
                 start, end, mark = start[there], end[there], mark[there]
@@ -172,10 +212,13 @@ def _rebuild(at: int, drops: int, most: int):
     return each
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False, window: int = 0) -> DataFrame:
     """``docs`` without the sentences that a repeated span covers, except where the span comes first; and n_sentences, n_removed.
 
     A sentence ends with a word that ends in . ! or ?, at a newline, or after LONGEST words, so a long one counts as several.
+    With ``window`` it is cut instead before the word with the least hash of each ``window`` words in it, so that the same words
+    are cut alike wherever they stand in it; with ``lengthen`` pieces that have LEAST_PIECES words together are a span too, and
+    ``run`` sentences are taken uncut. Other line breaks in a copy still make other sentences.
     A span is ``run`` sentences in a row that have ``least_words`` words or more together; spans are equal when
     their words are, A-Z lower-cased. With ``lengthen`` shorter sentences count too: a span takes in as many more as reach
     ``least_words``, and a row with less than a span is one itself. Of equal spans, in all documents and within one, that in the smallest document,
@@ -191,7 +234,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_sentences", "n_removed")])
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words, lengthen), f"h1 long, h2 long, doc {kind}, place long")
+    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words, lengthen, window), f"h1 long, h2 long, doc {kind}, place long")
     spans = spans.repartitionByRange("h1", "h2", "doc", "place").sortWithinPartitions("h1", "h2", "doc", "place")
     spans = stored(spans.mapInArrow(_not_alone, f"h1 long, h2 long, doc {kind}, place long"), "spans")
     where = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("place").alias("place"))
@@ -200,4 +243,4 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = again.groupBy("doc").agg(F.collect_set(F.struct("place", "h1")).alias("_drops")).withColumnRenamed("doc", "_span_doc")
     beside = docs.join(lists, docs[id_col].eqNullSafe(lists["_span_doc"]), "left").drop("_span_doc")
     out = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
-    return beside.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), max(run, least_words)), out)
+    return beside.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), window), out)

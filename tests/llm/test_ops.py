@@ -515,6 +515,36 @@ def test_passages_of_short_sentences_go(spark):
     assert [got[i].text for i in (10, 11, 12, 13, 14)] == [copy, "", "Two. Words.", "", "Two. Others."]
 
 
+def test_passages_in_mid_sentence_go(spark):
+    rng = random.Random(10)
+    several = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passages, rows = [several(rng.choice([51, 60, 90])) for _ in range(40)], []
+    for i, p in enumerate(passages):
+        rows += [(3 * i + k, f"{several(rng.randint(0, 40))} {p} {several(rng.randint(0, 40))}.") for k in range(3)]
+    rows += [(200, "so " * 100), (201, "a word before " + "so " * 100), (202, several(300))]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), lengthen=True, window=spans.WINDOW).collect()}
+    most = 2 * spans.WINDOW - 2
+    for i, p in enumerate(passages):
+        assert got[3 * i].text == rows[3 * i][1]
+        middle = " ".join(p.split()[most : -most - 1])
+        for k in (1, 2):
+            assert middle not in got[3 * i + k].text and got[3 * i + k].n_removed
+            # What stands around the passage stays.
+            before, after = rows[3 * i + k][1].split(p)
+            assert got[3 * i + k].text.startswith(before) and got[3 * i + k].text.endswith(after)
+    assert got[202].n_removed == 0 and len(got[201].text.split()) < 20
+    assert left_of_repeats(sorted((i, r.text) for i, r in got.items() if i not in (200, 201))) == 0
+
+
+def test_no_piece_is_longer_than_a_window():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["the", "a", "Sea", "é", "of.", "to"], k=rng.randint(0, 200))) for _ in range(50)]
+    s = spans.Sentences(textkit.as_text(pa.array(texts)), 0, len(texts), window=spans.WINDOW)
+    assert s.words.max() <= spans.WINDOW and s.words.sum() == sum(len(words(t)) for t in texts)
+
+
 def test_spans_awkward(spark):
     got = spans.dedup_spans(awkward(spark))
     assert got.count() == len(AWKWARD) and got.columns[:4] == ["doc_id", "text", "lang", "source"]
