@@ -29,15 +29,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by n-gram similarity the one with the smallest id stays; so do rows that link with nothing."""
+    """Of documents joined by n-gram similarity the one with the smallest id stays; so do rows that link with nothing.
+
+    Rows with a null id link with nothing, so all of them stay, copies too.
+    """
     extra = ngram_join.link_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a passage of a benchmark item go; each row by its own text, with a null or repeated id too.
+
+    A row is known by a 64-bit hash of its id and text.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaks = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

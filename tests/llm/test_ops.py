@@ -659,3 +659,15 @@ def test_pipeline_stage_by_stage(spark):
 
     mixed = p.mix_sources(spark, clean, DATA)
     assert sorted(map(repr, p.run(spark, DATA).collect())) == sorted(map(repr, mixed.collect()))
+
+
+def test_pipeline_rows_without_an_id(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    item = max((r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r.text), key=len)
+    clean = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(80))
+    docs = spark.createDataFrame([(None, item), (None, clean), (None, clean), (1, item), (2, clean), (3, item), (3, clean), (4, None)], "doc_id long, text string")
+    assert sorted(map(tuple, p.drop_leaks(spark, docs, DATA).collect()), key=repr) == sorted([(None, clean), (None, clean), (2, clean), (3, clean), (4, None)], key=repr)
+    near = spark.createDataFrame([(None, clean), (None, clean), (1, clean), (2, clean)], "doc_id long, text string")
+    assert sorted(map(tuple, p.keep_one_of_near_copies(spark, near, DATA).collect()), key=repr) == sorted([(None, clean), (None, clean), (1, clean)], key=repr)
