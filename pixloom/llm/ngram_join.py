@@ -8,9 +8,11 @@ over the cluster:
   (frequent ones last). Two documents whose leading groups, n - ceil(t * n) + 1 of n, have nothing in common can't reach
   similarity t, since the rest of the coordinates sums to less than the overlap asked for. So a document is filed
   in the slab of each leading group, and every link lies in a slab.
-* A slab's points are packed into leaves by size. A leaf keeps its bounds: least and largest size, and the largest count
-  per coarse group. Pairs of leaves, then of points, survive only where sizes and the sum of minima allow it.
-* Surviving pairs are bounded again on finer groups, about as many as shingles, and then verified on their whole texts.
+* A slab that holds more points than a leaf is packed into leaves along a space-filling curve through the points' counts, by one
+  range sort of all such slabs, and leaves into inner nodes. Both keep bounds: least and largest size, and the largest
+  count per coarse group. Pairs of inner nodes, of leaves, then of points survive only where sizes and the sum of minima allow it.
+* Surviving pairs are bounded again on finer groups, about as many as shingles, and then verified on the words of their
+  whole texts, compared as words and not as hashes.
 
 Equal sets are one class from the start, and points that are known to be in one component are not compared again, so
 large groups of copies cost neither pairs nor texts. Only links between different sets are looked for.
@@ -22,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
-from .textkit import U, Words, as_text, mix, shingle_sets, slices
+from .textkit import U, Words, as_text, exact_runs, mix, shingle_sets, slices
 
 #: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
 COARSE, NEAR, FINE_MOST = 32, 256, 16384
 #: The highest count that a point's vector holds; it stands for any number from there on.
 _MANY = 127
-#: Points in a leaf, about; ids that are sent to all tasks at most (else the texts are shuffled); frequent shingles known by name.
-LEAF, MOST_SENT, MOST_FREQUENT = 512, 1 << 20, 1 << 19
+#: Points in a leaf and leaves in an inner node at most; ids that are sent to all tasks at most (else the texts are shuffled); frequent shingles known by name.
+LEAF, INNER, MOST_SENT, MOST_FREQUENT = 512, 64, 1 << 20, 1 << 19
 #: A shingle is frequent if, in a stretch of documents, so many hold it.
 _TIMES, _STRETCH = 4, 4096
 
@@ -55,6 +58,16 @@ def group_counts(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(_grouped(hashes, groups), _MANY).astype(np.int8)
 
 
+def curve(coarse: np.ndarray) -> np.ndarray:
+    """Places of points (rows) on a Z-order curve through eight sums of their coarse counts, signed to sort as longs."""
+    sums = np.minimum(coarse.reshape(len(coarse), 8, -1).sum(2), 255).astype(U)
+    place = np.zeros(len(coarse), U)
+    for bit in range(7, -1, -1):
+        for axis in range(8):
+            place = place << U(1) | (sums[:, axis] >> U(bit) & U(1))
+    return (place ^ U(1 << 63)).view(np.int64)
+
+
 def may_link(na: int, nb: int, fa: np.ndarray, fb: np.ndarray, percent: int) -> bool:
     """Whether sizes and summed minima leave room for percent * union <= 100 * intersection."""
     if 100 * min(na, nb) < percent * max(na, nb):
@@ -80,6 +93,10 @@ def _list(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(kind.to_pandas_dtype()), kind))
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _frequent(shingle: int):
     """(h, n) of shingles that a stretch of documents holds often; every document counts."""
 
@@ -103,7 +120,7 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
 
-_POINT = "doc_id long, n long, s1 long, s2 long, coarse array<int>, near array<tinyint>, fine array<tinyint>, lead array<long>"
+_POINT = "doc_id long, n long, s1 long, s2 long, curve long, coarse array<int>, near array<tinyint>, fine array<tinyint>, lead array<long>"
 
 
 def _points(shingle: int, percent: int, sent):
@@ -126,8 +143,8 @@ def _points(shingle: int, percent: int, sent):
                         h = np.concatenate([h[~late], h[late]])[: lead_length(n, percent)]
                     lead.append(h.view(np.int64))
                 sums = [pa.array(np.array(s, U).view(np.int64)) for s in (s1, s2)]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(ns, pa.int64()), *sums, _list(coarse, pa.int32()), _list(near, pa.int8()), _list(fine, pa.int8()), _list(lead, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "coarse", "near", "fine", "lead"])
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(ns, pa.int64()), *sums, pa.array(curve(np.stack(coarse))), _list(coarse, pa.int32()), _list(near, pa.int8()), _list(fine, pa.int8()), _list(lead, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, _names(_POINT))
 
     return each
 
@@ -185,13 +202,26 @@ def _verified(shingle: int, percent: int):
             one, two = as_text(batch.column(2)), as_text(batch.column(3))
             keep: list[bool] = []
             for lo, hi in slices(one):
-                both = zip(shingle_sets(Words(one, lo, hi), shingle), shingle_sets(Words(two, lo, hi), shingle), strict=True)
-                keep += [linked(x, y, percent) for x, y in both]
+                keep += _pairs_linked(one.slice(lo, hi - lo), two.slice(lo, hi - lo), shingle, percent)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return each
 
 
+def _pairs_linked(one: pa.Array, two: pa.Array, shingle: int, percent: int) -> list[bool]:
+    """Whether each row of ``one`` and the same row of ``two`` link, by numbers that equal words alone share."""
+    n = len(one)
+    words = Words(pa.concat_arrays([one, two]), 0, 2 * n)
+    exact, first, out = exact_runs(words.codes, shingle), words.first, []
+    for i in range(n):
+        (a, b), (c, d) = first[i : i + 2], first[n + i : n + i + 2]
+        if min(b - a, d - c) < shingle:  # a short text is one shingle, its whole sequence
+            out.append(b > a and np.array_equal(words.codes[a:b], words.codes[c:d]))
+        else:
+            out.append(linked(np.unique(exact[a : b - shingle + 1]), np.unique(exact[c : d - shingle + 1]), percent))
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b): pairs whose whole texts' shingle sets are as similar as asked for."""
     with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -258,23 +288,71 @@ def _in_leaves(percent: int):
     return each
 
 
+_TREE_POINT = "key long, node long, n long, component long, coarse array<int>, near array<tinyint>, leaf long, inner long"
+
+
+def _packed(leaf_points: int, inner_leaves: int):
+    """Points (key, node, n, component, coarse, near, sorted along the curve in each key) with the numbers of their leaf and inner node.
+
+    A leaf is ``leaf_points`` points of a key in a row, an inner node ``inner_leaves`` leaves; numbers are the partition's own.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        key, at, leaf = None, 0, -1
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            n = len(keys)
+            if not n:
+                continue
+            starts = np.concatenate([[0] if keys[0] != key else [], np.flatnonzero(keys[1:] != keys[:-1]) + 1]).astype(np.int64)
+            # How far into its key each row is, those of earlier batches included.
+            since = np.zeros(n, np.int64)
+            since[starts] = 1
+            inside = np.arange(n) - np.concatenate([[-at], starts])[np.cumsum(since)]
+            leaf_of = leaf + np.cumsum(inside % leaf_points == 0)
+            key, at, leaf = keys[-1], int(inside[-1]) + 1, int(leaf_of[-1])
+            # Inner nodes end with their key, as leaves do.
+            inner = leaf_of - inside // leaf_points % inner_leaves
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(base + leaf_of), pa.array(base + inner)], _names(_TREE_POINT))
+
+    return each
+
+
+def _bounds(of: DataFrame, by: list[str], lo: str, hi: str, c0: str, c1: str, high: str) -> DataFrame:
+    most = F.array(*(F.max(F.col(high)[i]) for i in range(COARSE)))
+    return of.groupBy(*by).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(c0).alias("c0"), F.max(c1).alias("c1"), most.alias("high"))
+
+
+def _room(percent: int) -> Column:
+    """Whether boxes x and y may hold points that link and are of different components."""
+    room = sum((F.least(F.col("x.high")[i], F.col("y.high")[i]) for i in range(COARSE)), F.lit(0))
+    sizes = F.expr(f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo AND NOT (x.c0 = x.c1 AND y.c0 = y.c1 AND x.c0 = y.c0)")
+    return sizes & (room * (100 + percent) >= percent * (F.col("x.lo") + F.col("y.lo")))
+
+
+def _tree_items(large: DataFrame, percent: int) -> DataFrame:
+    """Rows (item, side, node, n, component, near) of the pairs of leaves that may hold links, of slabs that are more than a leaf."""
+    large = large.repartitionByRange("key", "curve", "node").sortWithinPartitions("key", "curve", "node").drop("curve")
+    points = stored(large.select("key", "node", "n", "component", "coarse", "near").mapInArrow(_packed(LEAF, INNER), _TREE_POINT), "tree-points")
+    leaves = stored(_bounds(points, ["key", "inner", "leaf"], "n", "n", "component", "component", "coarse"), "tree-leaves")
+    inner = stored(_bounds(leaves, ["key", "inner"], "lo", "hi", "c0", "c1", "high"), "tree-inner")
+    pairs = inner.alias("x").join(inner.alias("y"), "key").where("x.inner <= y.inner").where(_room(percent)).select("key", F.col("x.inner").alias("ix"), F.col("y.inner").alias("iy"))
+    x = pairs.join(leaves.withColumnRenamed("inner", "ix"), ["key", "ix"]).select("key", "iy", F.struct("leaf", "lo", "hi", "c0", "c1", "high").alias("x"))
+    meet = x.join(leaves.select("key", F.col("inner").alias("iy"), F.struct("leaf", "lo", "hi", "c0", "c1", "high").alias("y")), ["key", "iy"])
+    meet = meet.where("x.leaf <= y.leaf").where(_room(percent)).select(F.col("x.leaf").alias("lx"), F.col("y.leaf").alias("ly"), F.xxhash64("x.leaf", "y.leaf").alias("item"))
+    sides = meet.select(F.col("lx").alias("leaf"), "item", F.when(F.col("lx") == F.col("ly"), 2).otherwise(0).alias("side"))
+    sides = sides.union(meet.where("lx <> ly").select("ly", "item", F.lit(1)))
+    return sides.join(points, "leaf").select("item", "side", "node", "n", "component", "near")
+
+
 def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components, from rows (key, node, n, component, in_slab) of slabs that hold several."""
-    # Leaves are bands of size; a band that is too full for one leaf is dealt by the node's hash.
-    leaf = F.concat_ws(".", F.floor(F.log("n") / F.log(F.lit(1.25))), F.pmod(F.hash("node"), F.ceil(F.col("in_slab") / LEAF).cast("int")))
-    points = filed.withColumn("leaf", F.when(F.col("in_slab") <= LEAF, F.lit("")).otherwise(leaf))
-    points = stored(points.drop("in_slab").join(nodes.select("node", "coarse", "near"), "node"), "tree-points")
-    highest = F.array(*(F.max(F.col("coarse")[i]) for i in range(COARSE)))
-    bounds = points.groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1"), highest.alias("high"))
-    bounds = stored(bounds, "tree-leaves")
-    x, y = bounds.select("key", *(F.col(c).alias(f"x_{c}") for c in bounds.columns[1:])), bounds.select("key", *(F.col(c).alias(f"y_{c}") for c in bounds.columns[1:]))
-    room = sum((F.least(F.col("x_high")[i], F.col("y_high")[i]) for i in range(COARSE)), F.lit(0))
-    fits = f"x_leaf <= y_leaf AND 100 * x_hi >= {percent} * y_lo AND 100 * y_hi >= {percent} * x_lo AND NOT (x_c0 = x_c1 AND y_c0 = y_c1 AND x_c0 = y_c0)"
-    meet = x.join(y, "key").where(fits).where(room * (100 + percent) >= percent * (F.col("x_lo") + F.col("y_lo")))
-    meet = meet.select("key", "x_leaf", "y_leaf", F.xxhash64("key", "x_leaf", "y_leaf").alias("item"))
-    sides = meet.select("key", F.col("x_leaf").alias("leaf"), "item", F.when(F.col("x_leaf") == F.col("y_leaf"), 2).otherwise(0).alias("side"))
-    sides = sides.union(meet.where("x_leaf <> y_leaf").select("key", "y_leaf", "item", F.lit(1)))
-    dealt = sides.join(points, ["key", "leaf"]).select("item", "side", "node", "n", "component", "near")
+    points = filed.join(nodes.select("node", "curve", "coarse", "near"), "node")
+    # A slab within a leaf meets itself at once.
+    dealt = points.where(F.col("in_slab") <= LEAF).select(F.col("key").alias("item"), F.lit(2).alias("side"), "node", "n", "component", "near")
+    if not filed.where(F.col("in_slab") > LEAF).isEmpty():
+        dealt = dealt.union(_tree_items(points.where(F.col("in_slab") > LEAF), percent))
     dealt = dealt.repartition("item").sortWithinPartitions("item")
     return dealt.mapInArrow(_in_leaves(percent), "a long, b long").distinct()
 
@@ -307,7 +385,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = points.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     members = stored(points.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "members")
-    nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("node", "n", "coarse", "near", "fine", "lead")
+    nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("node", "n", "curve", "coarse", "near", "fine", "lead")
     nodes = stored(nodes, "nodes")
     entries = nodes.select(F.explode("lead").alias("key"), "node", "n")
     entries = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node")

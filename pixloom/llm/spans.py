@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
-from .textkit import U, Words, _powers, as_text, mix, slices
+from .textkit import U, Words, as_text, mix, placed_sums, slices
 
 #: Consecutive sentences in a span; words that they have together at least; words at which a long sentence is cut.
 RUN, LEAST_WORDS, LONGEST = 3, 8, 16
@@ -73,13 +73,7 @@ class Sentences:
         s = np.flatnonzero(opens)
         self.whole = np.flatnonzero(sentence[s])
         self.words = np.diff(np.concatenate([s, [n]]))
-        power, inverse = _powers(n)
-        sums = []
-        for salt in (11, 12):
-            with np.errstate(over="ignore"):
-                total = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash, salt) * power[:n])])
-                sums.append(mix((total[s + self.words] - total[s]) * inverse[s], salt))
-        self.hash1, self.hash2 = sums
+        self.hash1, self.hash2 = (placed_sums(w.hash, s, s + self.words, salt) for salt in (11, 12))
         self.first = np.searchsorted(s, w.first)
         self.begin = w.start[s]
         self.end = np.concatenate([self.begin[1:], [size]])
@@ -88,13 +82,7 @@ class Sentences:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the sentences from ``start`` to before ``end``, wherever they stand."""
-        power, inverse = _powers(len(self.begin))
-        out = []
-        for own, salt in ((self.hash1, 13), (self.hash2, 14)):
-            with np.errstate(over="ignore"):
-                total = np.concatenate([np.zeros(1, U), np.cumsum(own * power[: len(own)])])
-                out.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U), salt))
-        return out[0], out[1]
+        return placed_sums(self.hash1, start, end, 13), placed_sums(self.hash2, start, end, 14)
 
     def spans(self, run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first sentence, the one after the last) of each span.

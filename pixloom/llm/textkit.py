@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -24,28 +25,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def _byte_table(fold: bool) -> np.ndarray:
-    low = np.arange(256, dtype=U)
-    low[65:91] += U(32)
-    return mix(low, 7)
-
-
-_BYTES = _byte_table(True)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 #: ASCII signs count as separators too where a text is compared loosely.
 _IS_SIGN = _IS_SEP.copy()
 _IS_SIGN[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
-_POW = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size, inverse = 1 << (n - 1).bit_length(), pow(_BASE, -1, 1 << 64)
-        for i, base in enumerate((_BASE, inverse)):
-            with np.errstate(over="ignore"):
-                _POW[i] = np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, base, U))])
-    return _POW[0], _POW[1]
 
 
 def slices(text: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -67,8 +53,9 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 class Words:
     """The words of the rows ``lo`` to ``hi`` of a text column.
 
-    hash: a 64-bit hash of each lower-cased (A-Z) word; first: where each row's words begin in it, one more than rows.
-    start, end: byte positions in the slice. loose: signs of ASCII separate words too, and Latin capitals fold.
+    codes: the same number for the same lower-cased (A-Z) word within the slice, and for no other; hash: xxh3 of its bytes,
+    64 bits; first: where each row's words begin in these, one more than rows. start, end: byte positions in the slice.
+    loose: signs of ASCII separate words too, and Latin capitals fold.
     """
 
     def __init__(self, text: pa.Array, lo: int, hi: int, loose: bool = False):
@@ -91,13 +78,15 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.offsets = off
         if not len(self.start):
-            self.hash = np.zeros(0, U)
+            self.codes, self.hash = np.zeros(0, np.int32), np.zeros(0, U)
             return
-        power, inverse = _powers(len(data))
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, U)
-            np.cumsum(_BYTES[data] * power[: len(data)], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+        # Every distinct word is hashed once, from its bytes.
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[inside]])])
+        distinct = letters.dictionary_encode()
+        self.codes = distinct.indices.to_numpy()
+        words = distinct.dictionary
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), U, len(words))[self.codes]
 
     def row(self, i: int) -> np.ndarray:
         return self.hash[self.first[i] : self.first[i + 1]]
@@ -118,6 +107,15 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out, k)
 
 
+def exact_runs(codes: np.ndarray, k: int) -> np.ndarray:
+    """The same number for the same k codes from each place on, and for no others."""
+    out = codes.astype(np.int64)
+    for j in range(1, k):
+        out = out[: len(codes) - j] * (int(codes.max()) + 1) + codes[j:] if len(codes) > j else np.zeros(0, np.int64)
+        out = pa.array(out).dictionary_encode().indices.to_numpy().astype(np.int64)
+    return out
+
+
 def shingle_sets(words: Words, k: int = 5) -> Iterator[np.ndarray]:
     """Of each row the sorted distinct hashes of its k-word shingles; with fewer words the whole sequence as one."""
     every = words.runs(k)
@@ -129,3 +127,17 @@ def shingle_sets(words: Words, k: int = 5) -> Iterator[np.ndarray]:
             yield runs(words.hash[a:b], int(b - a))
         else:
             yield every[:0]
+
+
+def placed_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of the values from each ``start`` to before ``end``, in their order: each is mixed with its place before they are
+    added, so that no exchange of equal parts cancels out."""
+    length = end - start
+    if not len(length):
+        return np.zeros(0, U)
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    with np.errstate(over="ignore"):
+        mixed = mix(mix(values[np.repeat(start, length) + place], salt) + place.astype(U) * U(_BASE), salt)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mixed)])
+        last = np.cumsum(length)
+        return mix(total[last] - total[last - length] + length.astype(U), salt)

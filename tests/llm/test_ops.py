@@ -71,6 +71,28 @@ def test_word_hashes_follow_the_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def mirrored(a, b, n=1024):
+    """Two sequences of a and b that sums of powers modulo 2 ** 64 can't tell apart."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[s] for s in signs], [(b, a)[s] for s in signs]
+
+
+def test_words_and_sequences_that_cancel_out_in_sums_of_powers(spark):
+    import pyarrow as pa
+
+    one, two = ("".join(x) for x in mirrored("a", "b"))
+    w = textkit.Words(textkit.as_text(pa.array([one, two])), 0, 2)
+    assert w.hash[0] != w.hash[1] and w.codes[0] != w.codes[1]
+    long_one, long_two = (" ".join(x) for x in mirrored("a", "b"))
+    s = spans.Sentences(textkit.as_text(pa.array([long_one + ".", long_two + "."])), 0, 2)
+    assert s.hash1[0] != s.hash1[1]
+    docs = [(1, one), (2, two), (3, f"x y z {one} q"), (4, f"x y z {two} q")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.component_id for r in ngram_join.link_documents(frame).collect()) == [1, 2, 3, 4]
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(frame.where("doc_id < 3"), spark.createDataFrame([(7, one)], "item_id long, text string")).collect()] == [(1, 7)]
+    assert {r.doc_id: r.n_known for r in lm.score(frame, F.col("doc_id") == 1).collect()} == {1: 2, 2: 1, 3: 1 + 1, 4: 1}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (None, 3)]
@@ -204,6 +226,23 @@ def test_join_of_a_dense_family(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == joined(rows)
 
 
+def test_join_packs_full_slabs(spark, monkeypatch):
+    """A slab of many leaves and inner nodes gives what comparing all gives."""
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    monkeypatch.setattr(ngram_join, "INNER", 3)
+    rng = random.Random(19)
+    start = "these very words stand at the head of them all"
+    own = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(250):
+        w = rng.choices([f"v{i}" for i in range(400)], k=rng.randint(8, 60)) if i % 5 else own[: rng.randint(30, 50)]
+        for at in rng.sample(range(len(w)), rng.randint(0, 1)):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, f"{start} {' '.join(w)}"))
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == joined(rows)
+
+
 def test_join_bounds():
     rng = np.random.default_rng(0)
     for _ in range(200):
