@@ -60,7 +60,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"), F.transform("pii_spans", lambda s: s["score"]).alias("scores"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

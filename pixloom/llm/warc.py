@@ -1,6 +1,7 @@
 """Web archives: writing legacy ARC (versions 1 and 2), converting ARC to WARC 1.1 with revisits, reading both.
 
-An archive is a file of gzip members, one a record, so that a record can be read alone. Archives live in a
+Archives are written as gzip members, one a record, so that a record can be read alone; ARC files that are read may be packed
+otherwise, or not at all. Archives live in a
 folder that all executors share. A task names its file with a fresh uuid and closes it before it reports it, and only
 reported files are read, so a task that is lost or runs twice leaves nothing that counts.
 """
@@ -8,7 +9,6 @@ reported files are read, so a task that is lost or runs twice leaves nothing tha
 from __future__ import annotations
 
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -49,22 +49,74 @@ def member(record: bytes, level: int = 1) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def members(stream, block: int = 1 << 18) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each gzip member; memory is bounded by the largest record."""
-    offset, rest = 0, b""
+def members(stream, block: int = 1 << 18) -> Iterator[bytes]:
+    """The record of each gzip member; memory is bounded by the largest record."""
+    rest = b""
     while True:
         rest = rest or stream.read(block)
         if not rest:
             return
-        unpack, parts, used = zlib.decompressobj(31), [], 0
+        unpack, parts = zlib.decompressobj(31), []
         while not unpack.eof:
             if not rest and not (rest := stream.read(block)):
-                raise ValueError(f"the archive ends within the record at {offset}")
+                raise ValueError("the archive ends within a record")
             parts.append(unpack.decompress(rest))
-            used += len(rest) - len(unpack.unused_data)
             rest = unpack.unused_data
-        yield offset, b"".join(parts)
-        offset += used
+        yield b"".join(parts)
+
+
+class Plain:
+    """The bytes of an archive, uncompressed or in gzip members of whatever content, by lines and lengths."""
+
+    def __init__(self, stream, block: int = 1 << 18):
+        self.stream, self.block, self.held, self.at, self.offset = stream, block, b"", 0, 0
+        self.packed = stream.read(2)
+        self.unpack = zlib.decompressobj(31) if self.packed == b"\x1f\x8b" else None
+
+    def _more(self) -> bool:
+        """One more block of bytes, if there is any."""
+        raw, self.packed = self.packed or self.stream.read(self.block), b""
+        if not raw:
+            if self.unpack is not None and not self.unpack.eof and self.offset + len(self.held) - self.at:
+                raise ValueError("the archive ends within a gzip member")
+            return False
+        if self.unpack is not None:
+            if self.unpack.eof:
+                self.unpack = zlib.decompressobj(31)
+            out = [self.unpack.decompress(raw)]
+            while self.unpack.unused_data:
+                raw, self.unpack = self.unpack.unused_data, zlib.decompressobj(31)
+                out.append(self.unpack.decompress(raw))
+            raw = b"".join(out)
+        self.held, self.at = self.held[self.at :] + raw, 0
+        return True
+
+    def line(self) -> bytes | None:
+        """The next line without its end; null at the end of the archive."""
+        sought = self.at
+        while (end := self.held.find(b"\n", sought)) < 0:
+            sought = len(self.held) - self.at
+            if not self._more():
+                end = len(self.held)
+                if end == self.at:
+                    return None
+                break
+        found, self.offset, self.at = self.held[self.at : end], self.offset + end + 1 - self.at, end + 1
+        return found
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or as many as there are."""
+        parts, size = [self.held[self.at : self.at + n]], min(n, len(self.held) - self.at)
+        self.at += size
+        while size < n:
+            self.held, self.at = b"", 0
+            if not self._more():
+                break
+            parts.append(self.held[: n - size])
+            self.at = len(parts[-1])
+            size += self.at
+        self.offset += size
+        return b"".join(parts)
 
 
 # ---- ARC ---------------------------------------------------------------------------------------------------------
@@ -93,34 +145,43 @@ def arc_record(version: int, url: str, date: str, block: bytes, ip: str = "0.0.0
     return f"{url} {ip} {date} {content_type} {tail}\n".encode() + block + b"\n"
 
 
-def parse_arc(raw: bytes, names: list[str]) -> ArcRecord:
-    """One record by the field names that its file's version block declares; the declared length bounds its content.
+def parse_header(line: bytes, names: list[str]) -> dict[str, str]:
+    """The fields of a record's header line, as named by its file's version block.
 
     A URL may hold spaces in careless archives, so fields are counted from the right.
     """
-    line, _, rest = raw.partition(b"\n")
     parts = line.decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(names) - 1)
-    if len(parts) != len(names):
+    if len(parts) != len(names) or not parts[-1].isdigit():
         raise ValueError(f"an ARC header line of {len(parts)} fields, {len(names)} are declared")
-    fields = dict(zip(names, parts, strict=True))
-    length = int(fields["Archive-length"])
-    if len(rest) < length:
-        raise ValueError(f"an ARC record of {len(rest)} bytes, {length} are declared")
-    return ArcRecord(fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], rest[:length], fields)
+    return dict(zip(names, parts, strict=True))
 
 
 def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
-    """(offset, record) of each record after the version block, for either version."""
-    names: list[str] = []
-    for offset, raw in members(stream):
+    """(offset, record) of each record after the version block, for either version; offsets count unpacked bytes.
+
+    The declared length says where a record ends, so a file may be uncompressed, hold one record or several in a gzip
+    member, or a record over several.
+    """
+    plain, names = Plain(stream), []
+    while True:
+        at = plain.offset
+        line = plain.line()
+        if line is None:
+            return
+        if not line.strip():
+            continue  # between records
         if not names:
-            first = raw.split(b"\n", 3)
-            version = first[1].split(b" ")[0]
-            if version not in (b"1", b"2"):
-                raise ValueError(f"ARC version {version!r}")
-            names = first[2].decode().split(" ")
+            body = plain.take(int(line.rsplit(b" ", 1)[1])).split(b"\n")
+            if body[0].split(b" ")[0] not in (b"1", b"2"):
+                raise ValueError(f"ARC version {body[0]!r}")
+            names = body[1].decode().rstrip("\r").split(" ")
             continue
-        yield offset, parse_arc(raw, names)
+        fields = parse_header(line, names)
+        length = int(fields[names[-1]])
+        block = plain.take(length)
+        if len(block) < length:
+            raise ValueError(f"an ARC record of {len(block)} bytes, {length} are declared")
+        yield at, ArcRecord(fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], block, fields)
 
 
 # ---- WARC --------------------------------------------------------------------------------------------------------
@@ -168,7 +229,7 @@ def parse_warc(raw: bytes) -> tuple[dict[str, str], bytes]:
 def convert_record(record: ArcRecord, refers_to: dict | None) -> bytes:
     """The WARC record that says what an ARC record said; with ``refers_to`` a revisit, without its payload."""
     http, head, body = split_http(record.block)
-    page = int(http[_PAGE]) if _PAGE in http else None
+    page = _page_id(http)
     fields = {
         "WARC-Record-ID": record_id(record.url, record.date, page), "WARC-Date": warc_date(record.date), "WARC-Target-URI": record.url,
         "WARC-IP-Address": record.ip, "WARC-Payload-Digest": f"sha1:{hashlib.sha1(body).hexdigest()}",
@@ -177,14 +238,14 @@ def convert_record(record: ArcRecord, refers_to: dict | None) -> bytes:
     if refers_to is None:
         return warc_record("response", fields, record.block)
     fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": refers_to["id"], "WARC-Refers-To-Target-URI": refers_to["url"], "WARC-Refers-To-Date": warc_date(refers_to["date"])}
-    return warc_record("revisit", fields | {"X-Refers-To-Page": str(refers_to["page_id"])}, head)
+    return warc_record("revisit", fields | {"X-Refers-To-Page": str(refers_to["page_id"]), "X-Payload-Length": str(len(body))}, head)
 
 
 # ---- jobs --------------------------------------------------------------------------------------------------------
 
 _FILES = "file string, records long"
 _INDEX = "file string, at long, page_id long, url string, date string, bytes long, digest string"
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_date string, warc_id string"
+_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_date string, warc_id string, intact boolean"
 
 
 class _Roll:
@@ -245,8 +306,25 @@ def _rows(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
 
 
+def _named(file: str, records: Iterator) -> Iterator:
+    try:
+        yield from records
+    except ValueError as error:
+        raise ValueError(f"{file}: {error}") from error
+
+
+def _page_id(http: dict[bytes, bytes]) -> int | None:
+    stated = http.get(_PAGE, b"").strip()
+    return int(stated) if stated.removeprefix(b"-").isdigit() else None
+
+
 def index_arc(files: DataFrame) -> DataFrame:
-    """A row for each record: where it is, and its payload's size and SHA-1."""
+    """A row for each record: where it is, and its payload's size and SHA-1.
+
+    page_id is null where the block has no HTTP header that states one. A file listed twice is indexed twice; an empty list
+    gives no row. A file that is damaged (a length that runs beyond its end, a header line of too few fields) fails the
+    job with its name, as what follows can't be found.
+    """
     names = tuple(x.split()[0] for x in _INDEX.split(", "))
     types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
 
@@ -255,9 +333,9 @@ def index_arc(files: DataFrame) -> DataFrame:
             for file in batch.column(0).to_pylist():
                 rows = []
                 with _open(file, "rb") as stream:
-                    for at, r in read_arc(stream):
+                    for at, r in _named(file, read_arc(stream)):
                         http, _, body = split_http(r.block)
-                        rows.append((file, at, int(http[_PAGE]) if _PAGE in http else None, r.url, r.date, len(body), hashlib.sha1(body).hexdigest()))
+                        rows.append((file, at, _page_id(http), r.url, r.date, len(body), hashlib.sha1(body).hexdigest()))
                 yield _rows(rows, names, types)
 
     return stored(_spread(files).mapInArrow(each, _INDEX), "arc-index")
@@ -265,7 +343,11 @@ def index_arc(files: DataFrame) -> DataFrame:
 
 def _spread(files: DataFrame) -> DataFrame:
     """Files are the unit of work; each goes to any task."""
-    return files.select("file").repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "file")
+    return files.select("file").repartition(_tasks(files.sparkSession), "file")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism * 4
 
 
 def convert(index: DataFrame, least: int = 1000, most: int = 16 << 20) -> DataFrame:
@@ -273,8 +355,9 @@ def convert(index: DataFrame, least: int = 1000, most: int = 16 << 20) -> DataFr
 
     Of records with equal payloads of at least ``least`` bytes that with the largest page_id is a response (null is
     smallest; of equal ones the one in the last place), the others are revisits of it; smaller ones all are responses.
+    An empty index gives no archive; a record indexed twice counts as one.
     Which is which takes one maximum per digest, combined before the shuffle; the join back splits hot digests. The
-    decisions then gather by ARC file, whose size is bounded.
+    decisions then gather by ARC file, whose size is bounded, and files are dealt to all cores.
     """
     spark = index.sparkSession
     folder = _new_folder(spark, "warc")
@@ -283,7 +366,8 @@ def convert(index: DataFrame, least: int = 1000, most: int = 16 << 20) -> DataFr
     revisits = index.where(F.col("bytes") >= least).join(first, "digest").where("file <> to.file OR at <> to.at")
     revisits = revisits.select("file", "at", F.col("to.page_id").alias("to_page"), F.col("to.url").alias("to_url"), F.col("to.date").alias("to_date"))
     lists = revisits.groupBy("file").agg(F.collect_list(F.struct("at", "to_page", "to_url", "to_date")).alias("revisits"))
-    work = index.select("file").distinct().join(lists, "file", "left")
+    # The rows are few and small, whatever the archives hold, so their number of tasks has to be told.
+    work = index.select("file").distinct().join(lists, "file", "left").repartition(_tasks(spark), "file")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = _Roll(folder, ".warc.gz", lambda name: member(warc_record("warcinfo", {"WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"software: pixloom\r\nformat: WARC File Format 1.1\r\n")), most)
@@ -291,7 +375,7 @@ def convert(index: DataFrame, least: int = 1000, most: int = 16 << 20) -> DataFr
             for file, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 to = {x["at"]: {"page_id": x["to_page"], "url": x["to_url"], "date": x["to_date"], "id": record_id(x["to_url"], x["to_date"], x["to_page"])} for x in again or ()}
                 with _open(file, "rb") as stream:
-                    for at, record in read_arc(stream):
+                    for at, record in _named(file, read_arc(stream)):
                         roll.add(member(convert_record(record, to.get(at))))
         roll.end()
         yield _rows(roll.done, ("file", "records"), (pa.string(), pa.int64()))
@@ -302,38 +386,34 @@ def convert(index: DataFrame, least: int = 1000, most: int = 16 << 20) -> DataFr
 def read_warc(files: DataFrame) -> DataFrame:
     """A row for each response or revisit of the archives; sizes and digests are of the full payload.
 
-    A response's are measured on its payload and held against its headers; a revisit's are as its HTTP header and
-    its WARC-Payload-Digest state, since its payload is in the record it refers to.
+    A response's are measured on its payload, and intact says whether the digest is the stated one; a revisit's are as
+    the record states, since its payload is in the record it refers to, and intact is null. What an old server said of
+    its Content-Length counts for nothing. A file listed twice is read twice; an empty list gives no row.
     """
     names = tuple(x.split()[0] for x in _READ.split(", "))
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        kind, (http, _, body) = head["WARC-Type"], split_http(block)
+        stated, to = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page", "None")
+        size, found = (int(head["X-Payload-Length"]), stated) if kind == "revisit" else (len(body), hashlib.sha1(body).hexdigest())
+        same = None if kind == "revisit" else found == stated
+        return (_page_id(http), head["WARC-Target-URI"], size, found, kind, None if to == "None" else int(to), head["WARC-Date"], head["WARC-Record-ID"], same)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                rows = []
                 with _open(file, "rb") as stream:
-                    for at, raw in members(stream):
-                        head, block = parse_warc(raw)
-                        kind = head["WARC-Type"]
-                        if kind == "warcinfo":
-                            continue
-                        http, _, body = split_http(block)
-                        stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        length = int(http[b"Content-Length"]) if b"Content-Length" in http else len(body)
-                        if kind == "response" and (hashlib.sha1(body).hexdigest() != stated or len(body) != length):
-                            raise ValueError(f"{file} at {at}: the payload is not what its headers state")
-                        to = head.get("X-Refers-To-Page", "None")
-                        rows.append((int(http[_PAGE]) if _PAGE in http else None, head["WARC-Target-URI"], length, stated, kind, None if to == "None" else int(to), head["WARC-Date"], head["WARC-Record-ID"]))
+                    records = map(parse_warc, _named(file, members(stream)))
+                    rows = [row(head, block) for head, block in records if head["WARC-Type"] != "warcinfo"]
                 yield _rows(rows, names, types)
 
     return _spread(files).mapInArrow(each, _READ)
 
 
 def archive(pages: DataFrame, version: int = 1, least: int = 1000) -> DataFrame:
-    """``pages`` written as ARC, converted to WARC and read back: one row (see read_warc) for each page."""
-    return read_warc(convert(index_arc(write_arc(pages, version)), least))
-
+    """``pages`` written as ARC, converted to WARC and read back: one row (see read_warc) for each page.
 
-def in_memory(records: list[bytes]) -> io.BytesIO:
-    return io.BytesIO(b"".join(map(member, records)))
+    Nulls and repeated rows are as write_arc says; an empty table gives an empty table; columns but page_id, url, html aren't read.
+    """
+    return read_warc(convert(index_arc(write_arc(pages, version)), least))

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import io
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -339,15 +341,28 @@ def test_archives_round_trip(spark, version):
 
 def test_arc_lengths_are_held_to():
     block = warc.http_block(7, b"body")
-    record = warc.arc_record(1, "http://x/a b", "2009", block)
-    assert warc.parse_arc(record, warc.ARC_V1_NAMES.split(" ")).block == block
+    header, record = warc.arc_file_header(1, "n", "2009"), warc.arc_record(1, "http://x/a b", "2009", block)
+    read = lambda *parts: [(r.url, r.block) for _, r in warc.read_arc(io.BytesIO(b"".join(parts)))]
+    assert read(header, record) == [("http://x/a b", block)]
     assert warc.warc_date("2009") == "2009-01-01T00:00:00Z" and warc.warc_date("20090203040506") == "2009-02-03T04:05:06Z"
     with pytest.raises(ValueError, match="declared"):
-        warc.parse_arc(record[:-9], warc.ARC_V1_NAMES.split(" "))
+        read(header, record[:-9])
     with pytest.raises(ValueError, match="fields"):
-        warc.parse_arc(record, warc.ARC_V2_NAMES.split(" ") + ["More", "And-more"])
-    stream = warc.in_memory([warc.arc_file_header(2, "n", "2009"), warc.arc_record(2, "u", "2009", block), warc.arc_record(2, "v", "2010", b"x" * 700000)])
-    assert [(r.url, len(r.block)) for _, r in warc.read_arc(stream)] == [("u", len(block)), ("v", 700000)]
+        read(warc.arc_file_header(2, "n", "2009"), record.replace(b"a b", b"a"))
+    # Uncompressed, a member a record, all in one, and cut anywhere.
+    parts = [warc.arc_file_header(2, "n", "2009"), warc.arc_record(2, "u", "2009", block), warc.arc_record(2, "v", "2010", b"x\n\n" * 200000), warc.arc_record(2, "w", "2010", b"")]
+    whole, want = b"".join(parts), [("u", block), ("v", b"x\n\n" * 200000), ("w", b"")]
+    for packed in ([whole], map(warc.member, parts), [warc.member(whole)], map(warc.member, (whole[:90], whole[90:300000], whole[300000:]))):
+        assert read(*packed) == want
+
+
+def test_old_records_with_wrong_lengths_give_rows(spark, tmp_path):
+    block = b"HTTP/1.0 200 OK\r\nContent-Length: 7\r\n\r\n" + b"longer than stated" * 100
+    parts = [warc.arc_file_header(1, "n", "2009"), warc.arc_record(1, "u", "2009", block), warc.arc_record(1, "v", "2009", block), warc.arc_record(1, "w", "2009", b"no http at all")]
+    (tmp_path / "old.arc").write_bytes(b"".join(parts))
+    files = spark.createDataFrame([(f"file://{tmp_path}/old.arc", 3)], "file string, records long")
+    got = sorted((r.url, r.payload_bytes, r.record_type, r.intact) for r in warc.read_warc(warc.convert(warc.index_arc(files))).collect())
+    assert got == [("u", 1800, "revisit", None), ("v", 1800, "response", True), ("w", 14, "response", True)]
 
 
 # ---- 5 -----------------------------------------------------------------------------------------------------------
@@ -621,6 +636,19 @@ def test_pii_query_against_plain_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans_).encode()).hexdigest()
 
 
+def test_pii_takes_linear_time_and_finds_what_the_patterns_find():
+    for text in ("1" * 2_000_000, "a" * 2_000_000, "a@" * 1_000_000, "1." * 1_000_000, "+1(" * 600_000, "a.b-" * 500_000 + "@", "AB12 " * 400_000):
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 15
+    rng = random.Random(3)
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"}
+    for _ in range(4000):
+        text = "".join(rng.choices("ab_@@..-12 ", k=rng.randint(0, 40)))
+        assert list(pii.emails(text)) == [m.span() for m in re.finditer(plain["email"], text)]
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in re.finditer(plain["ip"], text)]
+
+
 def test_pii_awkward(spark):
     got = pii.detect_pii(awkward(spark).withColumn("pii_spans", F.lit(1)))
     assert got.count() == len(AWKWARD) and all(r.pii_spans == [] for r in got.collect())
