@@ -53,8 +53,8 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 class Words:
     """The words of the rows ``lo`` to ``hi`` of a text column.
 
-    codes: the same number for the same lower-cased (A-Z) word within the slice, and for no other; hash: xxh3 of its bytes,
-    64 bits; first: where each row's words begin in these, one more than rows. start, end: byte positions in the slice.
+    codes: the same number for the same lower-cased (A-Z) word within the slice, and for no other; distinct: xxh3 of the bytes
+    of the word that has each number, 64 bits; hash: that of each word; first: where each row's words begin in these, one more than rows. start, end: byte positions in the slice.
     loose: signs of ASCII separate words too, and Latin capitals fold.
     """
 
@@ -78,15 +78,15 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.offsets = off
         if not len(self.start):
-            self.codes, self.hash = np.zeros(0, np.int32), np.zeros(0, U)
+            self.codes, self.distinct, self.hash = np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, U)
             return
         # Every distinct word is hashed once, from its bytes.
         ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
         letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[inside]])])
-        distinct = letters.dictionary_encode()
-        self.codes = distinct.indices.to_numpy()
-        words = distinct.dictionary
-        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), U, len(words))[self.codes]
+        encoded = letters.dictionary_encode()
+        self.codes, words = encoded.indices.to_numpy(), encoded.dictionary
+        self.distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), U, len(words))
+        self.hash = self.distinct[self.codes]
 
     def row(self, i: int) -> np.ndarray:
         return self.hash[self.first[i] : self.first[i + 1]]

@@ -408,15 +408,72 @@ def test_exchange_gain_is_the_likelihoods(spark):
         assert scores[best] == pytest.approx(max(scores))
 
 
-def test_model_is_a_distribution(spark):
-    model, vocabulary = lm.train(corpus(spark).limit(60))
-    counts = {r.h: r.n for r in vocabulary.collect()}
-    h = np.array(list(counts), np.int64).view(np.uint64)
-    part = np.append(model.part[lm.places(h, model.words, model.ids)], model.part[lm.END])
-    c = np.append(np.array(list(counts.values())), model.end_count)
-    for before in (0, int(model.part[lm.END])):
-        known = (lm.MIX * model.transition[before, part] * model.emission(part, c) + (1 - lm.MIX) * model.base(c)).sum()
-        assert 0.9 < known < 1  # the rest is for words not seen
+def test_leaving_words_go_where_the_likelihood_grows_most():
+    rng = np.random.default_rng(1)
+    n, k = 9, 7
+    other = k - 2
+    part = np.append(rng.integers(0, other, n), [k - 1])  # core words and the end; no pair of words of the class of others
+    pairs = rng.integers(0, 9, (n + 1, n + 1)).astype(float)
+    words = [(rng.integers(0, 4, n + 1), rng.integers(0, 4, n + 1)) for _ in range(40)]
+
+    def matrix(places):
+        m = np.zeros((k, k))
+        np.add.at(m, (part[:, None], part[None, :]), pairs)
+        for (left, right), c in zip(words, places, strict=True):
+            np.add.at(m, (part, c), left)
+            np.add.at(m, (c, part), right)
+        return m
+
+    whole = matrix([other] * 40)
+    rows = [(i, side, c, x) for i, sides in enumerate(words) for side in (0, 1) for c, x in enumerate(np.bincount(part, sides[side], minlength=k)) if x]
+    got = lm.leave(whole, *(np.array(x) for x in zip(*rows, strict=True)))
+    for i in range(40):
+        scores = [lm.likelihood(matrix([other] * i + [c] + [other] * (39 - i))) for c in range(k - 1)]
+        assert scores[got[i]] == pytest.approx(max(scores), abs=1e-6)
+
+
+@pytest.mark.parametrize("known", [1 << 19, 50])
+def test_scores_against_brute_force(spark, monkeypatch, known):
+    """Every class count, transition and emission from the texts themselves, whether words are sent to tasks or joined."""
+    import xxhash
+
+    monkeypatch.setattr(lm, "KNOWN", known)
+    docs = [(r.doc_id, r.text) for r in corpus(spark).limit(90).collect()] + [(900, None), (901, "never seen before and never again")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    train = [words(t) for i, t in docs if i % 3 and i < 900]
+    model, vocabulary = lm.train(frame.where("doc_id % 3 <> 0 AND doc_id < 900"))
+    facts = {r.h: (r.n, r.part) for r in vocabulary.collect()}
+    key = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w.encode())).view(np.int64))
+    counts = collections.Counter(w for t in train for w in t)
+    assert {key(w): n for w, n in counts.items()} == {h: n for h, (n, _) in facts.items()}
+    k, end = lm.CLASSES, lm.CLASSES - 1
+    total, size = np.zeros(k), np.zeros(k)
+    for w, n in counts.items():
+        total[facts[key(w)][1]] += n
+        size[facts[key(w)][1]] += 1
+    total[end], size[end] = len(train), 1
+    m = np.zeros((k, k))
+    for t in train:
+        c = [end, *(facts[key(w)][1] for w in t), end]
+        np.add.at(m, (c[:-1], c[1:]), 1)
+    n_all, v = sum(counts.values()) + len(train), len(counts) + 1
+    share = (total + lm.ALPHA) / (total.sum() + lm.ALPHA * k)
+    row = lambda c: share if c is None else (m[c] + lm.ALPHA) / (m[c].sum() + lm.ALPHA * k)
+    emit = lambda n, c: (n + lm.DELTA) / (total[c] + lm.DELTA * (size[c] + 1))
+    got = {r.doc_id: r for r in lm.score(frame, (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 900)).collect()}
+    assert len(set(p for _, p in facts.values())) > 20 or known < 100
+    for i, text in docs:
+        before, score = end, 0.0
+        for w in [*words(text), None]:
+            n, c = (len(train), end) if w is None else facts.get(key(w), (0, None))
+            p = sum(row(before)[x] * emit(0, x) for x in range(k)) if c is None else row(before)[c] * emit(n, c)
+            score += math.log10(lm.MIX * p + (1 - lm.MIX) * (n + 1) / (n_all + v))
+            before = c
+        assert got[i].score == pytest.approx(score) and got[i].n_known == sum(w in counts for w in words(text)) + 1
+    h = np.array(list(facts), np.int64)
+    part, c = np.append([facts[x][1] for x in h], end), np.append([facts[x][0] for x in h], len(train))
+    for prior in (0, end, model.unseen):
+        assert 0.9 < model.full(np.full(len(c), prior), part, c).sum() < 1  # the rest is for words not seen
 
 
 def test_language_model_awkward(spark):
