@@ -467,7 +467,7 @@ def test_scores_against_brute_force(spark, monkeypatch, known):
         for w in [*words(text), None]:
             n, c = (len(train), end) if w is None else facts.get(key(w), (0, None))
             p = sum(row(before)[x] * emit(0, x) for x in range(k)) if c is None else row(before)[c] * emit(n, c)
-            score += math.log10(lm.MIX * p + (1 - lm.MIX) * (n + 1) / (n_all + v))
+            score += math.log10(lm.MIX * p + (1 - lm.MIX) * (n + 1) / (n_all + v + 1))
             before = c
         assert got[i].score == pytest.approx(score) and got[i].n_known == sum(w in counts for w in words(text)) + 1
     h = np.array(list(facts), np.int64)
