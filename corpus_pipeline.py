@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixloom.llm import decontam, langid, lines, mixing, ngram_join
-from pixloom.llm.common import stored, table
+from pixloom.llm.common import by_ids, stored, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,20 +31,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by n-gram similarity the one with the smallest id stays; so do rows that link with nothing.
 
-    Rows with a null id link with nothing, so all of them stay, copies too.
+    Rows with a null id link with nothing, so all of them stay, copies too. An empty table stays empty.
     """
     extra = ngram_join.link_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, extra, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go; each row by its own text, with a null or repeated id too.
 
-    A row is known by a 64-bit hash of its id and text.
+    A row is known by a 64-bit hash of its id and text. An empty table, or an empty benchmark, changes nothing.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    leaks = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(leaks, "_row", "left_anti").select(*docs.columns)
+    row = unused("_row", docs)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    leaks = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), row).select("doc_id").distinct()
+    return by_ids(keyed, leaks, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import stored
+from .common import join_by_key, stored, unused
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_IDS, _HASHES = "_line_doc", "_line_hashes"
 
 
 def line_key(line: str) -> str:
@@ -69,24 +69,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty table. ``min_docs`` of one has nothing to compare and is refused.
 
     Plan: one row per document and distinct line key; minimum and count per key (combined before the shuffle, so a line in
-    every document costs a row per task); hashes to drop joined back by key, where adaptive execution splits hot keys;
+    every document costs a row per task); hashes to drop come back by key, hot ones by broadcast (see join_by_key);
     then one join by document puts the drop list beside the text.
     """
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    kind = docs.schema[id_col].dataType
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-
-    key_schema = StructType([StructField("doc", kind), StructField("h", BinaryType())])
+    key_schema = StructType([StructField("doc", docs.schema[id_col].dataType), StructField("h", BinaryType())])
     keys = stored(docs.select(id_col, text_col).mapInArrow(_lines_of(min_chars), key_schema), "line-keys")
     order: Column = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"))
-    held = keys.groupBy("h").agg(F.min(order).alias("first"), *_count(order, min_docs))
-    held = held.where("many").select("h", "first")
-    dropped = keys.join(held, "h").where(F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc")) > F.col("first"))
+    held = keys.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("held_by"), *_count(order, min_docs))
+    held = stored(held.where("many").select("h", "first", "held_by"), "line-firsts")
+    dropped = join_by_key(keys, held, ["h"], "held_by").where(order > F.col("first"))
     # A document's list is bounded by its own lines.
-    lists = dropped.groupBy("doc").agg(F.collect_set("h").alias(_HASHES)).withColumnRenamed("doc", _IDS)
-    beside = docs.join(lists, docs[id_col].eqNullSafe(lists[_IDS]), "left").drop(_IDS)
+    by, hashes = unused("_doc", docs), unused("_hashes", docs)
+    lists = dropped.groupBy(F.col("doc").alias(by)).agg(F.collect_set("h").alias(hashes))
+    beside = docs.join(lists, F.col(id_col).eqNullSafe(F.col(by)), "left").drop(by)
     out = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     return beside.mapInArrow(_reassemble(docs.columns.index(text_col), len(docs.columns), min_chars), out)
 

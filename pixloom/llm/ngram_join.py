@@ -28,15 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import by_ids, components, discard, join_by_key, stored
 from .textkit import U, Words, as_text, exact_runs, mix, shingle_sets, slices
 
 #: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
 COARSE, NEAR, FINE_MOST = 32, 256, 16384
 #: The highest count that a point's vector holds; it stands for any number from there on.
 _MANY = 127
-#: Points in a leaf and leaves in an inner node at most; ids that are sent to all tasks at most (else the texts are shuffled); frequent shingles known by name.
-LEAF, INNER, MOST_SENT, MOST_FREQUENT = 512, 64, 1 << 20, 1 << 19
+#: Points in a leaf and leaves in an inner node at most; frequent shingles known by name.
+LEAF, INNER, MOST_FREQUENT = 512, 64, 1 << 19
 #: A shingle is frequent if, in a stretch of documents, so many hold it.
 _TIMES, _STRETCH = 4, 4096
 
@@ -186,7 +186,7 @@ def _bounded(percent: int):
 def survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, rank) that the bound on fine groups leaves."""
     pairs = stored(pairs, "candidates")
-    nodes = _some_of(nodes.select("node", "n", "fine"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
+    nodes = by_ids(nodes.select("node", "n", "fine"), pairs.select("a").union(pairs.select("b")).distinct(), "node", "left_semi")
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "rank", "na", "fa", "nb", "fb").mapInArrow(_bounded(percent), "a long, b long, rank long")
@@ -229,12 +229,6 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
 
 
-def _some_of(table: DataFrame, ids: DataFrame, by: str) -> DataFrame:
-    """Some rows of a table. A list of ids within MOST_SENT goes to all tasks; a longer one is joined."""
-    ids = stored(ids.distinct().toDF(by), "ids")
-    return table.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, by, "left_semi")
-
-
 #: Rows and pairs of points that a task looks at together.
 _ROWS, _PAIRS = 1 << 16, 1 << 19
 
@@ -383,10 +377,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = stored(docs.mapInArrow(_points(shingle, percent, sent), _POINT), "points")
 
     some = points.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    members = stored(points.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "members")
-    nodes = some.join(classes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("node", "n", "curve", "coarse", "near", "fine", "lead")
-    nodes = stored(nodes, "nodes")
+    alike = ["n", "s1", "s2"]
+    classes = stored(some.groupBy(*alike).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    members = join_by_key(some.select("doc_id", *alike), classes, alike, "copies").select("doc_id", "n", "node")
+    members = stored(members.union(points.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long"))), "members")
+    # A class stands for its copies by the point with its smallest id; of the others only the id goes on.
+    nodes = by_ids(some, members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi")
+    if members.where("doc_id = node").count() > classes.count():  # rows that occur twice
+        nodes = nodes.dropDuplicates(["doc_id", *alike])
+    nodes = stored(nodes.select(F.col("doc_id").alias("node"), "n", "curve", "coarse", "near", "fine", "lead"), "nodes")
+    discard(points, classes)
     entries = nodes.select(F.explode("lead").alias("key"), "node", "n")
     entries = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     entries = stored(entries.mapInArrow(_not_alone, "key long, node long, n long"), "filed")
@@ -410,8 +410,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    texts = stored(_some_of(docs, pairs.select("a").union(pairs.select("b")), "doc_id"), "texts")
-    return verified(pairs, texts, shingle, percent)
+    texts = stored(by_ids(docs, pairs.select("a").union(pairs.select("b")).distinct(), "doc_id", "left_semi"), "texts")
+    links = verified(pairs, texts, shingle, percent)
+    discard(pairs, texts)
+    return links
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored
+from .common import join_by_key, stored, unused
 from .textkit import U, Words, as_text, mix, placed_sums, slices
 
 #: Consecutive sentences in a span; words that they have together at least; words at which a long sentence is cut.
@@ -226,9 +226,11 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = spans.repartitionByRange("h1", "h2", "doc", "place").sortWithinPartitions("h1", "h2", "doc", "place")
     spans = stored(spans.mapInArrow(_not_alone, f"h1 long, h2 long, doc {kind}, place long"), "spans")
     where = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("place").alias("place"))
-    first = spans.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("final")).where("first < final").drop("final")
-    again = spans.join(first, ["h1", "h2"]).where(where > F.col("first"))
-    lists = again.groupBy("doc").agg(F.collect_set(F.struct("place", "h1")).alias("_drops")).withColumnRenamed("doc", "_span_doc")
-    beside = docs.join(lists, docs[id_col].eqNullSafe(lists["_span_doc"]), "left").drop("_span_doc")
+    first = spans.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("final"), F.count("*").alias("held"))
+    first = stored(first.where("first < final").drop("final"), "span-firsts")
+    again = join_by_key(spans, first, ["h1", "h2"], "held").where(where > F.col("first"))
+    by, drops = unused("_doc", docs), unused("_drops", docs)
+    lists = again.groupBy(F.col("doc").alias(by)).agg(F.collect_set(F.struct("place", "h1")).alias(drops))
+    beside = docs.join(lists, F.col(id_col).eqNullSafe(F.col(by)), "left").drop(by)
     out = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
     return beside.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), window), out)

@@ -95,6 +95,34 @@ def test_words_and_sequences_that_cancel_out_in_sums_of_powers(spark):
     assert {r.doc_id: r.n_known for r in lm.score(frame, F.col("doc_id") == 1).collect()} == {1: 2, 2: 1, 3: 1 + 1, 4: 1}
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a line of ten. " * 3, "x"), (2, "a line of ten. " * 3, "y")], "doc_id long, text string, _doc string").withColumn("_hashes", F.lit(1)).withColumn("_drops", F.lit(2))
+    for got in (lines.dedup_lines(docs), spans.dedup_spans(docs)):
+        assert got.columns[:5] == docs.columns and sorted((r._doc, r._hashes, r._drops) for r in got.collect()) == [("x", 1, 2), ("y", 1, 2)]
+
+
+def test_join_by_key_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = common.stored(spark.createDataFrame([(0 if i < 60 else i % 17, i) for i in range(100)], "k long, i long"), "rows")
+    facts = common.stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("n > 1"), "facts")
+    want = rows.join(facts.drop("n"), "k")
+    assert sorted(map(tuple, common.join_by_key(rows, facts, ["k"], "n").collect())) == sorted(map(tuple, want.collect()))
+    common.discard(rows)
+    assert common.by_ids(facts, facts.select("k").where("k > 3"), "k", "left_anti").count() == facts.where("k <= 3").count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class sparkContext:
+            applicationId, master = "other", "spark://host"
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="share"):
+        common.scratch(Session)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (None, 3)]
