@@ -181,14 +181,36 @@ def test_leaks_against_brute_force(spark):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    prints = rng.integers(0, 1 << 16, (300, decontam.BLOCKS)).astype(np.uint16)
     wanted = prints.copy()
     for i in range(300):
-        for bit in rng.choice(64, i % 24, replace=False):
-            wanted[i] ^= np.uint64(1 << int(bit))
-    a, b = decontam.MultiIndex([int(p) for p in prints], 20).near(wanted)
-    near = np.bitwise_count(wanted[:, None] ^ prints[None, :]) <= 20
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+        for bit in rng.choice(decontam.BITS, i % 70, replace=False):
+            wanted[i, bit // 16] ^= np.uint16(1 << (bit % 16))
+    away = np.bitwise_count(wanted[:, None] ^ prints[None, :]).sum(2)
+    for radius in (0, 20, 40, 63):
+        a, b = decontam.MultiIndex(prints, radius).near(wanted)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(away <= radius)), strict=True))
+    # Of fingerprints that have nothing to do with each other few are compared at all.
+    index = decontam.MultiIndex(prints)
+    assert len(index.looked_up(rng.integers(0, 1 << 16, (300, decontam.BLOCKS)).astype(np.uint16))[0]) < 0.015 * 300 * 300
+
+
+def test_fingerprints_recall_near_the_threshold():
+    """Windows as similar to an item as 0.8 to 0.9: nearly all have fingerprints within the radius."""
+    rng = np.random.default_rng(2)
+    inside = collections.Counter()
+    for _ in range(3000):
+        m = int(rng.integers(20, 90))
+        item = rng.integers(0, 1 << 63, m).astype(np.uint64)
+        other = item.copy()
+        lost = rng.choice(m, int(rng.integers(1, max(2, m // 8))), replace=False)
+        other[lost] = rng.integers(0, 1 << 63, len(lost)).astype(np.uint64)
+        like = decontam.weighted_similarity(item, other)
+        if like >= 0.8:
+            away = np.bitwise_count(decontam.simhash(item) ^ decontam.simhash(other)).sum()
+            inside[like < 0.85, bool(away <= decontam.RADIUS)] += 1
+    near, far = (inside[x, True] / (inside[x, True] + inside[x, False]) for x in (True, False))
+    assert inside[True, True] > 300 and near > 0.995 and far > 0.999
 
 
 def test_leaks_awkward(spark):
