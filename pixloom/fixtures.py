@@ -12,14 +12,18 @@ VALUES = {
     "s10": "CAST(greatest(-512, least(511, floor(@ * 511))) AS BIGINT)",
     "s16": "CAST(greatest(-32768, least(32767, floor(@ * 32767))) AS BIGINT)",
     "f32": "@",
+    "unit": "CAST(CAST((@ + 1) / 2 AS FLOAT) AS DOUBLE)",
+    # To a half-precision number: steps of 2^-12 are coarser than those between 2^-2 and 2^-1, and none lies beyond.
+    "f16": "(floor(@ * 4096) / 4096)",
+    "unit16": "((floor(@ * 512) + 512) / 1024)",
 }
 
 
 def embedding_pixels(spark: SparkSession, sf_dir: str, width: int, height: int, channels: int, value: str, constant_alpha: bool = False) -> DataFrame:
-    """One image for each embedding, its components in row-major, interleaved order."""
+    """One image for each embedding, its 64 components in row-major, interleaved order, from the first again if they are too few."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("a"))
     px = e.select("image_id", "a", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("p"))
-    cells = [f"{VALUES[value].replace('@', f'a[p * {channels} + {c}]')} AS v{c}" for c in range(channels)]
+    cells = [f"{VALUES[value].replace('@', f'a[(p * {channels} + {c}) % 64]')} AS v{c}" for c in range(channels)]
     out = px.selectExpr("image_id", f"CAST(p div {width} AS INT) AS y", f"CAST(p % {width} AS INT) AS x", *cells)
     if constant_alpha:
         last = f"v{channels - 1}"
@@ -30,32 +34,32 @@ def embedding_pixels(spark: SparkSession, sf_dir: str, width: int, height: int,
 def embedding_sql(width: int, height: int, channels: int, value: str, constant_alpha: bool = False) -> str:
     cells = []
     for c in range(channels):
-        cell = VALUES[value].replace("@", f"CAST(embedding[p * {channels} + {c} + 1] AS DOUBLE)")
+        cell = VALUES[value].replace("@", f"CAST(embedding[(p * {channels} + {c}) % 64 + 1] AS DOUBLE)")
         if constant_alpha and c == channels - 1:
             cell = f"CASE WHEN vec_id % 2 = 0 THEN 128 ELSE {cell} END"
         cells.append(f"{cell} AS v{c}")
     return f"SELECT vec_id AS image_id, CAST(p // {width} AS INT) AS y, CAST(p % {width} AS INT) AS x, {', '.join(cells)} FROM embeddings, range({width * height}) AS r(p)"
 
 
-#: Counts of events by hour (x) and day (y), a plane of 24 by 30 for each type, by the order of their names.
-HEAT = (24, 30)
+#: Counts of events by hour (x) and day (y), modulo 256, a plane of 24 by 31 for each type, by the order of their names.
+HEAT = (24, 31)
 _HEAT = """
 WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS image_id FROM (SELECT DISTINCT event_type FROM events) AS d),
-n AS (SELECT event_type, day(ts) AS d, hour(ts) AS h, count(*) AS n FROM events WHERE day(ts) <= 30 GROUP BY 1, 2, 3),
+n AS (SELECT event_type, day(ts) AS d, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3),
 g AS (SELECT image_id, event_type, y, x FROM t, {ys}, {xs})
-SELECT CAST(g.image_id AS BIGINT) AS image_id, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, CAST(least(255, coalesce(n.n, 0)) AS BIGINT) AS v0
+SELECT CAST(g.image_id AS BIGINT) AS image_id, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, CAST(coalesce(n.n, 0) % 256 AS BIGINT) AS v0
 FROM g LEFT JOIN n ON g.event_type = n.event_type AND n.d = g.y + 1 AND n.h = g.x
 """
 
 
 def heat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts")
-    counts = events.where(F.dayofmonth("ts") <= HEAT[1]).groupBy("event_type", F.dayofmonth("ts").alias("d"), F.hour("ts").alias("h")).agg(F.count("*").alias("n"))
+    counts = events.groupBy("event_type", F.dayofmonth("ts").alias("d"), F.hour("ts").alias("h")).agg(F.count("*").alias("n"))
     # The types, a handful of rows, are numbered by name.
     names = events.select("event_type").distinct().selectExpr("event_type", "row_number() OVER (ORDER BY event_type) AS image_id")
     grid = names.selectExpr("*", f"explode(sequence(0, {HEAT[1] - 1})) AS y").selectExpr("*", f"explode(sequence(0, {HEAT[0] - 1})) AS x")
     met = grid.join(counts, (grid.event_type == counts.event_type) & (grid.y + 1 == counts.d) & (grid.x == counts.h), "left")
-    return met.selectExpr("CAST(image_id AS BIGINT) AS image_id", "y", "x", "CAST(least(255, coalesce(n, 0)) AS BIGINT) AS v0")
+    return met.selectExpr("CAST(image_id AS BIGINT) AS image_id", "y", "x", "CAST(coalesce(n, 0) % 256 AS BIGINT) AS v0")
 
 
 def heat_sql() -> str:

@@ -34,9 +34,35 @@ def _each(template: str) -> Stage:
     return tuple(template.replace("@", f"v{i}") for i in range(3))
 
 
-DECODE = _each("CASE WHEN @ / 255e0 <= 0.04045e0 THEN @ / 255e0 / 12.92e0 ELSE power((@ / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END")
-ENCODE = _each("CASE WHEN @ <= 0.0031308e0 THEN 12.92e0 * @ ELSE 1.055e0 * power(greatest(@, 0e0), 1e0 / 2.4e0) - 0.055e0 END")
-STORE = _each("CAST(round(255e0 * greatest(0e0, least(1e0, @))) AS BIGINT)")
+# Transfer functions as (linear below, its slope, offset, exponent), encoded end of the linear part; or an exponent alone.
+_CURVES = {"srgb": (0.0031308, 12.92, 0.055, 2.4, 0.04045), "rec709": (0.018, 4.5, 0.099, 1 / 0.45, 0.081), "smpte240": (0.0228, 4.0, 0.1115, 1 / 0.45, 0.0913)}
+_GAMMAS = {"gamma22": 2.2, "gamma28": 2.8, "smpte428": 2.6, "linear": 1.0}
+TRANSFERS = (*_CURVES, *_GAMMAS)
+
+
+def decode(transfer: str = "srgb", most: int = 255) -> str:
+    """SQL of a stored sample @ as linear light, 0 to 1."""
+    v = f"(@ / {most}e0)"
+    if transfer in _GAMMAS:
+        return f"power({v}, {_GAMMAS[transfer]!r}e0)"
+    _, slope, offset, exponent, end = _CURVES[transfer]
+    return f"CASE WHEN {v} <= {end!r}e0 THEN {v} / {slope!r}e0 ELSE power(({v} + {offset!r}e0) / {1 + offset!r}e0, {exponent!r}e0) END"
+
+
+def encode(transfer: str = "srgb") -> str:
+    """SQL of linear light @ as an encoded number, 0 to 1."""
+    if transfer in _GAMMAS:
+        return f"power(greatest(@, 0e0), 1e0 / {_GAMMAS[transfer]!r}e0)"
+    end, slope, offset, exponent, _ = _CURVES[transfer]
+    return f"CASE WHEN @ <= {end!r}e0 THEN {slope!r}e0 * @ ELSE {1 + offset!r}e0 * power(greatest(@, 0e0), 1e0 / {exponent!r}e0) - {offset!r}e0 END"
+
+
+def store(most: int = 255) -> str:
+    """SQL of a number @, 0 to 1, as a stored sample."""
+    return f"CAST(round({most}e0 * greatest(0e0, least(1e0, @))) AS BIGINT)"
+
+
+DECODE, ENCODE, STORE = _each(decode()), _each(encode()), _each(store())
 
 _F = "CASE WHEN @ > 216e0 / 24389e0 THEN cbrt(@) ELSE (24389e0 / 27e0 * @ + 16e0) / 116e0 END"
 _F_BACK = "CASE WHEN @ > 6e0 / 29e0 THEN @ * @ * @ ELSE (116e0 * @ - 16e0) * 27e0 / 24389e0 END"
@@ -83,28 +109,42 @@ _UNSCALED = tuple(f"(v{i} * {w!r})" for i, w in enumerate(WHITE))
 _SIGMOID = _each("(1e0 / (1e0 + exp(-@ / 255e0)))")
 _LOGIT = _each("ln(greatest(@, 1e-9) / greatest(1e0 - @, 1e-9))")
 
-#: By name: the stages from stored samples to the space, and back to stored samples.
-SPACES: dict[str, tuple[tuple[Stage, ...], tuple[Stage, ...]]] = {
-    "linear": ((DECODE,), (ENCODE, STORE)),
-    "xyz": ((DECODE, _XYZ), (_matrix(XYZ_RGB), ENCODE, STORE)),
-    "lab": (
-        (DECODE, _XYZ, _SCALED, _each(_F), ("(116e0 * v1 - 16e0)", "(500e0 * (v0 - v1))", "(200e0 * (v1 - v2))")),
-        (("((v0 + 16e0) / 116e0 + v1 / 500e0)", "((v0 + 16e0) / 116e0)", "((v0 + 16e0) / 116e0 - v2 / 200e0)"), _each(_F_BACK), _UNSCALED, _matrix(XYZ_RGB), ENCODE, STORE),
-    ),
-    "luv": ((DECODE, _XYZ, _LUV), (*_LUV_BACK, _matrix(XYZ_RGB), ENCODE, STORE)),
-    "lch": ((DECODE, _XYZ, _LUV, _POLAR), (_POLAR_BACK, *_LUV_BACK, _matrix(XYZ_RGB), ENCODE, STORE)),
-    "oklab": ((DECODE, _matrix(RGB_LMS), _each("cbrt(@)"), _matrix(LMS_OK)), (_matrix(OK_LMS), _each("(@ * @ * @)"), _matrix(LMS_RGB), ENCODE, STORE)),
-    "sigmoidal": ((_SIGMOID,), (_LOGIT, STORE)),
-}
-SPACES["jzazbz"] = tuple((*a, *b) for a, b in (((DECODE,), _jz(203)[0]), (_jz(203)[1], (ENCODE, STORE))))
-#: Alpha is scaled without a curve.
-ALPHA_STAGES = ("(v3 / 255e0)", "CAST(round(255e0 * greatest(0e0, least(1e0, v3))) AS BIGINT)")
-#: Linear light in 12-bit integers, and back.
-APPROX = (_each("CAST(round(4095e0 * @) AS BIGINT)"), _each("(@ / 4095e0)"))
 
+def spaces(transfer: str = "srgb", luminance: float = 203) -> dict[str, tuple[tuple[Stage, ...], tuple[Stage, ...]]]:
+    """By name: the stages from stored 8-bit RGB to the space, and back. ``luminance``: of white in Jzazbz, in candela a square metre.
 
-def stages(space: str) -> tuple[tuple[Stage, ...], tuple[Stage, ...]]:
-    if space == "linear_approx":
-        there, back = SPACES["linear"]
-        return (*there, APPROX[0]), (APPROX[1], *back)
-    return SPACES[space]
+    sigmoidal has no published definition: it is a logistic curve over samples from 0 to 1, and its inverse.
+    """
+    there, back = _each(decode(transfer)), (_each(encode(transfer)), STORE)
+    jz = _jz(luminance)
+    return {
+        "xyz": ((there, _XYZ), (_matrix(XYZ_RGB), *back)),
+        "lab": (
+            (there, _XYZ, _SCALED, _each(_F), ("(116e0 * v1 - 16e0)", "(500e0 * (v0 - v1))", "(200e0 * (v1 - v2))")),
+            (("((v0 + 16e0) / 116e0 + v1 / 500e0)", "((v0 + 16e0) / 116e0)", "((v0 + 16e0) / 116e0 - v2 / 200e0)"), _each(_F_BACK), _UNSCALED, _matrix(XYZ_RGB), *back),
+        ),
+        "luv": ((there, _XYZ, _LUV), (*_LUV_BACK, _matrix(XYZ_RGB), *back)),
+        "lch": ((there, _XYZ, _LUV, _POLAR), (_POLAR_BACK, *_LUV_BACK, _matrix(XYZ_RGB), *back)),
+        "oklab": ((there, _matrix(RGB_LMS), _each("cbrt(@)"), _matrix(LMS_OK)), (_matrix(OK_LMS), _each("(@ * @ * @)"), _matrix(LMS_RGB), *back)),
+        "jzazbz": ((there, *jz[0]), (*jz[1], *back)),
+        "sigmoidal": ((_SIGMOID,), (_LOGIT, STORE)),
+    }
+
+
+#: Alpha is scaled without a curve.
+ALPHA_STAGES = ("(@ / 255e0)", store())
+SPACES = tuple(spaces())
+LINEAR = ("linear", "linear_approx")
+
+
+def linear_stages(colors: int, sample: str, depth: int, approx: bool, transfer: str = "srgb") -> tuple[tuple[Stage, ...], tuple[Stage, ...], tuple[str, str]]:
+    """Stages for ``colors`` channels to linear light and back, and the expressions of alpha.
+
+    As floats, or ``approx``: as integers of 12 bits for 8-bit samples and of 16 for others, to which alpha is scaled too.
+    """
+    most, inner = 255 if sample == "u8" else (1 << depth) - 1, 4095 if sample == "u8" else 65535
+    each = lambda t: tuple(t.replace("@", f"v{i}") for i in range(colors))
+    there, back = each(decode(transfer, most)), (each(encode(transfer)), each(store(most)))
+    if not approx:
+        return (there,), back, (f"(@ / {most}e0)", store(most))
+    return (there, each(f"CAST(round({inner}e0 * @) AS BIGINT)")), (each(f"(@ / {inner}e0)"), *back), (f"CAST(round(@ / {most}e0 * {inner}e0) AS BIGINT)", f"CAST(round(@ / {inner}e0 * {most}e0) AS BIGINT)")

@@ -1,39 +1,63 @@
-"""Resampling in another colour space: 8-bit RGB(A) is converted, resampled as floats and converted back."""
+"""Resampling in another colour space: samples are converted, resampled as floats (or as linear integers) and converted back."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
-from ..functions.colorspaces import ALPHA_STAGES, stages
+from ..errors import GENERIC, UNSUPPORTED_BIT_DEPTH, ResampleError
+from ..functions.colorspaces import ALPHA_STAGES, LINEAR, TRANSFERS, linear_stages, spaces
 from ..plans.plan import Format, Plan, Scaler
 from .relational import KEYS, channels_of, resample
 
 
-def convert(px: DataFrame, steps, alpha: str | None) -> DataFrame:
-    """Stages of expressions over the channels; alpha, where there is one, is rescaled in the first or last."""
+@dataclass(frozen=True)
+class SpacePlan:
+    """A plan inside the space; the stages there and back of the colour channels; alpha's expressions, first stage and last."""
+
+    plan: Plan
+    there: tuple[tuple[str, ...], ...]
+    back: tuple[tuple[str, ...], ...]
+    alpha: tuple[str, str]
+
+
+def plan_in(space: str, src: tuple[int, int], dst: tuple[int, int], which, format: Format = Format("u8", "rgb"), transfer: str = "srgb", luminance: float = 203) -> SpacePlan:
+    """linear and linear_approx: any layout of u8, or of u16 of 8 bits or more; other spaces: u8 rgb and rgba.
+
+    ``transfer``: of TRANSFERS, the curve between stored samples and light. ``luminance``: of Jzazbz's white.
+    """
+    if transfer not in TRANSFERS:
+        raise ResampleError(GENERIC, f"no transfer function {transfer!r}")
+    colors = format.channels - (format.alpha is not None)
+    if space in LINEAR:
+        if format.sample not in ("u8", "u16"):
+            raise ResampleError(GENERIC, f"{space} takes u8 and u16 samples")
+        if format.depth < 8:
+            raise ResampleError(UNSUPPORTED_BIT_DEPTH, "linear light takes a bit depth of 8 or more")
+        approx = space == "linear_approx"
+        there, back, alpha = linear_stages(colors, format.sample, format.depth, approx, transfer)
+        inside = Format("u16", format.layout, 12 if format.sample == "u8" else 16) if approx else Format("f32", format.layout, 0)
+    else:
+        if format.sample != "u8" or colors != 3:
+            raise ResampleError(GENERIC, f"{space} takes rgb and rgba images of u8")
+        (there, back), alpha = spaces(transfer, luminance)[space], ALPHA_STAGES
+        inside = Format("f32", format.layout, 0)
+    return SpacePlan(Scaler(which, "quality").plan(src, dst, inside), there, back, alpha)
+
+
+def convert(px: DataFrame, steps, alpha: str) -> DataFrame:
+    """Stages of expressions over the colour channels; alpha, the channel after them if there is one, changes in the last."""
     for i, stage in enumerate(steps):
-        more = [] if len(channels_of(px)) < 4 else [f"{alpha} AS v3" if alpha and i == len(steps) - 1 else "v3"]
+        last, more = f"v{len(stage)}", []
+        if last in channels_of(px):
+            more = [f"{alpha.replace('@', last)} AS {last}" if i == len(steps) - 1 else last]
         px = px.selectExpr(*KEYS, *(f"{e} AS v{j}" for j, e in enumerate(stage)), *more)
     return px
 
 
-def plan_in(space: str, src: tuple[int, int], dst: tuple[int, int], which, layout: str) -> Plan:
-    format = Format("u16", layout, 12) if space == "linear_approx" else Format("f32", layout, 0)
-    return Scaler(which).plan(src, dst, format)
-
-
-def resample_in(px: DataFrame, space: str, src: tuple[int, int], dst: tuple[int, int], which) -> DataFrame:
-    """``px`` (u8 samples, three or four channels) resampled in ``space``. Equal sizes stay as they are, without conversion."""
-    layout = "rgba" if len(channels_of(px)) == 4 else "rgb"
-    plan = plan_in(space, src, dst, which, layout)
-    if not plan.steps:
+def resample_in(px: DataFrame, made: SpacePlan) -> DataFrame:
+    """``px`` resampled by a plan of plan_in. Equal sizes stay as they are, without conversion."""
+    if not made.plan.steps:
         return px
-    there, back = stages(space)
-    alpha = (None, None) if space == "linear_approx" else ALPHA_STAGES
-    inside = convert(px, there, alpha[0])
-    if space == "linear_approx" and layout == "rgba":
-        inside = inside.selectExpr(*KEYS, "v0", "v1", "v2", "CAST(round(v3 / 255e0 * 4095e0) AS BIGINT) AS v3")
-    out = convert(resample(inside, plan), back, alpha[1])
-    if space == "linear_approx" and layout == "rgba":
-        out = out.selectExpr(*KEYS, "v0", "v1", "v2", "CAST(round(v3 / 4095e0 * 255e0) AS BIGINT) AS v3")
-    return out
+    return convert(resample(convert(px, made.there, made.alpha[0]), made.plan), made.back, made.alpha[1])

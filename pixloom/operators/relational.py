@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import CROP_OUT_OF_BOUNDS, ResampleError
+from ..errors import BUFFER_MISMATCH, CROP_OUT_OF_BOUNDS, ResampleError
 from ..plans.plan import Format, Plan, Step
 from ..plans.weights import nearest_index, weights
 
@@ -40,23 +40,33 @@ def weight_rows(spark: SparkSession, in_size: int, out_size: int, which: str) ->
     return _small(spark.createDataFrame(rows, "out_idx int, in_idx int, tap int, w double, wq long"), len(rows))
 
 
+def half(x: Column) -> Column:
+    """A double as the nearest half-precision number, still a double: splitting it by 2^42 + 1 keeps 11 of its 53 bits."""
+    wide = x * 4398046511105.0
+    small = F.rint(x * 16777216.0) / 16777216.0  # below 2^-14 steps are of one size
+    return F.when(F.abs(x) < 2.0**-14, small).when(F.abs(x) >= 65520.0, x * float("inf")).otherwise(wide - (wide - x))
+
+
+def stored(x: Column, format: Format) -> Column:
+    """A floating-point number as the format stores it."""
+    return half(x) if format.sample == "f16" else x.cast("float").cast("double")
+
+
 def narrow(total: Column, format: Format) -> Column:
     """A sum of weighted samples as a sample: Q15 sums are rounded and shifted, others rounded half away from zero; both clamp."""
-    if format.sample == "f16":  # kept as float here; storing rounds it
-        return total.cast("float").cast("double")
     if format.floating:
-        return total.cast("float").cast("double")
+        return stored(total, format)
     low, high = format.limits
     # Ties are common (weights of sixteenths), so a sum is taken to a millionth first: its order then doesn't matter.
     value = F.shiftright(total + (1 << 14), 15) if format.fixed_point else F.round(F.round(total, 6)).cast("long")
     return F.greatest(F.lit(low), F.least(F.lit(high), value)).cast("long")
 
 
-def axis_pass(px: DataFrame, axis: str, in_size: int, out_size: int, which: str, format: Format) -> DataFrame:
+def axis_pass(px: DataFrame, axis: str, in_size: int, out_size: int, which: str, format: Format, single: bool = False) -> DataFrame:
     """One axis ('x' or 'y') resampled: pixels meet the taps that use them and are summed by output."""
     taps, names = weight_rows(px.sparkSession, in_size, out_size, which), channels_of(px)
     other = "y" if axis == "x" else "x"
-    tap = F.col("wq" if format.fixed_point else "w")
+    tap = F.col("wq") if format.fixed_point else F.col("w").cast("float").cast("double") if single else F.col("w")
     met = px.join(taps, px[axis] == taps["in_idx"])
     summed = met.groupBy("image_id", other, F.col("out_idx").alias(axis)).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
     return summed.select(*KEYS, *(narrow(F.col(c), format).alias(c) for c in names))
@@ -77,7 +87,7 @@ def nearest_pass(px: DataFrame, step: Step) -> DataFrame:
 
 def premultiplied(color: Column, alpha: Column, format: Format) -> Column:
     if format.floating:
-        return (color * alpha).cast("float").cast("double")
+        return stored(color * alpha, format)
     most = format.limits[1]
     if format.depth == 8:  # the usual exact rounding division by 255
         product = color * alpha + 128
@@ -90,7 +100,7 @@ def premultiplied(color: Column, alpha: Column, format: Format) -> Column:
 def divided(color: Column, alpha: Column, format: Format) -> Column:
     """The inverse. Where alpha is 0, 8-bit and float colours become 0 and 16-bit ones stay."""
     if format.floating:
-        return F.when(alpha == 0, F.lit(0.0)).otherwise((color / F.nullif(alpha, F.lit(0.0))).cast("float").cast("double"))
+        return F.when(alpha == 0, F.lit(0.0)).otherwise(stored(color / F.nullif(alpha, F.lit(0.0)), format))
     most = format.limits[1]
     safe = F.greatest(alpha, F.lit(1))
     if format.depth == 8:
@@ -126,22 +136,36 @@ def unpremultiply(px: DataFrame, format: Format) -> DataFrame:
 # ---- plans -------------------------------------------------------------------------------------------------------
 
 
-def run_step(px: DataFrame, step: Step, format: Format) -> DataFrame:
+def within(px: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """``px``; a pixel outside of ``size`` raises when it is read, as its image is larger than a plan is for."""
+    inside = F.col("x").between(0, size[0] - 1) & F.col("y").between(0, size[1] - 1)
+    say = F.raise_error(F.lit(f"[{BUFFER_MISMATCH}] a pixel outside of {size[0]}x{size[1]}"))
+    return px.where(F.when(inside, F.lit(True)).otherwise(say.cast("boolean")))
+
+
+def whole(px: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """``px``; an image that hasn't as many pixels as ``size`` raises when it is read. Costs a sort by image."""
+    many = F.count("*").over(Window.partitionBy("image_id"))
+    say = F.raise_error(F.lit(f"[{BUFFER_MISMATCH}] an image that is not {size[0]}x{size[1]}"))
+    return within(px, size).withColumn("_many", many).where(F.when(F.col("_many") == size[0] * size[1], F.lit(True)).otherwise(say.cast("boolean"))).drop("_many")
+
+
+def run_step(px: DataFrame, step: Step, format: Format, single: bool = False) -> DataFrame:
     """Vertical, then horizontal, each stored in the sample type; an axis of equal sizes is left out."""
     if step.filter == "nearest":
         return nearest_pass(px, step)
     if step.vertical:
-        px = axis_pass(px, "y", step.src[1], step.dst[1], step.filter, format)
+        px = axis_pass(px, "y", step.src[1], step.dst[1], step.filter, format, single)
     if step.horizontal:
-        px = axis_pass(px, "x", step.src[0], step.dst[0], step.filter, format)
+        px = axis_pass(px, "x", step.src[0], step.dst[0], step.filter, format, single)
     return px
 
 
 def resample(px: DataFrame, plan: Plan) -> DataFrame:
-    """Pixels of images of the plan's source size, resampled to its target."""
+    """Pixels of images of the plan's source size, resampled to its target. Pixels beyond that size raise; see also ``whole``."""
     if not plan.steps:
         return px
-    px, format = by_image(px), plan.format
+    px, format = by_image(within(px, plan.src)), plan.format
     for step in plan.steps:
         flags = None
         if step.premultiply == "varying":
@@ -149,7 +173,7 @@ def resample(px: DataFrame, plan: Plan) -> DataFrame:
             px = _blend(px.join(flags, "image_id"), premultiplied, format, "varying").drop("assoc")
         elif step.premultiply == "always":
             px = premultiply(px, format)
-        px = run_step(px, step, format)
+        px = run_step(px, step, format, plan.single)
         if step.divide == "varying":
             px = _blend(px.join(flags, "image_id"), divided, format, "varying").drop("assoc")
         elif step.divide == "always":

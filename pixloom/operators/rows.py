@@ -1,12 +1,12 @@
 """Bulk resampling of whole images held as one binary per row: Arrow batches through numpy, no shuffle.
 
-A row's image is two small matrix products, so its plan (sizes to taps) is cached per task and nothing is exchanged. Results
+A row's image is two passes of small matrix products along the band of its taps, which are cached in a task; nothing is exchanged. Results
 equal those of the relational form to the byte for integer samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..errors import BUFFER_MISMATCH, INVALID_STRIDE, ZERO_SIZE, ResampleError
 from ..plans.plan import Format, Plan, Scaler, Step
-from ..plans.weights import nearest_index, weights
+from ..plans.weights import bands, nearest_index
 
 KINDS = {"u8": "<u1", "u16": "<u2", "s16": "<i2", "f32": "<f4", "f16": "<f2"}
 
@@ -36,7 +36,7 @@ def view(data: bytes, width: int, height: int, stride: int, format: Format) -> n
 
 def _narrow(total: np.ndarray, format: Format) -> np.ndarray:
     if format.floating:
-        return total.astype(np.float32).astype(np.float64)
+        return total.astype(KINDS[format.sample]).astype(np.float64)
     low, high = format.limits
     if format.fixed_point:
         return np.clip((total + (1 << 14)) >> 15, low, high)
@@ -48,7 +48,7 @@ def _premultiply(px: np.ndarray, format: Format) -> np.ndarray:
     a, out = px[..., format.alpha : format.alpha + 1], px.copy()
     c = px[..., : format.alpha]
     if format.floating:
-        out[..., : format.alpha] = (c * a).astype(np.float32)
+        out[..., : format.alpha] = (c * a).astype(KINDS[format.sample])
     elif format.depth == 8:
         p = c * a + 128
         out[..., : format.alpha] = (p + (p >> 8)) >> 8
@@ -63,7 +63,7 @@ def _divide(px: np.ndarray, format: Format) -> np.ndarray:
     a, out = px[..., format.alpha : format.alpha + 1], px.copy()
     c = px[..., : format.alpha]
     if format.floating:
-        out[..., : format.alpha] = np.where(a == 0, 0, (c / np.where(a == 0, 1, a)).astype(np.float32))
+        out[..., : format.alpha] = np.where(a == 0, 0, (c / np.where(a == 0, 1, a)).astype(KINDS[format.sample]))
         return out
     safe, most = np.maximum(a, 1), format.limits[1]
     if format.depth == 8:
@@ -73,19 +73,28 @@ def _divide(px: np.ndarray, format: Format) -> np.ndarray:
     return out
 
 
-def _step(px: np.ndarray, step: Step, format: Format) -> np.ndarray:
+def _pass(px: np.ndarray, axis: int, in_size: int, out_size: int, which: str, format: Format, single: bool) -> np.ndarray:
+    """One axis (0: rows, 1: columns). Float64 products of integers below 2^53 are exact, and faster than integer ones."""
+    shape = list(px.shape)
+    shape[axis] = out_size
+    out = np.empty(shape, np.float64 if format.floating else np.int64)
+    for to, of, taps in bands(in_size, out_size, which, "fixed" if format.fixed_point else "single" if single else "double"):
+        total = np.tensordot(taps, px[of].astype(np.float64), (1, 0)) if axis == 0 else np.matmul(taps, px[:, of].astype(np.float64))
+        total = _narrow(total.astype(np.int64) if format.fixed_point else total, format)
+        if axis == 0:
+            out[to] = total
+        else:
+            out[:, to] = total
+    return out
+
+
+def _step(px: np.ndarray, step: Step, format: Format, single: bool) -> np.ndarray:
     if step.filter == "nearest":
         return px[nearest_index(step.src[1], step.dst[1])][:, nearest_index(step.src[0], step.dst[0])]
-    fixed = format.fixed_point
     if step.vertical:
-        # Float64 products of integers below 2^53 are exact, and faster than integer ones.
-        m = weights(step.src[1], step.dst[1], step.filter).matrix(fixed, step.src[1]).astype(np.float64)
-        total = np.tensordot(m, px.astype(np.float64), (1, 0))
-        px = _narrow(total.astype(np.int64) if fixed else total, format)
+        px = _pass(px, 0, step.src[1], step.dst[1], step.filter, format, single)
     if step.horizontal:
-        m = weights(step.src[0], step.dst[0], step.filter).matrix(fixed, step.src[0]).astype(np.float64)
-        total = np.matmul(m, px.astype(np.float64))
-        px = _narrow(total.astype(np.int64) if fixed else total, format)
+        px = _pass(px, 1, step.src[0], step.dst[0], step.filter, format, single)
     return px
 
 
@@ -94,48 +103,71 @@ def apply(px: np.ndarray, plan: Plan) -> np.ndarray:
     if not plan.steps:
         return px
     format = plan.format
-    px = px.astype(np.float64 if format.floating else np.int64)
     for step in plan.steps:
         varies = step.premultiply == "always" or (step.premultiply == "varying" and np.ptp(px[..., format.alpha]) != 0)
         if varies:
-            px = _premultiply(px, format)
-        px = _step(px, step, format)
+            px = _premultiply(px.astype(np.float64 if format.floating else np.int32), format)
+        px = _step(px, step, format, plan.single)
         if step.divide == "always" or (step.divide == "varying" and varies):
             px = _divide(px, format)
     return px.astype(KINDS[format.sample])
 
 
+#: Bytes of results that a task holds before it gives them out.
+_HELD = 64 << 20
+
+
 def resample_images(images: DataFrame, scaler: Scaler, target: tuple[int, int], layout: str, premultiply: bool = False) -> DataFrame:
     """``images`` (image_id, width, height, sample, bit_depth, stride, data; other columns pass through) resized to ``target``.
 
     Rows with null data, width or height keep null data. Sizes and formats may differ from row to row; what a plan
     needs is cached. A bad buffer, stride or depth raises with its code. Repeated rows are each done; an empty table stays one.
     """
+    return _resized(images, layout, lambda size, format: scaler.plan(size, target, format, premultiply))
+
+
+def run_plan(images: DataFrame, plan: Plan) -> DataFrame:
+    """``images``, all of the plan's source size and format, through it; null data stays null."""
+
+    def kind(format: Format) -> tuple:
+        return format.sample, 0 if format.floating else format.depth
+
+    def same(size: tuple[int, int], format: Format) -> Plan:
+        if size != plan.src or kind(format) != kind(plan.format):
+            raise ResampleError(BUFFER_MISMATCH, f"an image of {size} and {format} in a plan for {plan.src} and {plan.format}")
+        return plan
+
+    return _resized(images, plan.format.layout, same)
+
+
+def _resized(images: DataFrame, layout: str, plan_of: Callable[[tuple[int, int], Format], Plan]) -> DataFrame:
     at = {c: images.columns.index(c) for c in ("width", "height", "sample", "bit_depth", "stride", "data")}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[tuple, Plan] = {}
+
+        def one(batch: pa.RecordBatch, r: int) -> tuple[int | None, int | None, bytes | None]:
+            w, h, sample, depth, stride, raw = (batch.column(i)[r] for i in at.values())
+            size = (w.as_py(), h.as_py())
+            if not raw.is_valid or None in size:
+                return (*size, None)
+            format = Format(sample.as_py() or "u8", layout, depth.as_py() or 0)
+            px = view(raw.as_buffer(), *size, stride.as_py() or 0, format)
+            if (size, format) not in plans:
+                plans[size, format] = plan_of(size, format)
+            plan = plans[size, format]
+            return (*plan.dst, np.ascontiguousarray(apply(px, plan)).tobytes())
+
         for batch in batches:
-            cells = {c: batch.column(i) for c, i in at.items()}
-            data, wide, high = [], [], []
+            made, lo, held = [], 0, 0
             for r in range(batch.num_rows):
-                w, h, raw = cells["width"][r].as_py(), cells["height"][r].as_py(), cells["data"][r]
-                if not raw.is_valid or w is None or h is None:
-                    data.append(None), wide.append(w), high.append(h)
-                    continue
-                format = Format(cells["sample"][r].as_py() or "u8", layout, cells["bit_depth"][r].as_py() or 0)
-                px = view(raw.as_buffer(), w, h, cells["stride"][r].as_py() or 0, format)
-                key = (w, h, format)
-                if key not in plans:
-                    plans[key] = scaler.plan((w, h), target, format, premultiply)
-                data.append(np.ascontiguousarray(apply(px, plans[key])).tobytes())
-                wide.append(target[0]), high.append(target[1])
-            columns = list(batch.columns)
-            for name, values in (("width", wide), ("height", high), ("data", data)):
-                columns[at[name]] = pa.array(values, batch.schema.field(at[name]).type)
-            columns[at["stride"]] = pa.array([0] * batch.num_rows, batch.schema.field(at["stride"]).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                made.append(one(batch, r))
+                held += len(made[-1][2] or b"")
+                if held >= _HELD or r == batch.num_rows - 1:
+                    columns = list(batch.slice(lo, len(made)).columns)
+                    for name, values in (*zip(("width", "height", "data"), zip(*made, strict=True), strict=True), ("stride", [0] * len(made))):
+                        columns[at[name]] = pa.array(values, batch.schema.field(at[name]).type)
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                    made, lo, held = [], r + 1, 0
 
     return images.mapInArrow(each, images.schema)
-
-

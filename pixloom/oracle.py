@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .functions.colorspaces import ALPHA_STAGES, stages
 from .functions.kernels import BC, BLACKMAN, BLUR_HAASN, GAUSS_SIGMA, JINC_ZERO_3, JINC_ZERO_4, KAISER_BETA, SPLINES, find_filter
+from .operators.color import SpacePlan
 from .plans.plan import Format, Plan, Step
 
 
@@ -83,6 +83,13 @@ def kernel_sql(name: str) -> str:
     }[name]
 
 
+def _stored(x: str, format: Format) -> str:
+    """A number as single precision, or as half precision: rounded to a tenth binary place after its first."""
+    if format.sample != "f16":
+        return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    return f"(CASE WHEN {x} = 0 THEN 0e0 ELSE round_even({x} / power(2e0, greatest(floor(log2(abs({x}))), -14e0) - 10e0), 0) * power(2e0, greatest(floor(log2(abs({x}))), -14e0) - 10e0) END)"
+
+
 class Sql:
     """A chain of common table expressions; ``last`` is the current pixel table."""
 
@@ -119,11 +126,11 @@ class Sql:
         left = self.add(f"SELECT *, 32768 - sum(q) OVER (PARTITION BY i) AS r, coalesce(sum(32767 - q) OVER z, 0) AS above, coalesce(sum(q + 32768) OVER z, 0) AS below FROM {q} WINDOW z AS (PARTITION BY i ORDER BY abs(q) DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", False)
         return self.add(f"SELECT i, j, w, CAST(q + CASE WHEN r > 0 THEN greatest(0, least(32767 - q, r - above)) WHEN r < 0 THEN least(0, greatest(-32768 - q, r + below)) ELSE 0 END AS BIGINT) AS wq FROM {left}", False)
 
-    def axis(self, axis: str, in_size: int, out_size: int, which: str, format: Format) -> None:
+    def axis(self, axis: str, in_size: int, out_size: int, which: str, format: Format, single: bool = False) -> None:
         w, other = self.weights(in_size, out_size, which), "y" if axis == "x" else "x"
         low, high = (0, 0) if format.floating else format.limits
         if format.floating:
-            store = "CAST(CAST(sum(@ * w) AS FLOAT) AS DOUBLE)"
+            store = _stored(f"sum(@ * {'CAST(CAST(w AS FLOAT) AS DOUBLE)' if single else 'w'})", format)
         elif format.fixed_point:
             store = f"CAST(greatest({low}, least({high}, CAST(16384 + sum(@ * wq) AS BIGINT) >> 15)) AS BIGINT)"
         else:
@@ -141,7 +148,7 @@ class Sql:
     def blend(self, format: Format, back: bool, flags: str | None) -> None:
         alpha, most = f"v{format.alpha}", 1 if format.floating else format.limits[1]
         if format.floating:
-            how = f"CASE WHEN {alpha} = 0 THEN 0e0 ELSE CAST(CAST(@ / nullif({alpha}, 0) AS FLOAT) AS DOUBLE) END" if back else f"CAST(CAST(@ * {alpha} AS FLOAT) AS DOUBLE)"
+            how = f"CASE WHEN {alpha} = 0 THEN 0e0 ELSE {_stored(f'(@ / nullif({alpha}, 0))', format)} END" if back else _stored(f"(@ * {alpha})", format)
         elif not back:
             how = f"((@ * {alpha}) * 2 + {most}) // {2 * most}"
         elif format.depth == 8:
@@ -165,30 +172,23 @@ class Sql:
                 self.nearest(step)
             else:
                 if step.vertical:
-                    self.axis("y", step.src[1], step.dst[1], step.filter, plan.format)
+                    self.axis("y", step.src[1], step.dst[1], step.filter, plan.format, plan.single)
                 if step.horizontal:
-                    self.axis("x", step.src[0], step.dst[0], step.filter, plan.format)
+                    self.axis("x", step.src[0], step.dst[0], step.filter, plan.format, plan.single)
             if step.divide != "no":
                 self.blend(plan.format, True, flags)
         return self
 
-    def convert(self, steps, alpha: str | None) -> Sql:
+    def convert(self, steps, alpha: str) -> Sql:
         for i, stage in enumerate(steps):
-            more = "" if self.channels < 4 else ", " + (f"{alpha} AS v3" if alpha and i == len(steps) - 1 else "v3")
+            last, more = f"v{len(stage)}", ""
+            if len(stage) < self.channels:
+                more = f", {alpha.replace('@', last)} AS {last}" if i == len(steps) - 1 else f", {last}"
             self.add(f"SELECT image_id, y, x, {', '.join(f'{e} AS v{j}' for j, e in enumerate(stage))}{more} FROM {self.last}")
         return self
 
-    def resample_in(self, space: str, plan: Plan) -> Sql:
-        there, back = stages(space)
-        approx = space == "linear_approx"
-        alpha = (None, None) if approx else ALPHA_STAGES
-        self.convert(there, alpha[0])
-        if approx and self.channels == 4:
-            self.add(f"SELECT image_id, y, x, v0, v1, v2, CAST(round(v3 / 255e0 * 4095e0) AS BIGINT) AS v3 FROM {self.last}")
-        self.resample(plan).convert(back, alpha[1])
-        if approx and self.channels == 4:
-            self.add(f"SELECT image_id, y, x, v0, v1, v2, CAST(round(v3 / 4095e0 * 255e0) AS BIGINT) AS v3 FROM {self.last}")
-        return self
+    def resample_in(self, made: SpacePlan) -> Sql:
+        return self.convert(made.there, made.alpha[0]).resample(made.plan).convert(made.back, made.alpha[1])
 
     def text(self, rounded: bool = False) -> str:
         cells = ", ".join(f"round(v{c}, 3) AS v{c}" if rounded else f"v{c}" for c in range(self.channels))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from math import ceil, log2
+from typing import TYPE_CHECKING
 
-from ..errors import DESTINATION_TOO_LARGE, UNSUPPORTED_BIT_DEPTH, ZERO_SIZE, ResampleError
+from ..errors import DESTINATION_TOO_LARGE, GENERIC, UNSUPPORTED_BIT_DEPTH, ZERO_SIZE, ResampleError
 from ..functions.kernels import find_filter
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 #: Channels of each layout, and which one is alpha.
 LAYOUTS = {"planar": 1, "cbcr": 2, "gray_alpha": 2, "rgb": 3, "rgba": 4}
 ALPHA = {"gray_alpha": 1, "rgba": 3}
@@ -87,11 +91,31 @@ class Plan:
     dst: tuple[int, int]
     format: Format
     steps: tuple[Step, ...]
+    #: Whether floating-point taps are kept in single precision.
+    single: bool = False
+
+    @property
+    def source_size(self) -> tuple[int, int]:
+        return self.src
+
+    @property
+    def target_size(self) -> tuple[int, int]:
+        return self.dst
+
+    def resize(self, images: DataFrame) -> DataFrame:
+        """Image rows through this plan; an image of another size or depth raises."""
+        from ..operators.rows import run_plan
+
+        return run_plan(images, self)
 
 
 @dataclass(frozen=True)
 class Scaler:
-    """Configuration; setters give a changed copy. Threading is Spark's: partitions and cores."""
+    """Configuration; setters give a changed copy. Threading is Spark's: partitions and cores.
+
+    quality: "speed" keeps the taps of f32 images in single precision, "quality" in double. Integer samples always use
+    double ones (up to 12 bits then quantised), f16 ones single.
+    """
 
     filter: str | int | None = None
     quality: str = "speed"
@@ -105,10 +129,13 @@ class Scaler:
         return replace(self, supersampling=on)
 
     def set_workload_strategy(self, quality: str) -> Scaler:
+        if quality not in ("speed", "quality"):
+            raise ResampleError(GENERIC, f"no workload strategy {quality!r}")
         return replace(self, quality=quality)
 
     def plan(self, src: tuple[int, int], dst: tuple[int, int], format: Format = Format(), premultiply: bool = False) -> Plan:
-        return build(src, dst, format, self.filter, self.multi_step, self.supersampling, premultiply)
+        made = build(src, dst, format, self.filter, self.multi_step, self.supersampling, premultiply)
+        return replace(made, single=format.sample == "f16" or (format.sample == "f32" and self.quality == "speed"))
 
 
 def intermediate_sizes(src: tuple[int, int], dst: tuple[int, int], which) -> list[tuple[int, int]]:

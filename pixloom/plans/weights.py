@@ -31,13 +31,19 @@ class Weights:
             for t in range(int(self.size[o]))
         ]
 
-    def matrix(self, fixed: bool, in_size: int) -> np.ndarray:
-        """Dense [out, in]."""
-        source = self.fixed if fixed else self.taps
-        m = np.zeros((len(self.start), in_size), np.int64 if fixed else np.float64)
-        for o, (a, n) in enumerate(zip(self.start, self.size, strict=True)):
-            m[o, a : a + n] = source[o, :n]
-        return m
+    def bands(self, kind: str, outputs: int = 64) -> list[tuple[slice, slice, np.ndarray]]:
+        """(outputs, inputs, [outputs, inputs] of taps) of some outputs in a row each: the taps lie along a diagonal, so
+        small dense products do what one large one would. ``kind``: fixed, single or double."""
+        source = {"fixed": self.fixed, "single": self.taps.astype(np.float32), "double": self.taps}[kind].astype(np.float64)
+        out = []
+        for lo in range(0, len(self.start), outputs):
+            hi = min(lo + outputs, len(self.start))
+            a, b = int(self.start[lo:hi].min()), int((self.start + self.size)[lo:hi].max())
+            m = np.zeros((hi - lo, b - a))
+            row, tap = np.nonzero(np.arange(source.shape[1]) < self.size[lo:hi, None])
+            m[row, self.start[lo:hi][row] - a + tap] = source[lo:hi][row, tap]
+            out.append((slice(lo, hi), slice(a, b), m))
+        return out
 
 
 def _distances(f: Filter, in_size: int, out_size: int):
@@ -78,19 +84,19 @@ def _area_up(in_size: int, out_size: int):
 
 
 def quantise(taps: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Taps in fixed point that add up to 2^15: what rounding (half away from zero) leaves over goes to the largest taps first.
-
-    Of taps of equal size the earliest comes first.
+    """Taps in fixed point that add up to 2^15: what rounding (half away from zero) leaves over goes to the largest taps first,
+    to each as much as it has room for. Of taps of equal size the earliest comes first.
     """
     q = np.clip(np.sign(taps) * np.floor(np.abs(taps) * (1 << PRECISION) + 0.5), LEAST_TAP, MOST_TAP).astype(np.int64)
-    for row, n in zip(q, size, strict=True):
-        left = (1 << PRECISION) - int(row[:n].sum())
-        for t in np.argsort(-np.abs(row[:n]), kind="stable"):
-            if not left:
-                break
-            change = min(left, MOST_TAP - int(row[t])) if left > 0 else max(left, LEAST_TAP - int(row[t]))
-            row[t] += change
-            left -= change
+    used = np.arange(q.shape[1]) < np.asarray(size)[:, None]
+    q = np.where(used, q, 0)
+    left = (1 << PRECISION) - q.sum(1, keepdims=True)
+    order = np.argsort(np.where(used, -np.abs(q), 1), axis=1, kind="stable")
+    sorted_q = np.take_along_axis(q, order, 1)
+    room = np.where(left > 0, MOST_TAP - sorted_q, sorted_q - LEAST_TAP) * np.take_along_axis(used, order, 1)
+    before = np.cumsum(room, axis=1) - room
+    change = np.sign(left) * np.clip(np.abs(left) - before, 0, room)
+    np.put_along_axis(q, order, sorted_q + change, 1)
     return q
 
 
@@ -108,6 +114,11 @@ def weights(in_size: int, out_size: int, which: str) -> Weights:
     return Weights(start, size, taps, quantise(taps, size))
 
 
+@lru_cache(1024)
+def bands(in_size: int, out_size: int, which: str, kind: str) -> list[tuple[slice, slice, np.ndarray]]:
+    return weights(in_size, out_size, which).bands(kind)
+
+
 def nearest_index(in_size: int, out_size: int) -> np.ndarray:
     """The source sample of each output, in 32-bit fixed point."""
     k = (in_size << 32) // out_size

@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .functions.colorspaces import SPACES
+from .functions.colorspaces import LINEAR, SPACES
 from .functions.kernels import FILTERS
 from .operators import color
 from .operators import relational as R
 from .oracle import Sql
+from .operators.rows import run_plan
 from .plans.plan import Format, Plan, Scaler
+from .sources.images import from_pixels, integers, to_pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-PLANE = ("u8", "planar", 8)
+#: Layouts as queries name them, and the shape of an embedding in each: all of its components, whatever the channels.
+KINDS = {"planar": "plane", "cbcr": "cbcr", "gray_alpha": "ga", "rgb": "rgb", "rgba": "rgba"}
+SHAPES = {"planar": (8, 8), "cbcr": (8, 4), "gray_alpha": (8, 4), "rgb": (6, 4), "rgba": (4, 4)}
+RGB = SHAPES["rgb"]
 
 
 def _source(width: int, height: int, channels: int, value: str, constant_alpha: bool = False):
@@ -59,15 +64,19 @@ def _register() -> None:
     _resampling("supersample_box", _heat(), Scaler("lanczos3", supersampling=True).plan(fixtures.HEAT, (8, 10), u8))
     _resampling("supersample_nearest", _heat(), Scaler("lanczos3", supersampling=True).plan(fixtures.HEAT, (6, 6), u8))
     _resampling("downscale_heat_lanczos3", _heat(), Scaler("lanczos3").plan(fixtures.HEAT, (12, 15), u8))
-    for layout, channels, width, height in (("rgb", 3, 4, 4), ("cbcr", 2, 8, 4), ("rgba", 4, 4, 4), ("gray_alpha", 2, 8, 4)):
+    for layout, channels, width, height in (("rgb", 3, *RGB), ("cbcr", 2, 8, 4), ("rgba", 4, 4, 4), ("gray_alpha", 2, 8, 4)):
         source, to = _source(width, height, channels, "u8"), (3, 3)
-        kind = {"gray_alpha": "ga", "cbcr": "cbcr"}.get(layout, layout)
+        kind = KINDS[layout]
         _resampling(f"resample_{kind}8", source, Scaler("lanczos3").plan((width, height), to, Format("u8", layout, 8)))
         for depth in (10, 12, 14, 16):
             format = Format("u16", layout, depth)
             _resampling(f"resample_{kind}16_d{depth}", _source(width, height, channels, f"u{depth}"), Scaler("bicubic").plan((width, height), to, format))
         _resampling(f"resample_{kind}_f32", _source(width, height, channels, "f32"), Scaler("lanczos3").plan((width, height), to, Format("f32", layout, 0)), True)
+        if layout != "gray_alpha":
+            _resampling(f"resample_{kind}_f16", _source(width, height, channels, "f16"), Scaler("lanczos3").plan((width, height), to, Format("f16", layout, 0)), True)
         if format.alpha is not None:
+            unit = _source(width, height, channels, "unit")
+            _resampling(f"resample_{kind}_f32_premul", unit, Scaler("lanczos3").plan((width, height), to, Format("f32", layout, 0), True), True)
             premul = lambda f, w=width, h=height, **k: Scaler("lanczos3", **k).plan((w, h), k.get("to", (3, 3)), f, True)
             _resampling(f"resample_{kind}8_premul", source, premul(Format("u8", layout, 8)))
             _resampling(f"resample_{kind}8_const_alpha", _source(width, height, channels, "u8", True), premul(Format("u8", layout, 8)))
@@ -78,9 +87,36 @@ def _register() -> None:
         _resampling(f"resample_plane16_d{depth}", _source(8, 8, 1, f"u{depth}"), Scaler("lanczos3").plan((8, 8), (4, 4), Format("u16", "planar", depth)))
     for depth in (10, 16):
         _resampling(f"resample_s16_d{depth}", _source(8, 8, 1, f"s{depth}"), Scaler("lanczos3").plan((8, 8), (4, 4), Format("s16", "planar", depth)))
-    for quality in ("speed", "quality"):
-        _resampling(f"resample_plane_f32_{quality}", _source(8, 8, 1, "f32"), Scaler("lanczos3", quality).plan((8, 8), (4, 4), Format("f32", "planar", 0)), True)
-    _alpha(), _geometry(), _packed(), _colors()
+    _resampling("resample_plane_f16", _source(8, 8, 1, "f16"), Scaler("lanczos3").plan((8, 8), (4, 4), Format("f16", "planar", 0)), True)
+    _resampling("resample_rgba_f16_premul", _source(4, 4, 4, "unit16"), Scaler("bilinear").plan((4, 4), (3, 3), Format("f16", "rgba", 0), True), True)
+    for quality in ("speed", "quality"):  # not rounded: single and double taps differ in the last places
+        _resampling(f"resample_plane_f32_{quality}", _source(8, 8, 1, "f32"), Scaler("lanczos3", quality).plan((8, 8), (4, 4), Format("f32", "planar", 0)))
+    _alpha(), _geometry(), _packed(), _colors(), _bulk()
+
+
+def _bulk() -> None:
+    """Whole images a row: pixels are packed into images, these resized, and unpacked again."""
+    depths = {"u8": (8,), "u16": (10, 16), "s16": (10,), "f32": (0,), "f16": (0,)}
+    values = {"u8": "u8", "u16": "u{}", "s16": "s{}", "f32": "unit", "f16": "unit16"}
+    for sample, each in depths.items():
+        for layout, (width, height) in SHAPES.items():
+            for depth in each:
+                if (sample == "s16" and layout != "planar") or (sample == "f16" and layout == "gray_alpha"):
+                    continue
+                format = Format(sample, layout, depth)
+                plan = Scaler("lanczos3" if depth else "bilinear").plan((width, height), (3, 5), format, True)
+                _whole_images(f"bulk_{KINDS[layout]}_{sample}" + (f"_d{depth}" if sample == "u16" else ""), _source(width, height, format.channels, values[sample].format(depth)), plan)
+
+
+def _whole_images(name: str, source, plan: Plan) -> None:
+    make, sql = source
+    format = plan.format
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = to_pixels(run_plan(from_pixels(make(spark, sf_dir), *plan.src, format), plan), format.layout)
+        return out if format.floating else integers(out)
+
+    QUERIES[name], ORACLES[name] = query, sql().resample(plan).text()
 
 
 def _put(name: str, query: Query, sql: str) -> None:
@@ -101,7 +137,7 @@ def _alpha() -> None:
 
 def _geometry() -> None:
     make, sql = _source(8, 8, 1, "u8")
-    rgb, rgb_sql = _source(4, 4, 3, "u8")
+    rgb, rgb_sql = _source(*RGB, 3, "u8")
     cut = sql()
     cut.add("SELECT image_id, CAST(y - 3 AS INT) AS y, CAST(x - 2 AS INT) AS x, v0 FROM p0 WHERE x BETWEEN 2 AND 6 AND y BETWEEN 3 AND 6")
     _put("crop", lambda s, d: R.crop(make(s, d), (8, 8), 2, 3, 5, 4), cut.text())
@@ -133,13 +169,13 @@ def _geometry() -> None:
 
 
 def _packed() -> None:
-    make, sql = _source(4, 4, 3, "u10")
+    make, sql = _source(*RGB, 3, "u10")
     for kind, shifts in R.PACKED.items():
         *rgb, alpha = shifts
         pack = " + ".join(f"v{i} * {1 << s}" for i, s in enumerate(rgb))
         for order in ("host", "network"):
             for which in ("lanczos3",) if order == "network" else ("lanczos3", "nearest"):
-                plan = Scaler(which).plan((4, 4), (3, 3), Format("u16", "rgb", 10))
+                plan = Scaler(which).plan(RGB, (3, 3), Format("u16", "rgb", 10))
                 text = sql().resample(plan)
                 text.add(f"SELECT image_id, y, x, {3 << alpha} + {pack} AS w FROM {text.last}")
                 swapped = "(w % 256) * 16777216 + (w // 256 % 256) * 65536 + (w // 65536 % 256) * 256 + w // 16777216"
@@ -150,11 +186,23 @@ def _packed() -> None:
 
 
 def _colors() -> None:
-    for layout, channels in (("rgb", 3), ("rgba", 4)):
-        make, sql = _source(4, 4, channels, "u8")
-        for space in (*SPACES, "linear_approx"):
-            plan = color.plan_in(space, (4, 4), (3, 3), "lanczos3", layout)
-            _put(f"{space}_{layout}", lambda s, d, space=space, make=make: color.resample_in(make(s, d), space, (4, 4), (3, 3), "lanczos3"), sql().resample_in(space, plan).text())
+    for layout in ("rgb", "rgba"):
+        for space in (*LINEAR, *SPACES):
+            _space(f"{space}_{layout}", space, Format("u8", layout, 8))
+    for space in LINEAR:
+        for layout, kind in KINDS.items():
+            if layout not in ("rgb", "rgba"):
+                _space(f"{space}_{kind}", space, Format("u8", layout, 8))
+            _space(f"{space}_{kind}16", space, Format("u16", layout, 12))
+    _space("oklab_rec709_rgb", "oklab", Format("u8", "rgb", 8), transfer="rec709")
+    _space("jzazbz_gamma22_100_rgba", "jzazbz", Format("u8", "rgba", 8), transfer="gamma22", luminance=100)
+
+
+def _space(name: str, space: str, format: Format, **how) -> None:
+    size = SHAPES[format.layout]
+    make, sql = _source(*size, format.channels, "u8" if format.sample == "u8" else f"u{format.bit_depth}")
+    plan = color.plan_in(space, size, (3, 3), "lanczos3", format, **how)
+    _put(name, lambda s, d: color.resample_in(make(s, d), plan), sql().resample_in(plan).text())
 
 
 _register()

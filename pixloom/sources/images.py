@@ -31,12 +31,11 @@ def from_buffer(spark: SparkSession, data: bytes, width: int, height: int, layou
     return spark.createDataFrame([(image_id, width, height, format.channels, sample, bit_depth, stride, data, None)], IMAGE)
 
 
-def allocate(spark: SparkSession, ids: list[int], width: int, height: int, layout: str = "planar", sample: str = "u8", bit_depth: int = 0) -> DataFrame:
-    """Images of zeros."""
+def allocate(rows: DataFrame, width: int, height: int, layout: str = "planar", sample: str = "u8", bit_depth: int = 0) -> DataFrame:
+    """An image of zeros for each row's image_id."""
     if width <= 0 or height <= 0:
         raise ResampleError(ZERO_SIZE, "an image of no width or height")
     size = width * height * LAYOUTS[layout] * np.dtype(KINDS[sample]).itemsize
-    rows = spark.createDataFrame([(i,) for i in ids], "image_id long")
     columns = {"width": width, "height": height, "channels": LAYOUTS[layout], "sample": sample, "bit_depth": bit_depth, "stride": 0}
     out = rows.select("image_id", *(F.lit(v).alias(k) for k, v in columns.items()), F.unhex(F.repeat(F.lit("00"), size)).alias("data"), F.lit(None).cast(IMAGE["metadata"].dataType).alias("metadata"))
     return out
@@ -137,16 +136,18 @@ def integers(px: DataFrame) -> DataFrame:
 
 
 def from_pixels(px: DataFrame, width: int, height: int, format: Format) -> DataFrame:
-    """Images of pixel rows; each image gathers in one row, as it is stored."""
+    """Images of pixel rows. Rows of pixels gather first, then images, each in one row, as it is stored."""
     names = [f"v{c}" for c in range(format.channels)]
-    cells = F.array_sort(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("p"), *names)))
+    cells = F.struct("x", F.array(*(F.col(c).cast("double") for c in names)).alias("v"))
+    lines = px.repartition("image_id").groupBy("image_id", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(cells)), lambda c: c["v"])).alias("v"))
+    whole = lines.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda r: r["v"])).alias("v"))
     kind = KINDS[format.sample]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.array([[c[n] for n in names] for c in row]).astype(kind).tobytes() for row in batch.column(1).to_pylist()]
+            data = [row.values.to_numpy().astype(kind).tobytes() for row in batch.column(1)]
             many = batch.num_rows
             fixed = [pa.array([v] * many, t) for v, t in ((width, pa.int32()), (height, pa.int32()), (format.channels, pa.int32()), (format.sample, pa.string()), (format.bit_depth, pa.int32()), (0, pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *fixed, pa.array(data, pa.binary()), pa.nulls(many, _META)], IMAGE.names)
 
-    return px.groupBy("image_id").agg(cells.alias("cells")).mapInArrow(each, IMAGE)
+    return whole.mapInArrow(each, IMAGE)

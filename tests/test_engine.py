@@ -16,7 +16,7 @@ CHECKED = [
     "resample_plane8_lanczos3", "upscale_plane8_area", "nearest_plane8", "vertical_only", "noop", "multi_step_up", "supersample_box", "supersample_nearest",
     "resample_rgba8_premul", "resample_rgba8_const_alpha", "resample_rgba16_d16_premul", "resample_cbcr16_d14", "resample_s16_d10", "resample_plane_f32_quality",
     "alpha_unpremul", "alpha_nonconstant", "crop", "orient_7", "mode_fit", "mode_cover", "channel_merge", "resample_ar30_network", "resample_ra30", "linear_rgb",
-    "lab_rgba", "oklab_rgb", "jzazbz_rgb", "lch_rgb", "sigmoidal_rgba", "linear_approx_rgba",
+    "lab_rgba", "oklab_rgb", "jzazbz_rgb", "lch_rgb", "sigmoidal_rgba", "linear_approx_rgba", "bulk_rgba_u8", "bulk_cbcr_u16_d10", "bulk_rgb_f16", "resample_rgba_f16_premul", "linear_ga16", "linear_approx_cbcr16", "oklab_rec709_rgb",
 ]
 
 
@@ -130,3 +130,55 @@ def test_one_shuffle_however_many_passes(spark):
     text = R.resample(px, plan)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") + text.count("Exchange REPARTITION") <= 1 or text.count("hashpartitioning(image_id") == 1
     assert "PushedFilters" in text and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
+
+
+def test_half_precision_is_numpys(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.standard_normal(3000), rng.standard_normal(500) * 1e-5, rng.standard_normal(500) * 4e4, [0.0, 65519.0, 65520.0, -65520.0, 2.0**-14, 2.0**-24]])
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(R.half(F.col("x"))).collect()]
+    with np.errstate(over="ignore"):
+        assert got == x.astype(np.float16).astype(float).tolist()
+
+
+def test_images_of_another_size_raise(spark):
+    plan = Scaler("bilinear").plan((4, 4), (2, 2), Format())
+    rows = [(1, y, x, 7) for y in range(4) for x in range(4)]
+    frame = spark.createDataFrame([*rows, (2, 0, 4, 1)], "image_id long, y int, x int, v0 long")
+    with pytest.raises(Exception, match=r"\[4\] a pixel outside"):
+        R.resample(frame, plan).collect()
+    with pytest.raises(Exception, match=r"\[4\] an image that is not"):
+        R.whole(spark.createDataFrame(rows[:-1], frame.schema), (4, 4)).collect()
+    assert R.whole(spark.createDataFrame(rows, frame.schema), (4, 4)).count() == 16
+
+
+# Published values of pure red, rounded as they are usually given.
+PUBLISHED = {
+    "xyz": (0.4124, 0.2126, 0.0193), "lab": (53.24, 80.09, 67.20), "luv": (53.24, 175.02, 37.76), "lch": (53.24, 179.04, 0.2125), "oklab": (0.6280, 0.2249, 0.1258),
+    "jzazbz": (0.1344, 0.1179, 0.1119),
+}
+
+
+@pytest.mark.parametrize("space", list(PUBLISHED))
+def test_colour_spaces_against_published_values(spark, space):
+    from pixloom.functions.colorspaces import spaces
+    from pixloom.operators.color import convert
+
+    there, back = spaces()[space]
+    red = spark.createDataFrame([(0, 0, 0, 255.0, 0.0, 0.0)], "image_id long, y int, x int, v0 double, v1 double, v2 double")
+    got = convert(red, there, "@").first()
+    assert got[3:] == pytest.approx(PUBLISHED[space], rel=2e-3, abs=2e-4)
+    some = spark.createDataFrame([(0, 0, i, *map(float, c)) for i, c in enumerate([(0, 0, 0), (255, 255, 255), (1, 2, 3), (200, 30, 90), (17, 180, 254)])], red.schema)
+    assert [tuple(map(float, r[3:])) for r in convert(convert(some, there, "@"), back, "@").collect()] == [r[3:] for r in some.collect()]
+
+
+@pytest.mark.parametrize("transfer", ["srgb", "rec709", "smpte240", "gamma22", "gamma28", "smpte428", "linear"])
+def test_transfer_functions_are_inverse(spark, transfer):
+    from pixloom.functions import colorspaces as C
+
+    there, back, _ = C.linear_stages(1, "u8", 8, False, transfer)
+    frame = spark.range(256).selectExpr("CAST(id AS DOUBLE) AS v0")
+    for stage in (*there, *back):
+        frame = frame.selectExpr(f"{stage[0]} AS v0")
+    assert [r[0] for r in frame.collect()] == list(range(256))

@@ -72,7 +72,7 @@ def test_files_in_and_out(spark, tmp_path):
 
 
 def test_stores(spark):
-    made = images.allocate(spark, [1, 2], 3, 2, "rgb")
+    made = images.allocate(spark.range(1, 3).toDF("image_id"), 3, 2, "rgb")
     assert {bytes(r.data) for r in made.collect()} == {b"\0" * 18}
     assert images.validate(made).count() == 2
     with pytest.raises(ResampleError):
@@ -90,10 +90,29 @@ def test_big_endian_mode_and_sql(spark):
     api.register(spark)
     got = spark.sql("SELECT resize_image(CAST(unhex(repeat('40', 16)) AS binary), 4, 4, 2, 2, 'L', 'bilinear') AS d").first().d
     assert bytes(got) == b"\x40" * 4
+    swapped = spark.sql("SELECT resize_image(unhex(repeat('0102', 16)), 4, 4, 2, 2, 'I;16B', 'bilinear') AS d").first().d
+    assert bytes(swapped) == b"\x01\x02" * 4
+
+
+def test_functions_for_sql_by_format(spark):
+    names = api.register_formats(spark)
+    assert len(names) == 16
+    assert bytes(spark.sql("SELECT resize_rgba8(unhex(repeat('40ff4080', 16)), 4, 4, 2, 2, 8, 'bilinear', 1) AS d").first().d) == b"\x40\xff\x40\x80" * 4
+    assert np.frombuffer(spark.sql("SELECT resize_planar_f16(unhex(repeat('0038', 16)), 4, 4, 2, 2, 0, 'lanczos3', 0) AS d").first().d, "<f2").tolist() == [0.5] * 4
+    assert spark.sql("SELECT resize_cbcr16(NULL, 4, 4, 2, 2, 10, 'bilinear', 0) AS d").first().d is None
+
+
+def test_plan_resizes_images_of_its_size(spark):
+    rows = images.allocate(spark.range(3).toDF("image_id"), 6, 4, "rgb")
+    plan = api.plan((6, 4), (3, 2))
+    assert plan.source_size == (6, 4) and plan.target_size == (3, 2) and "lanczos3" in repr(plan)
+    assert {(r.width, r.height, bytes(r.data)) for r in plan.resize(rows).collect()} == {(3, 2, bytes(18))}
+    with pytest.raises(Exception, match="in a plan for"):
+        api.plan((5, 4), (3, 2)).resize(rows).collect()
 
 
 def test_stream_of_frames(spark, tmp_path):
-    source = images.allocate(spark, [1, 2, 3], 8, 8, "rgb")
+    source = images.allocate(spark.range(1, 4).toDF("image_id"), 8, 8, "rgb")
     source.write.parquet(str(tmp_path / "in"))
     out = frames.resampled(frames.read_frames(spark, str(tmp_path / "in")), Scaler("bilinear"), (4, 4), "rgb")
     query = frames.write_frames(out, str(tmp_path / "out"), str(tmp_path / "check"))
