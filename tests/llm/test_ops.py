@@ -560,21 +560,22 @@ def test_embeddings_against_brute_force(spark):
     assert sum(map(len, links.values())) > 100
 
 
-def test_estimates_are_unbiased_and_bounds_hold():
+def test_estimates_are_unbiased_and_within_their_confidence():
     rng = np.random.default_rng(5)
-    x = rng.standard_normal((40, 64))
+    x = rng.standard_normal((40, 70))
+    x[20:] = x[:20] + rng.standard_normal((20, 70)) * 0.3
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    total = np.zeros((40, 40))
-    for seed in range(200):
-        turn = embed.rotation(64, seed)
-        packed, factor = embed.encode(x, turn)
-        code, turned = embed.decode(packed, 64), (x @ turn).astype(np.float32)
-        guess, b = embed.estimate(code, factor, turned)
+    true, total, off = x @ x.T, np.zeros((40, 40)), []
+    near = (true > 0.9) & (true < 0.9999)
+    for seed in range(300):
+        codes = embed.encode(x, seed)
+        guess = embed.estimate(codes, codes)
         total += guess
-        a = factor[:, None]
-        rest = np.sqrt((1 - a * a) * np.clip(1 - b * b, 0, 1))
-        assert ((x @ x.T <= a * b + rest + 1e-5) & (x @ x.T >= a * b - rest - 1e-5)).all()
-    assert abs(total / 200 - x @ x.T).max() < 0.06
+        off.append(((guess - true) / embed.deviation(codes, codes, 0.9))[near])
+        assert embed.candidates(codes, codes, 0.93)[true >= 0.93].all()
+        assert embed.candidates(codes, codes, 0.93).sum() < 0.2 * 40 * 40
+    assert abs(total / 300 - true).max() < 0.06
+    assert np.abs(off).max() < embed.CONFIDENCE and np.std(off) < 1.1
 
 
 def test_embeddings_blocks(spark, monkeypatch):
