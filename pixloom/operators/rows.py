@@ -38,13 +38,17 @@ def _narrow(total: np.ndarray, format: Format) -> np.ndarray:
     if format.floating:
         return total.astype(KINDS[format.sample]).astype(np.float64)
     low, high = format.limits
-    if format.fixed_point:
-        return np.clip((total + (1 << 14)) >> 15, low, high)
+    if format.fixed_point:  # whole numbers below 2^53: the same as shifting them
+        total += 1 << 14
+        total *= 2.0**-15
+        return np.clip(np.floor(total, out=total), low, high, out=total)
     total = np.round(total, 6)  # as the relational form does
-    return np.clip(np.sign(total) * np.floor(np.abs(total) + 0.5), low, high).astype(np.int64)
+    return np.clip(np.sign(total) * np.floor(np.abs(total) + 0.5), low, high)
 
 
 def _premultiply(px: np.ndarray, format: Format) -> np.ndarray:
+    # In the narrowest type that holds the products.
+    px = px.astype(np.float64 if format.floating else np.uint16 if format.depth == 8 else np.int64)
     a, out = px[..., format.alpha : format.alpha + 1], px.copy()
     c = px[..., : format.alpha]
     if format.floating:
@@ -60,6 +64,7 @@ def _premultiply(px: np.ndarray, format: Format) -> np.ndarray:
 
 
 def _divide(px: np.ndarray, format: Format) -> np.ndarray:
+    px = px.astype(np.float64 if format.floating else np.int64)
     a, out = px[..., format.alpha : format.alpha + 1], px.copy()
     c = px[..., : format.alpha]
     if format.floating:
@@ -73,14 +78,17 @@ def _divide(px: np.ndarray, format: Format) -> np.ndarray:
     return out
 
 
-def _pass(px: np.ndarray, axis: int, in_size: int, out_size: int, which: str, format: Format, single: bool) -> np.ndarray:
-    """One axis (0: rows, 1: columns). Float64 products of integers below 2^53 are exact, and faster than integer ones."""
+def _pass(px: np.ndarray, axis: int, in_size: int, out_size: int, which: str, format: Format, single: bool, load: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """One axis (0: rows, 1: columns) of what ``load`` makes of the pixels, a band at a time.
+
+    Float64 products of integers below 2^53 are exact, and faster than integer ones.
+    """
     shape = list(px.shape)
     shape[axis] = out_size
-    out = np.empty(shape, np.float64 if format.floating else np.int64)
+    out = np.empty(shape, np.float64 if format.floating else KINDS[format.sample])
     for to, of, taps in bands(in_size, out_size, which, "fixed" if format.fixed_point else "single" if single else "double"):
-        total = np.tensordot(taps, px[of].astype(np.float64), (1, 0)) if axis == 0 else np.matmul(taps, px[:, of].astype(np.float64))
-        total = _narrow(total.astype(np.int64) if format.fixed_point else total, format)
+        total = np.tensordot(taps, load(px[of]).astype(np.float64), (1, 0)) if axis == 0 else np.matmul(taps, load(px[:, of]).astype(np.float64))
+        total = _narrow(total, format)
         if axis == 0:
             out[to] = total
         else:
@@ -88,13 +96,17 @@ def _pass(px: np.ndarray, axis: int, in_size: int, out_size: int, which: str, fo
     return out
 
 
-def _step(px: np.ndarray, step: Step, format: Format, single: bool) -> np.ndarray:
+def _step(px: np.ndarray, step: Step, format: Format, single: bool, load: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     if step.filter == "nearest":
-        return px[nearest_index(step.src[1], step.dst[1])][:, nearest_index(step.src[0], step.dst[0])]
+        return load(px[nearest_index(step.src[1], step.dst[1])][:, nearest_index(step.src[0], step.dst[0])])
     if step.vertical:
-        px = _pass(px, 0, step.src[1], step.dst[1], step.filter, format, single)
+        px, load = _pass(px, 0, step.src[1], step.dst[1], step.filter, format, single, load), _as_is
     if step.horizontal:
-        px = _pass(px, 1, step.src[0], step.dst[0], step.filter, format, single)
+        px = _pass(px, 1, step.src[0], step.dst[0], step.filter, format, single, load)
+    return px
+
+
+def _as_is(px: np.ndarray) -> np.ndarray:
     return px
 
 
@@ -105,9 +117,9 @@ def apply(px: np.ndarray, plan: Plan) -> np.ndarray:
     format = plan.format
     for step in plan.steps:
         varies = step.premultiply == "always" or (step.premultiply == "varying" and np.ptp(px[..., format.alpha]) != 0)
-        if varies:
-            px = _premultiply(px.astype(np.float64 if format.floating else np.int32), format)
-        px = _step(px, step, format, plan.single)
+        # Colours are multiplied a band at a time, so that no wide copy of an image is made.
+        load = (lambda part: _premultiply(part, format)) if varies else _as_is
+        px = _step(px, step, format, plan.single, load)
         if step.divide == "always" or (step.divide == "varying" and varies):
             px = _divide(px, format)
     return px.astype(KINDS[format.sample])
