@@ -5,9 +5,9 @@ SimHash is looked up in a multi-index of the items' ones, which finds every fing
 verified exactly: weighted Jaccard similarity of the word shingles, each weighing as often as it occurs.
 
 The multi-index cuts a fingerprint into 16 blocks of 16 bits. Two fingerprints that differ in at most 63 bits differ in at most
-7 within some two neighbouring blocks, and in at most 3 within one of these. So items are filed under each block's value and
-those one bit away, windows look up theirs and those up to two bits away, and only what also agrees in the two blocks
-is compared as a whole.
+7 within some two neighbouring blocks, and in at most 3 within one of these. So items are filed under all values some
+bits away from each of their blocks, windows look up all values the other bits away, and only what also agrees in the two
+blocks is compared as a whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ BITS = 16 * BLOCKS
 ITEM_BLOCK, ITEM_BYTES = 20_000, 32 << 20
 #: Windows whose fingerprints are made together; windows times items that are looked up together.
 _WINDOWS, _LOOKUPS = 1024, 1 << 19
+#: Values that an index holds at most, if changing one bit of each doesn't make more.
+_FILED = 1 << 21
 
 
 def _spread(features: np.ndarray) -> np.ndarray:
@@ -57,44 +60,52 @@ def window_prints(features: np.ndarray, size: int) -> Iterator[tuple[int, np.nda
         yield lo, _pack(sums[size:] - sums[:-size])
 
 
+@lru_cache
 def _flips(most: int) -> np.ndarray:
     """All numbers of 16 bits of which at most ``most`` are set."""
-    every = np.arange(1 << 16, dtype=np.uint16)
+    every = np.arange(1 << 16, dtype=np.uint32)
     return every[np.bitwise_count(every) <= most]
 
 
+def _by_block(prints: np.ndarray) -> np.ndarray:
+    """Each block's value together with the block's number."""
+    return prints | np.arange(BLOCKS, dtype=np.uint32) << np.uint32(16)
+
+
 class MultiIndex:
-    """Fingerprints by each of their blocks; ``near`` finds all within the radius of each of many."""
+    """Fingerprints by each of their blocks; ``near`` finds all within the radius of each of many.
+
+    Values are changed in up to a third of the bits that may differ where there are many items, in more, up to all, where there
+    are fewer, and those looked up in the rest: the same pairs are found, with fewer lookups.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         if not 0 <= radius < 4 * BLOCKS:
             raise ValueError(f"a radius must be less than {4 * BLOCKS}")
         self.prints, self.radius = np.ascontiguousarray(prints).reshape(-1, BLOCKS), radius
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # made where they are first needed: in the tasks
+        self.keys: np.ndarray | None = None  # made where they are first needed: in the tasks
 
     def _file(self) -> None:
-        flips = _flips(min(1, self.radius // BLOCKS))
-        for block in range(BLOCKS):
-            keys = (self.prints[:, block, None] ^ flips).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], (order // len(flips)).astype(np.int32)))
+        most = self.radius // BLOCKS
+        filed = max([f for f in range(most + 1) if self.prints.size * len(_flips(f)) <= _FILED], default=min(1, most))
+        flips, self.deeper = _flips(filed), _flips(most - filed)
+        keys = (_by_block(self.prints)[:, :, None] ^ flips).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], order // (BLOCKS * len(flips))
 
     def looked_up(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``wanted`` and in the index of those that agree well enough in two blocks to be compared."""
-        if not self.tables:
+        if self.keys is None:
             self._file()
-        n, found = len(self.prints), [np.zeros(0, np.int64)]
-        deeper = _flips(max(0, self.radius // BLOCKS - 1))
-        mine, others = wanted.view(np.uint32), self.prints.view(np.uint32)
-        for block, (keys, at) in enumerate(self.tables):
-            probes = (wanted[:, block, None] ^ deeper).ravel()
-            lo, hi = np.searchsorted(keys, probes), np.searchsorted(keys, probes, side="right")
-            many = hi - lo
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            a, b = np.repeat(np.arange(len(probes)) // len(deeper), many), at[np.repeat(lo, many) + place]
-            close = np.bitwise_count(mine[a, block // 2] ^ others[b, block // 2]) <= self.radius * 2 // BLOCKS
-            found.append(np.unique(a[close] * n + b[close]))
-        return np.divmod(np.unique(np.concatenate(found)), n)
+        probes = (_by_block(wanted)[:, :, None] ^ self.deeper).ravel()
+        lo, hi = np.searchsorted(self.keys, probes), np.searchsorted(self.keys, probes, side="right")
+        some = np.flatnonzero(hi > lo)
+        many = hi[some] - lo[some]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        block = np.repeat(some // len(self.deeper), many)
+        a, b, two = block // BLOCKS, self.at[np.repeat(lo[some], many) + place], block % BLOCKS // 2
+        close = np.bitwise_count(wanted.view(np.uint32)[a, two] ^ self.prints.view(np.uint32)[b, two]) <= self.radius * 2 // BLOCKS
+        return np.divmod(np.unique(a[close] * len(self.prints) + b[close]), len(self.prints))
 
     def near(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``wanted`` and in the index of every two fingerprints within the radius."""
