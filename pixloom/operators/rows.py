@@ -138,6 +138,11 @@ def resample_images(images: DataFrame, scaler: Scaler, target: tuple[int, int],
     return _resized(images, layout, lambda size, format: scaler.plan(size, target, format, premultiply))
 
 
+def resample_by(images: DataFrame, scaler: Scaler, size_of: Callable[[int, int], tuple[int, int]], layout: str, premultiply: bool = False) -> DataFrame:
+    """As resample_images, to a size that depends on each image's own."""
+    return _resized(images, layout, lambda size, format: scaler.plan(size, size_of(*size), format, premultiply))
+
+
 def run_plan(images: DataFrame, plan: Plan) -> DataFrame:
     """``images``, all of the plan's source size and format, through it; null data stays null."""
 

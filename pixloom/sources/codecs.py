@@ -1,7 +1,7 @@
 """PNG and BMP in the standard library, and the metadata of JPEG, PNG and WebP files.
 
-Other codecs need native libraries that a cluster may not have: decoding falls back to Spark's own ``image`` source (JPEG, GIF),
-and HEIC, AVIF and JPEG XL are refused with code 13.
+Other codecs need native libraries that a cluster may not have: images.read_files leaves JPEG and GIF to Spark's own ``image``
+source, and HEIC, AVIF and JPEG XL are refused with code 13.
 """
 
 from __future__ import annotations

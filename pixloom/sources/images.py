@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BUFFER_MISMATCH, GENERIC, INVALID_STRIDE, ZERO_SIZE, ResampleError
-from ..operators.rows import KINDS, view
-from ..plans.plan import LAYOUTS, Format
+from ..operators.rows import KINDS, resample_by, view
+from ..plans.plan import LAYOUTS, Format, Scaler
 from .codecs import Metadata, decode, encode, extract
 
 IMAGE = T.StructType([
@@ -53,27 +54,51 @@ def validate(images: DataFrame) -> DataFrame:
     return images.withColumn("data", F.when(bad.isNotNull(), F.raise_error(bad).cast("binary")).otherwise(F.col("data")))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """PNG and BMP files, with their metadata. A file is a row, so a folder of any size is spread over tasks."""
-    files = spark.read.format("binaryFile").load(path)
-    schema = T.StructType([T.StructField("path", T.StringType()), *IMAGE.fields])
+_FILE = T.StructType([T.StructField("path", T.StringType()), *IMAGE.fields, T.StructField("problem", T.StringType())])
+_FILE_KINDS = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), _META, pa.string())
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, key, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Image files with their metadata: JPEG and GIF by Spark's image source, PNG (16 bits too) and BMP here.
+
+    A file that can't be decoded is a row with null data, and ``problem`` says why. A file is a row, so a folder of any size is
+    spread over tasks. Spark's source goes by a file's extension.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("image_id"), "content")
+    start = F.hex(F.substring("content", 1, 3))
+    by_spark = start.startswith("FFD8") | (start == "474946")
+    own = files.where(~by_spark).mapInArrow(_decoded, _FILE)
+    theirs = files.where(by_spark).mapInArrow(_described, "path string, image_id long, metadata " + IMAGE["metadata"].dataType.simpleString())
+    pixels = read_with_spark(spark, path, "*.{jpg,jpeg,jpe,gif,JPG,JPEG,JPE,GIF}").drop("metadata")
+    met = theirs.join(pixels, "image_id", "left").withColumn("problem", F.when(F.col("data").isNull(), F.lit("Spark's image source can't decode it")))
+    return own.unionByName(met.select(*_FILE.names))
+
+
+def _metadata(data: bytes) -> dict:
+    meta = extract(data)
+    return {"icc": meta.icc, "exif": meta.exif, "xmp": meta.xmp, "orientation": meta.orientation}
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, key, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            try:
                 px, depth = decode(data)
-                meta = extract(data)
-                rows.append((name, key, px.shape[1], px.shape[0], px.shape[2], "u8" if depth == 8 else "u16", depth, 0, np.ascontiguousarray(px).tobytes(), {"icc": meta.icc, "exif": meta.exif, "xmp": meta.xmp, "orientation": meta.orientation}))
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), _META)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], schema.names)
+                row = (name, key, px.shape[1], px.shape[0], px.shape[2], "u8" if depth == 8 else "u16", depth, 0, np.ascontiguousarray(px).tobytes(), _metadata(data), None)
+            except Exception as problem:  # whatever a damaged file leads to is told in its row
+                row = (name, key, *[None] * 8, f"{type(problem).__name__}: {problem}")
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _FILE_KINDS, strict=True)], _FILE.names)
+
 
-    return files.select("path", F.xxhash64("path").alias("image_id"), "content").mapInArrow(each, schema)
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_metadata(data) for data in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _META)], ["path", "image_id", "metadata"])
 
 
-def read_with_spark(spark: SparkSession, path: str) -> DataFrame:
-    """Whatever Spark's image source decodes (JPEG, PNG, GIF, BMP); its BGR order is turned to RGB."""
-    source = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def read_with_spark(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Whatever Spark's image source decodes (JPEG, PNG, GIF, BMP) of the files so named; its BGR order is turned to RGB."""
+    source = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", names).load(path).select("image.*")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +106,8 @@ def read_with_spark(spark: SparkSession, path: str) -> DataFrame:
             columns = [batch.column(i) for i in range(4)] + [pa.array(["u8"] * batch.num_rows), pa.array([8] * batch.num_rows, pa.int32()), pa.array([0] * batch.num_rows, pa.int32()), pa.array(data, pa.binary()), pa.nulls(batch.num_rows, _META)]
             yield pa.RecordBatch.from_arrays(columns, IMAGE.names)
 
-    cells = source.select(F.xxhash64("origin").alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
+    origin = F.regexp_replace("origin", "^file:/+", "file:/")  # as the binary source writes it
+    cells = source.select(F.xxhash64(origin).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
     return cells.mapInArrow(each, IMAGE)
 
 
@@ -112,6 +138,53 @@ def encoded(images: DataFrame, kind: str = "png", icc: bool = True, exif: bool =
     return images.select(*IMAGE.names).mapInArrow(each, "image_id long, content binary")
 
 
+def save(images: DataFrame, folder: str, kind: str = "png", icc: bool = True, exif: bool = True) -> DataFrame:
+    """(image_id, path) of each image as a file <image_id>.<kind> in a folder that all executors share; written when it is read.
+
+    A task that runs twice writes the same file twice.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [f"{folder.rstrip('/')}/{key}.{kind}" for key in batch.column(0).to_pylist()]
+            for to, content in zip(paths, batch.column(1), strict=True):
+                system, where = fs.FileSystem.from_uri(to)
+                with system.open_output_stream(where) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths)], ["image_id", "path"])
+
+    return encoded(images, kind, icc, exif).mapInArrow(each, "image_id long, path string")
+
+
+def as_rgb8(images: DataFrame) -> DataFrame:
+    """``images`` of any layout and of u8 or u16 samples as 8-bit RGB: gray is repeated, alpha dropped."""
+    at = {c: images.columns.index(c) for c in ("width", "height", "channels", "sample", "bit_depth", "stride", "data")}
+
+    def one(w: int, h: int, n: int, sample: str, depth: int, stride: int, data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        px = view(data, w, h, stride or 0, Format(sample, {1: "planar", 2: "gray_alpha", 3: "rgb", 4: "rgba"}[n], depth or 8))
+        if sample == "u16":
+            px = (px.astype(np.uint32) * 255 + ((1 << depth) - 1) // 2) // ((1 << depth) - 1)
+        return np.ascontiguousarray(np.broadcast_to(px[..., :1], (h, w, 3)) if n < 3 else px[..., :3]).astype(np.uint8).tobytes()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(*row) for row in zip(*(batch.column(i).to_pylist() for i in at.values()), strict=True)]
+            columns, many = list(batch.columns), batch.num_rows
+            for name, values in (("channels", [3] * many), ("sample", ["u8"] * many), ("bit_depth", [8] * many), ("stride", [0] * many), ("data", made)):
+                columns[at[name]] = pa.array(values, batch.schema.field(at[name]).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return images.mapInArrow(each, images.schema)
+
+
+def thirds(images: DataFrame, kind: str = "png") -> DataFrame:
+    """(image_id, content): each image as RGB, shrunk to a third of each side by Lanczos3, as a file. Undecoded ones are left out."""
+    small = resample_by(as_rgb8(images.where("data IS NOT NULL")), Scaler("lanczos3"), lambda w, h: (max(1, w // 3), max(1, h // 3)), "rgb")
+    return encoded(small, kind, False, False)
+
+
 def to_pixels(images: DataFrame, layout: str) -> DataFrame:
     """Pixel rows (image_id, y, x, v0, ...) of images; padding between rows is dropped."""
     n = LAYOUTS[layout]

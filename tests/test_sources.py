@@ -71,6 +71,31 @@ def test_files_in_and_out(spark, tmp_path):
     assert bytes(other.data) == px.astype(np.uint8).tobytes()
 
 
+def test_folders_of_all_sorts(spark, tmp_path):
+    px = np.random.default_rng(1).integers(0, 256, (9, 6, 3))
+    (tmp_path / "a.png").write_bytes(codecs.encode(px, "png"))
+    (tmp_path / "broken.png").write_bytes(codecs.encode(px, "png")[:60])
+    (tmp_path / "c.heic").write_bytes(b"\0\0\0\x18ftypheic")
+    (tmp_path / "d.jpg").write_bytes(b"\xff\xd8\xff\xe0 not a jpeg")
+    made = spark._jvm.java.awt.image.BufferedImage(12, 6, 1)
+    for x in range(12):
+        for y in range(6):
+            made.setRGB(x, y, 0x4080C0)
+    assert spark._jvm.javax.imageio.ImageIO.write(made, "jpg", spark._jvm.java.io.File(str(tmp_path / "e.jpg")))
+    read = images.read_files(spark, str(tmp_path))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert len(rows) == 5 and {n for n, r in rows.items() if r.problem} == {"broken.png", "c.heic", "d.jpg"}
+    assert bytes(rows["a.png"].data) == px.astype(np.uint8).tobytes()
+    photo = np.frombuffer(bytes(rows["e.jpg"].data), np.uint8).reshape(6, 12, 3).astype(int)
+    assert np.abs(photo - [0x40, 0x80, 0xC0]).max() < 4 and rows["e.jpg"].metadata.orientation == 1
+    small = {codecs.decode(bytes(r.content))[0].shape for r in images.thirds(read).collect()}
+    assert small == {(3, 2, 3), (2, 4, 3)}
+    out = tmp_path / "out"
+    out.mkdir()
+    paths = [r.path for r in images.save(read.where("problem IS NULL"), f"file://{out}", "bmp").collect()]
+    assert len(paths) == 2 == len(list(out.iterdir())) and codecs.decode(next(out.iterdir()).read_bytes())[0].shape[2] == 3
+
+
 def test_stores(spark):
     made = images.allocate(spark.range(1, 3).toDF("image_id"), 3, 2, "rgb")
     assert {bytes(r.data) for r in made.collect()} == {b"\0" * 18}
