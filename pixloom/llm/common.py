@@ -89,6 +89,18 @@ def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], number: str)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """Rows with the largest counts ``n``, ``most`` or fewer: whole classes of about equal counts, so that no task sorts them."""
+    size = F.floor(F.log2("n") * 64)
+    fits, least = most, None
+    for at, rows in counted.groupBy(size.alias("at")).count().orderBy(F.desc("at")).collect():  # 64 classes for each doubling
+        fits -= rows
+        if fits < 0:
+            break
+        least = at
+    return counted.where(size >= least) if least is not None else counted.limit(0)
+
+
 def by_ids(table: DataFrame, ids: DataFrame, by: str, how: str) -> DataFrame:
     """Rows that are (``how`` left_semi) or aren't (left_anti) among distinct ids. Within MOST_SENT these go to all tasks, and ``table`` isn't shuffled."""
     ids = stored(ids.toDF(by), "ids")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, discard, join_by_key, stored
+from .common import by_ids, components, discard, join_by_key, most_frequent, stored
 from .textkit import U, Words, as_text, exact_runs, mix, shingle_sets, slices
 
 #: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
@@ -212,11 +212,12 @@ def _pairs_linked(one: pa.Array, two: pa.Array, shingle: int, percent: int) -> l
     """Whether each row of ``one`` and the same row of ``two`` link, by numbers that equal words alone share."""
     n = len(one)
     words = Words(pa.concat_arrays([one, two]), 0, 2 * n)
-    exact, first, out = exact_runs(words.codes, shingle), words.first, []
+    codes = words.exact()
+    exact, first, out = exact_runs(codes, shingle), words.first, []
     for i in range(n):
         (a, b), (c, d) = first[i : i + 2], first[n + i : n + i + 2]
         if min(b - a, d - c) < shingle:  # a short text is one shingle, its whole sequence
-            out.append(b > a and np.array_equal(words.codes[a:b], words.codes[c:d]))
+            out.append(b > a and np.array_equal(codes[a:b], codes[c:d]))
         else:
             out.append(linked(np.unique(exact[a : b - shingle + 1]), np.unique(exact[c : d - shingle + 1]), percent))
     return out
@@ -372,7 +373,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = docs.select("text").mapInArrow(_frequent(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # Which shingles are known as frequent decides the global order alone; any order finds every link.
-    named = often.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow()["h"].to_numpy()
+    named = most_frequent(stored(often, "frequent"), MOST_FREQUENT).select("h").toArrow()["h"].to_numpy()
     sent = spark.sparkContext.broadcast(np.sort(named.view(U)))
     points = stored(docs.mapInArrow(_points(shingle, percent, sent), _POINT), "points")
 

@@ -14,12 +14,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import join_by_key, stored, unused
 from .textkit import U, Words, as_text, mix, placed_sums, slices
 
-#: Consecutive sentences in a span; words that they have together at least; words at which a long sentence is cut.
-RUN, LEAST_WORDS, LONGEST = 3, 8, 16
-#: Words among which a sentence is cut at the one with the least hash, and words of a span of such pieces: no fewer than
-#: one with a piece of LONGEST has. Of a run of 47 words or more that repeats all are in spans that every copy has, but up to
+#: Consecutive sentences in a span; words that they have together at least.
+RUN, LEAST_WORDS = 3, 8
+#: Words among which a long sentence is cut at the one with the least hash, and words of a span of such pieces. Of a run of 47 words or more that repeats all are in spans that every copy has, but up to
 #: 2 * WINDOW - 2 before the first and one more after the last; 47 is that start, LEAST_PIECES + WINDOW - 1, and WINDOW.
-WINDOW, LEAST_PIECES = 8, LONGEST + RUN - 1
+WINDOW, LEAST_PIECES = 8, 18
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
@@ -35,18 +34,20 @@ def _least(x: np.ndarray, opens: np.ndarray, window: int) -> np.ndarray:
         least[less] = x[j : j + n][less]
         at[less] = np.flatnonzero(less) + j
     sentence = np.cumsum(opens)
-    return np.unique(at[sentence[:n] == sentence[window - 1 :]])
+    chosen = np.zeros(len(x), bool)
+    chosen[at[sentence[:n] == sentence[window - 1 :]]] = True
+    return np.flatnonzero(chosen)
 
 
 class Sentences:
     """The sentences of rows of a text column.
 
     first: where each row's sentences begin, one more than rows; begin, end: bytes of each sentence in the slice, up to the
-    next one's first word; hash1, hash2: of its words, A-Z lower-cased; words: their number. whole: where those begin that
-    are no later pieces of a sentence cut by ``window``.
+    next one's first word; hash1, hash2: of its words, A-Z lower-cased; words: their number. A sentence of ``window`` words or more
+    is cut into several here; whole: where sentences begin, and no later pieces of one.
     """
 
-    def __init__(self, text: pa.Array, lo: int, hi: int, longest: int = LONGEST, window: int = 0):
+    def __init__(self, text: pa.Array, lo: int, hi: int, window: int = WINDOW):
         w = Words(text, lo, hi)
         start = np.frombuffer(text.buffers()[1], np.int64)[text.offset + lo]
         size = int(w.offsets[-1])
@@ -62,14 +63,9 @@ class Sentences:
         opens[1:] = _ENDS[data[w.end[:-1] - 1]] | (newline[w.start[1:]] > newline[w.end[:-1]])
         row_starts = w.first[:-1][w.first[:-1] < w.first[1:]]
         opens[row_starts] = True
-        sentence = opens.copy() if window else opens
-        if window:
-            # By words nearby alone, so that the same words are cut alike wherever they stand; no piece is longer than a window.
-            opens[_least(mix(w.hash, 15), opens, window)] = True
-        else:
-            # Long sentences are cut every ``longest`` words from their own start, so that equal ones are cut alike.
-            at = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-            opens |= at % longest == 0
+        sentence = opens.copy()
+        # By words nearby alone, so that the same words are cut alike wherever they stand; no piece is longer than a window.
+        opens[_least(mix(w.hash, 15), opens, window)] = True
         s = np.flatnonzero(opens)
         self.whole = np.flatnonzero(sentence[s])
         self.words = np.diff(np.concatenate([s, [n]]))
@@ -84,12 +80,11 @@ class Sentences:
         """Two hashes of the sentences from ``start`` to before ``end``, wherever they stand."""
         return placed_sums(self.hash1, start, end, 13), placed_sums(self.hash2, start, end, 14)
 
-    def spans(self, run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first sentence, the one after the last) of each span.
 
-        A span is ``run`` sentences within a row that have words enough. With ``lengthen`` those that have too few take in
-        as many more as it needs, after them and, as another span, before them; and a row that is too short for that is one
-        span. So each sentence of a repeated passage with sentences and words enough is in a span that lies within it. Of
+        A span is ``run`` sentences within a row that have words enough; those that have too few take in as many more as it
+        needs, after them and, as another span, before them; and a row that is too short for that is one span. So each sentence of a repeated passage with sentences and words enough is in a span that lies within it. Of
         sentences cut by a window uncut ones make such spans, and pieces that have LEAST_PIECES words others.
         """
         n = len(self.begin)
@@ -97,10 +92,6 @@ class Sentences:
             return (np.zeros(0, np.int64),) * 3
         row = np.searchsorted(self.first, np.arange(n), side="right") - 1
         total = np.concatenate([[0], np.cumsum(self.words)])
-        if not lengthen:
-            start = np.arange(max(n - run + 1, 0))
-            keep = start[(row[start] == row[start + run - 1]) & (total[start + run] - total[start] >= least_words)]
-            return row[keep], keep, keep + run
         bound = np.append(self.whole, n)
         at = np.searchsorted(bound, self.first)
         start, end = (bound[x] for x in _runs_of(total[bound], at, run, least_words))
@@ -126,13 +117,13 @@ def _runs_of(total: np.ndarray, first: np.ndarray, run: int, least_words: int, e
     return np.concatenate([after, start[before], lo[short]]), np.concatenate([end[after], last[before] + 1, hi[short]])
 
 
-def _spans_of(run: int, least_words: int, lengthen: bool, window: int):
+def _spans_of(run: int, least_words: int, window: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = as_text(batch.column(1))
             for lo, hi in slices(text):
                 s = Sentences(text, lo, hi, window=window)
-                row, start, end = s.spans(run, least_words, lengthen)
+                row, start, end = s.spans(run, least_words)
                 h1, h2 = s.hashes(start, end)
                 place = ((start - s.first[row]) << 32) + end - start
                 ids = batch.column(0).take(pa.array(row + lo))
@@ -200,17 +191,15 @@ def _rebuild(at: int, drops: int, window: int):
     return each
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, lengthen: bool = False, window: int = 0) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """``docs`` without the sentences that a repeated span covers, except where the span comes first; and n_sentences, n_removed.
 
-    A sentence ends with a word that ends in . ! or ?, at a newline, or after LONGEST words, so a long one counts as several.
-    With ``window`` it is cut instead before the word with the least hash of each ``window`` words in it, so that the same words
-    are cut alike wherever they stand in it; with ``lengthen`` pieces that have LEAST_PIECES words together are a span too, and
-    ``run`` sentences are taken uncut. Other line breaks in a copy still make other sentences.
-    A span is ``run`` sentences in a row that have ``least_words`` words or more together; spans are equal when
-    their words are, A-Z lower-cased. With ``lengthen`` shorter sentences count too: a span takes in as many more as reach
-    ``least_words``, and a row with less than a span is one itself. Of equal spans, in all documents and within one, that in the smallest document,
-    and there the earliest, stays; sentences that any other covers go, with the space after them.
+    A sentence ends with a word that ends in . ! or ?, or at a newline; n_sentences counts one of ``window`` words or more as
+    several, cut before the word with the least hash of each ``window`` words in it, so that the same words are cut alike wherever
+    they stand. A span is ``run`` uncut sentences in a row, or as many more as have ``least_words`` words together, or all of a
+    row that has less; and ``run`` pieces, or as many more as have LEAST_PIECES words. Spans are equal when their words are, A-Z
+    lower-cased. Of equal spans, in all documents and within one, that in the smallest document, and there the earliest,
+    stays; sentences that any other covers go, with the space after them. Other line breaks in a copy make other sentences.
 
     A null text has no sentences and stays null; an empty one stays empty. Documents with a null id come last. Rows of one
     id are one document: what stands at one place in several of them doesn't count as repeated. Columns named n_sentences or
@@ -222,7 +211,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_sentences", "n_removed")])
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words, lengthen, window), f"h1 long, h2 long, doc {kind}, place long")
+    spans = docs.select(id_col, text_col).mapInArrow(_spans_of(run, least_words, window), f"h1 long, h2 long, doc {kind}, place long")
     spans = spans.repartitionByRange("h1", "h2", "doc", "place").sortWithinPartitions("h1", "h2", "doc", "place")
     spans = stored(spans.mapInArrow(_not_alone, f"h1 long, h2 long, doc {kind}, place long"), "spans")
     where = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("place").alias("place"))

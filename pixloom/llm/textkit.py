@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Masks of the first bytes, by their number, of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 #: ASCII signs count as separators too where a text is compared loosely.
@@ -53,8 +56,8 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 class Words:
     """The words of the rows ``lo`` to ``hi`` of a text column.
 
-    codes: the same number for the same lower-cased (A-Z) word within the slice, and for no other; distinct: xxh3 of the bytes
-    of the word that has each number, 64 bits; hash: that of each word; first: where each row's words begin in these, one more than rows. start, end: byte positions in the slice.
+    hash: a 64-bit hash of each lower-cased (A-Z) word's bytes; first: where each row's words begin in it, one more than rows.
+    start, end: byte positions in the slice.
     loose: signs of ASCII separate words too, and Latin capitals fold.
     """
 
@@ -78,15 +81,38 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.offsets = off
         if not len(self.start):
-            self.codes, self.distinct, self.hash = np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, U)
+            self._data, self.hash = np.zeros(16, np.uint8), np.zeros(0, U)
             return
-        # Every distinct word is hashed once, from its bytes.
-        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
-        letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[inside]])])
-        encoded = letters.dictionary_encode()
-        self.codes, words = encoded.indices.to_numpy(), encoded.dictionary
-        self.distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), U, len(words))
-        self.hash = self.distinct[self.codes]
+        self._data = np.concatenate([_LOWER[data], np.zeros(16, np.uint8)])
+        # Up to 16 bytes are the words of 8 bytes at both ends, and their number.
+        eight = np.ndarray(len(data) + 8, "<u8", self._data, strides=(1,))
+        length = self.end - self.start
+        with np.errstate(over="ignore"):
+            self.hash = mix(mix(eight[self.start] & _FIRST[np.minimum(length, 8)], 20) + length.astype(U) * U(_BASE), 21)
+            two = np.flatnonzero(length > 8)
+            self.hash[two] = mix(self.hash[two] + mix(eight[self.end[two] - 8], 22), 23)
+        far = np.flatnonzero(length > 16)
+        if len(far):
+            words = self._bytes(far).dictionary_encode()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), U, len(words.dictionary))
+            self.hash[far] = hashes[words.indices.to_numpy()]
+
+    def _bytes(self, which: np.ndarray) -> pa.Array:
+        """The bytes of some words, lower-cased."""
+        length = self.end[which] - self.start[which]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.start[which], length)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(self._data[place])])
+
+    @cached_property
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word's hash within the slice, the hash of each number)."""
+        encoded = pa.array(self.hash.view(np.int64)).dictionary_encode()
+        return encoded.indices.to_numpy(), encoded.dictionary.to_numpy().view(U)
+
+    def exact(self) -> np.ndarray:
+        """The same number for the same lower-cased word within the slice, and for no other: by its bytes."""
+        return self._bytes(np.arange(len(self.start))).dictionary_encode().indices.to_numpy()
 
     def row(self, i: int) -> np.ndarray:
         return self.hash[self.first[i] : self.first[i + 1]]

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -62,7 +63,7 @@ def awkward(spark):
 def test_word_hashes_follow_the_words():
     import pyarrow as pa
 
-    texts = ["A bc\tABC\n", "", None, "é É  e\x0b\x1cf", "abc a BC", "日本 語"]
+    texts = ["A bc\tABC\n", "", None, "é É  e\x0b\x1cf", "abc a BC", "日本 語", "a\0 a", " ".join("abcdefghijklmnopqrstuvwxyz"[:n] for n in range(1, 27)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefgh"]
     column = textkit.as_text(pa.array(texts))
     seen = {}
     for size in (1, 1 << 20):
@@ -84,7 +85,7 @@ def test_words_and_sequences_that_cancel_out_in_sums_of_powers(spark):
 
     one, two = ("".join(x) for x in mirrored("a", "b"))
     w = textkit.Words(textkit.as_text(pa.array([one, two])), 0, 2)
-    assert w.hash[0] != w.hash[1] and w.codes[0] != w.codes[1]
+    assert w.hash[0] != w.hash[1] and w.exact().tolist() == [0, 1]
     long_one, long_two = (" ".join(x) for x in mirrored("a", "b"))
     s = spans.Sentences(textkit.as_text(pa.array([long_one + ".", long_two + "."])), 0, 2)
     assert s.hash1[0] != s.hash1[1]
@@ -111,6 +112,12 @@ def test_join_by_key_with_hot_keys(spark, monkeypatch):
     assert common.by_ids(facts, facts.select("k").where("k > 3"), "k", "left_anti").count() == facts.where("k <= 3").count()
 
 
+def test_most_frequent_keeps_within_its_bound(spark):
+    rows = common.stored(spark.createDataFrame([(i, n) for i, n in enumerate([900, 300, 300, 40, 40, 40, 7, 1, 1, 1, 1])], "h long, n long"), "counts")
+    sizes = {most: sorted(r.n for r in common.most_frequent(rows, most).collect()) for most in (0, 1, 2, 3, 5, 11, 50)}
+    assert sizes[0] == [] and sizes[1] == sizes[2] == [900] and sizes[3] == sizes[5] == [300, 300, 900] and len(sizes[11]) == len(sizes[50]) == 11
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Session:
         class sparkContext:
@@ -485,7 +492,7 @@ def test_leaving_words_go_where_the_likelihood_grows_most():
 @pytest.mark.parametrize("known", [1 << 19, 50])
 def test_scores_against_brute_force(spark, monkeypatch, known):
     """Every class count, transition and emission from the texts themselves, whether words are sent to tasks or joined."""
-    import xxhash
+    import pyarrow as pa
 
     monkeypatch.setattr(lm, "KNOWN", known)
     docs = [(r.doc_id, r.text) for r in corpus(spark).limit(90).collect()] + [(900, None), (901, "never seen before and never again")]
@@ -493,7 +500,7 @@ def test_scores_against_brute_force(spark, monkeypatch, known):
     train = [words(t) for i, t in docs if i % 3 and i < 900]
     model, vocabulary = lm.train(frame.where("doc_id % 3 <> 0 AND doc_id < 900"))
     facts = {r.h: (r.n, r.part) for r in vocabulary.collect()}
-    key = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w.encode())).view(np.int64))
+    key = lru_cache(None)(lambda w: int(textkit.Words(textkit.as_text(pa.array([w])), 0, 1).hash.view(np.int64)[0]))
     counts = collections.Counter(w for t in train for w in t)
     assert {key(w): n for w, n in counts.items()} == {h: n for h, (n, _) in facts.items()}
     k, end = lm.CLASSES, lm.CLASSES - 1
@@ -593,35 +600,60 @@ def test_embeddings_blocks(spark, monkeypatch):
 # ---- 7 -----------------------------------------------------------------------------------------------------------
 
 
+def pieces_of(text):
+    """(start of each piece in the text, its words, whether a sentence begins) by walking over words and windows of eight."""
+    import pyarrow as pa
+
+    tokens = [(m.start(), m.group()) for m in WORD.finditer(text or "")]
+    order = textkit.mix(textkit.Words(textkit.as_text(pa.array([text])), 0, 1).hash, 15).tolist()
+    begins = [k == 0 or tokens[k - 1][1][-1] in ".!?" or "\n" in text[tokens[k - 1][0] : start] for k, (start, _) in enumerate(tokens)]
+    cuts = {k for k, b in enumerate(begins) if b}
+    for k in range(len(tokens) - spans.WINDOW + 1):
+        window = range(k, k + spans.WINDOW)
+        if not any(begins[i] for i in window[1:]):
+            cuts.add(max(window, key=lambda i: (-order[i], i)))
+    cuts = [*sorted(cuts), len(tokens)]
+    return [(tokens[a][0], [w.translate(LOWER) for _, w in tokens[a:b]], begins[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def brute_runs(words, run, least):
+    """(first, last + 1) of the shortest runs from each unit on, and up to each unit; of all, if there is too little for one."""
+    n, out = len(words), set()
+    enough = lambda i, j: j - i >= run and sum(words[i:j]) >= least
+    for i in range(n):
+        out |= {(i, j) for j in [next((j for j in range(i, n + 1) if enough(i, j)), None)] if j}
+        out |= {(j, i + 1) for j in [next((j for j in range(i, -1, -1) if enough(j, i + 1)), None)] if j is not None}
+    return out, {(0, n)} if n and not enough(0, n) else set()
+
+
 def brute_spans(rows):
-    """(doc_id, kept text) by comparing spans of sentences as they stand."""
-    cut = []
-    for i, text in rows:
-        parts, at = [], 0
-        tokens = [(m.start(), m.group()) for m in WORD.finditer(text or "")]
-        for k, (start, w) in enumerate(tokens):
-            new = k == 0 or tokens[k - 1][1][-1] in ".!?" or "\n" in text[tokens[k - 1][0] : start] or at == spans.LONGEST
-            if new:
-                parts.append([start, []])
-                at = 0
-            parts[-1][1].append(w.translate(LOWER))
-            at += 1
-        cut.append((i, text, parts))
+    """(doc_id, kept text, pieces, those removed) by comparing the words of spans as they stand."""
+    cut = [(i, text, pieces_of(text)) for i, text in rows]
+
+    def spans_of(parts):
+        bounds = [k for k, p in enumerate(parts) if p[2]] + [len(parts)]
+        whole, short = brute_runs([sum(len(p[1]) for p in parts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], spans.RUN, spans.LEAST_WORDS)
+        found = {(bounds[a], bounds[b]) for a, b in whole | short}
+        if len(bounds) <= len(parts):
+            starts, _ = brute_runs([len(p[1]) for p in parts], spans.RUN, spans.LEAST_PIECES)
+            shortest = {a: min(y for x, y in starts if x == a) for a, _ in starts}
+            latest = {b: max(x for x, y in starts if y == b) for _, b in starts}
+            found |= {(a, b) for a, b in starts if shortest[a] == b or (b in bounds and latest[b] == a)}
+        return {(a, b, tuple(tuple(p[1]) for p in parts[a:b])) for a, b in found}
+
     first = {}
-    for i, _, parts in sorted(cut, key=lambda c: (c[0] is None, c[0] or 0)):
-        for p in range(len(parts) - 2):
-            key = tuple(tuple(x[1]) for x in parts[p : p + 3])
-            if sum(map(len, key)) >= spans.LEAST_WORDS:
-                first.setdefault(key, (i, p))
+    for i, _, parts in cut:
+        for a, b, key in spans_of(parts):
+            place = (i is None, i or 0, a, b - a)
+            first[key] = min(first.get(key, place), place)
     out = []
     for i, text, parts in cut:
         gone = set()
-        for p in range(len(parts) - 2):
-            key = tuple(tuple(x[1]) for x in parts[p : p + 3])
-            if sum(map(len, key)) >= spans.LEAST_WORDS and first[key] != (i, p):
-                gone |= {p, p + 1, p + 2}
-        ends = [x[0] for x in parts[1:]] + [len(text or "")]
-        kept = (text[: parts[0][0]] if gone else "") + "".join(text[x[0] : e] for k, (x, e) in enumerate(zip(parts, ends, strict=True)) if k not in gone) if gone else text
+        for a, b, key in spans_of(parts):
+            if first[key] != (i is None, i or 0, a, b - a):
+                gone |= set(range(a, b))
+        ends = [p[0] for p in parts[1:]] + [len(text or "")]
+        kept = text[: parts[0][0]] + "".join(text[p[0] : e] for k, (p, e) in enumerate(zip(parts, ends, strict=True)) if k not in gone) if gone else text
         out.append((i, kept, len(parts), len(gone)))
     return sorted(out, key=repr)
 
@@ -671,7 +703,7 @@ def test_passages_of_short_sentences_go(spark):
     passage, copy = short(50), short(80)
     rows = [(i, f"{short(20)} {passage} {short(20)}") for i in range(4)] + [(10, copy), (11, copy), (12, "Two. Words."), (13, "two. words."), (14, "Two. Others.")]
     assert left_of_repeats(rows) > 250
-    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), lengthen=True).collect()}
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left_of_repeats(sorted((i, r.text) for i, r in got.items())) == 0
     assert got[0].text == rows[0][1] and all(got[i].text == rows[i][1].replace(passage + " ", "") for i in range(1, 4))
     assert [got[i].text for i in (10, 11, 12, 13, 14)] == [copy, "", "Two. Words.", "", "Two. Others."]
@@ -684,7 +716,7 @@ def test_passages_in_mid_sentence_go(spark):
     for i, p in enumerate(passages):
         rows += [(3 * i + k, f"{several(rng.randint(0, 40))} {p} {several(rng.randint(0, 40))}.") for k in range(3)]
     rows += [(200, "so " * 100), (201, "a word before " + "so " * 100), (202, several(300))]
-    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), lengthen=True, window=spans.WINDOW).collect()}
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     most = 2 * spans.WINDOW - 2
     for i, p in enumerate(passages):
         assert got[3 * i].text == rows[3 * i][1]
@@ -703,7 +735,7 @@ def test_no_piece_is_longer_than_a_window():
 
     rng = random.Random(11)
     texts = [" ".join(rng.choices(["the", "a", "Sea", "é", "of.", "to"], k=rng.randint(0, 200))) for _ in range(50)]
-    s = spans.Sentences(textkit.as_text(pa.array(texts)), 0, len(texts), window=spans.WINDOW)
+    s = spans.Sentences(textkit.as_text(pa.array(texts)), 0, len(texts))
     assert s.words.max() <= spans.WINDOW and s.words.sum() == sum(len(words(t)) for t in texts)
 
 
