@@ -51,7 +51,7 @@ def position_of(share: Column, start: Column, end: Column) -> Column:
     return F.least(F.lit(1.0), 2 * goal / (start + F.sqrt(start * start + 2 * (end - start) * goal)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, drift: tuple[float, ...] = DRIFT, block_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, drift: tuple[float, ...] = DRIFT, block_bits: int | None = None) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, position, position_again; range-sorted by position.
 
     size counts words (runs without space or \\t to \\r). Within a source, documents queue in order of the
@@ -64,14 +64,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ids (null too) queue together by size; repeated rows each count. No other column matters; an empty table gives an empty table.
 
     Plan: the queue's running sum comes in two steps, blocks of a source by the leading ``block_bits`` bits of the digest,
-    then within a block, so a source with a third of all rows is dealt over 4096 blocks; raise
-    ``block_bits`` with the table. Texts are never shuffled. Source totals are one row each.
+    then within a block. Their number follows the table's rows, a few thousand to a block, so a source with a third of all
+    rows is dealt over a third as many tasks at any size. Texts are never shuffled. Source totals are one row each.
     """
     word_count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count.alias("size"))
     rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("block", F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("int"), 24 - block_bits))
     rows = stored(rows, "mix-sizes")  # a few bytes a document, so that texts are read once
+    bits = block_bits if block_bits is not None else min(24, max(4, (rows.count() // 2048).bit_length()))
+    rows = rows.withColumn("block", F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("int"), 24 - bits))
     # Blocks carry the only aggregate over documents; source totals come from them.
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("in_block"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
