@@ -230,19 +230,28 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
 
 
-#: Rows and pairs of points that a task looks at together.
-_ROWS, _PAIRS = 1 << 16, 1 << 19
+#: Rows and pairs of points that a task looks at together; leading groups that say in which slab a pair is given out.
+_ROWS, _PAIRS, _SKETCH = 1 << 16, 1 << 19, 8
+
+
+def _least_common(one: np.ndarray, two: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the key is the least that two rows of a sketch have in common, or they have none; 0 fills sketches up."""
+    both = ((one[:, :, None] == two[:, None, :]) & (one != 0)[:, :, None]).any(2)
+    least = np.where(both, one, np.iinfo(np.int64).max).min(1)
+    return ~both.any(1) | (least == key)
 
 
 def _in_leaves(percent: int):
-    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, near) sorted by item.
+    """Pairs (a, b) of points in a pair of leaves, from rows (item, side, node, n, component, near, key, sketch) sorted by item.
 
-    A pair of leaves is an item; side 2 marks a leaf that meets itself. Many items are scanned together.
+    A pair of leaves is an item; side 2 marks a leaf that meets itself. Many items are scanned together. Points that have
+    some of their first leading groups in common, and so meet in these slabs, are given out in that of the least alone.
     """
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        item, side, node, n, part = (t.column(c).to_numpy() for c in ("item", "side", "node", "n", "component"))
+        item, side, node, n, part, key = (t.column(c).to_numpy() for c in ("item", "side", "node", "n", "component", "key"))
+        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, _SKETCH)
         counts = t.column("near").combine_chunks().flatten().to_numpy().reshape(-1, NEAR)
         full = counts.max(1) == _MANY
         bounds = np.concatenate([[0], np.flatnonzero(item[1:] != item[:-1]) + 1, [len(item)]])
@@ -259,7 +268,9 @@ def _in_leaves(percent: int):
             i, j = i[keep], j[keep]
             room = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int32) * (100 + percent) >= percent * (n[i] + n[j])
             room |= full[i] & full[j]
-            a, b = np.minimum(node[i[room]], node[j[room]]), np.maximum(node[i[room]], node[j[room]])
+            i, j = i[room], j[room]
+            here = _least_common(sketch[i], sketch[j], key[i])
+            a, b = np.minimum(node[i[here]], node[j[here]]), np.maximum(node[i[here]], node[j[here]])
             pair = np.unique(np.stack([a, b]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
@@ -283,11 +294,11 @@ def _in_leaves(percent: int):
     return each
 
 
-_TREE_POINT = "key long, node long, n long, component long, coarse array<int>, near array<tinyint>, leaf long, inner long"
+_TREE_POINT = "key long, node long, n long, component long, coarse array<int>, near array<tinyint>, sketch array<long>, leaf long, inner long"
 
 
 def _packed(leaf_points: int, inner_leaves: int):
-    """Points (key, node, n, component, coarse, near, sorted along the curve in each key) with the numbers of their leaf and inner node.
+    """Points (key, node, n, component, coarse, near, sketch, sorted along the curve in each key) with the numbers of their leaf and inner node.
 
     A leaf is ``leaf_points`` points of a key in a row, an inner node ``inner_leaves`` leaves; numbers are the partition's own.
     """
@@ -309,7 +320,7 @@ def _packed(leaf_points: int, inner_leaves: int):
             key, at, leaf = keys[-1], int(inside[-1]) + 1, int(leaf_of[-1])
             # Inner nodes end with their key, as leaves do.
             inner = leaf_of - inside // leaf_points % inner_leaves
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(base + leaf_of), pa.array(base + inner)], _names(_TREE_POINT))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(base + leaf_of), pa.array(base + inner)], _names(_TREE_POINT))
 
     return each
 
@@ -327,9 +338,9 @@ def _room(percent: int) -> Column:
 
 
 def _tree_items(large: DataFrame, percent: int) -> DataFrame:
-    """Rows (item, side, node, n, component, near) of the pairs of leaves that may hold links, of slabs that are more than a leaf."""
+    """Rows (item, side, node, n, component, near, key, sketch) of the pairs of leaves that may hold links, of slabs that are more than a leaf."""
     large = large.repartitionByRange("key", "curve", "node").sortWithinPartitions("key", "curve", "node").drop("curve")
-    points = stored(large.select("key", "node", "n", "component", "coarse", "near").mapInArrow(_packed(LEAF, INNER), _TREE_POINT), "tree-points")
+    points = stored(large.select("key", "node", "n", "component", "coarse", "near", "sketch").mapInArrow(_packed(LEAF, INNER), _TREE_POINT), "tree-points")
     leaves = stored(_bounds(points, ["key", "inner", "leaf"], "n", "n", "component", "component", "coarse"), "tree-leaves")
     inner = stored(_bounds(leaves, ["key", "inner"], "lo", "hi", "c0", "c1", "high"), "tree-inner")
     pairs = inner.alias("x").join(inner.alias("y"), "key").where("x.inner <= y.inner").where(_room(percent)).select("key", F.col("x.inner").alias("ix"), F.col("y.inner").alias("iy"))
@@ -338,14 +349,15 @@ def _tree_items(large: DataFrame, percent: int) -> DataFrame:
     meet = meet.where("x.leaf <= y.leaf").where(_room(percent)).select(F.col("x.leaf").alias("lx"), F.col("y.leaf").alias("ly"), F.xxhash64("x.leaf", "y.leaf").alias("item"))
     sides = meet.select(F.col("lx").alias("leaf"), "item", F.when(F.col("lx") == F.col("ly"), 2).otherwise(0).alias("side"))
     sides = sides.union(meet.where("lx <> ly").select("ly", "item", F.lit(1)))
-    return sides.join(points, "leaf").select("item", "side", "node", "n", "component", "near")
+    return sides.join(points, "leaf").select("item", "side", "node", "n", "component", "near", "key", "sketch")
 
 
 def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components, from rows (key, node, n, component, in_slab) of slabs that hold several."""
-    points = filed.join(nodes.select("node", "curve", "coarse", "near"), "node")
+    sketch = F.slice(F.concat("lead", F.array_repeat(F.lit(0).cast("long"), _SKETCH)), 1, _SKETCH).alias("sketch")
+    points = filed.drop("lead").join(nodes.select("node", "curve", "coarse", "near", sketch), "node")
     # A slab within a leaf meets itself at once.
-    dealt = points.where(F.col("in_slab") <= LEAF).select(F.col("key").alias("item"), F.lit(2).alias("side"), "node", "n", "component", "near")
+    dealt = points.where(F.col("in_slab") <= LEAF).select(F.col("key").alias("item"), F.lit(2).alias("side"), "node", "n", "component", "near", "key", "sketch")
     if not filed.where(F.col("in_slab") > LEAF).isEmpty():
         dealt = dealt.union(_tree_items(points.where(F.col("in_slab") > LEAF), percent))
     dealt = dealt.repartition("item").sortWithinPartitions("item")
