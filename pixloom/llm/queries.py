@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, lines, lm, mixing, ngram_join, pii, spans, warc
+from . import decontam, embed, langid, lines, lm, mixing, ngram_join, pii, sampling, spans, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,9 +109,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_decontaminate, op2_ngram_join, op3_mix_sources, op4_arc_to_warc, op5_class_lm, op6_embedding_dedup, op7_span_dedup, op8_pii,
-    op9_line_dedup, op10_language_id,
+    op9_line_dedup, op10_language_id, op13_weighted_fingerprint,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 #: Where SQL can express the whole result; the others are tested against brute force.
