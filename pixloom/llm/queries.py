@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, lines, lm, mixing, ngram_join, pii, sampling, spans, warc
+from . import decontam, embed, fim, langid, lines, lm, mixing, ngram_join, pii, sampling, spans, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,14 +109,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (SELECT *, CAST('0x' || d[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || d[9:16] AS BIGINT) % (n + 1) AS y,
+  CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 90 THEN 'plain' WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM u),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
 def op13_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 OPERATORS = (
     op1_decontaminate, op2_ngram_join, op3_mix_sources, op4_arc_to_warc, op5_class_lm, op6_embedding_dedup, op7_span_dedup, op8_pii,
-    op9_line_dedup, op10_language_id, op13_weighted_fingerprint,
+    op9_line_dedup, op10_language_id, op12_fill_in_middle, op13_weighted_fingerprint,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 #: Where SQL can express the whole result; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_mix_sources": mixing.ORACLE, "op4_arc_to_warc": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_mix_sources": mixing.ORACLE, "op4_arc_to_warc": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
