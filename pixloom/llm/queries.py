@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, fim, langid, lines, lm, mixing, ngram_join, pii, sampling, spans, warc
+from . import decontam, embed, fim, langid, lines, lm, mixing, ngram_join, pii, repair, sampling, spans, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns as the contract damages them, by a checksum of conversation and turn: lost, emptied, cut short, repeated or given to the user."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", or_space("role").alias("role"), or_space("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(damaged(turns), turns.select("conv_id")).conversations
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -136,7 +151,7 @@ def op13_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_decontaminate, op2_ngram_join, op3_mix_sources, op4_arc_to_warc, op5_class_lm, op6_embedding_dedup, op7_span_dedup, op8_pii,
-    op9_line_dedup, op10_language_id, op12_fill_in_middle, op13_weighted_fingerprint,
+    op9_line_dedup, op10_language_id, op11_repair_conversations, op12_fill_in_middle, op13_weighted_fingerprint,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 #: Where SQL can express the whole result; the others are tested against brute force.
