@@ -57,7 +57,7 @@ def mod97(iban: str) -> bool:
 
 
 def _octets(found: str) -> bool:
-    return all(int(p) <= 255 if len(p) < 5000 else not p.strip("0")[:-1] and int(p[-4:]) <= 255 for p in found.split("."))
+    return all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in found.split("."))
 
 
 def _card(found: str) -> bool:

@@ -796,6 +796,18 @@ def test_pii_awkward(spark):
     assert [k for k, *_ in pii.find("1" * 9000 + ".1.1.1")] == [] and [k for k, *_ in pii.find("0" * 9000 + "1.1.1.1")] == ["ip"]
 
 
+def test_pii_address_parts_of_any_length(spark):
+    """Python refuses to read numbers of more than 4300 digits; parts of any length are told by their digits."""
+    sizes = [1, 3, 100, 4296, *range(4299, 4302), 4500, 4996, *range(4999, 5002)]
+    rows = [(i, f"a {head}.1.1.1 b") for i, head in enumerate(["1" * n for n in sizes] + ["0" * n + tail for n in sizes for tail in ("255", "25", "256", "")])]
+    rows += [(-1, None), (-2, ""), (-3, ".".join(["0" * 4300] * 4))]
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.pii_spans] for r in pii.detect_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        head = (text or "").strip("ab ").split(".")[0]
+        fits = bool(head) and len(head.lstrip("0")) <= 3 and int(head.lstrip("0") or 0) <= 255
+        assert got[i] == ([("ip", text.index(head), text.index(head) + len(text.strip("ab ")))] if fits else [])
+
+
 # ---- 9 -----------------------------------------------------------------------------------------------------------
 
 
