@@ -64,3 +64,20 @@ def heat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heat_sql() -> str:
     return _HEAT.format(ys=f"range({HEAT[1]}) AS ry(y)", xs=f"range({HEAT[0]}) AS rx(x)")
+
+
+#: Code points of each document's text modulo 256, a plane of 32 samples a line and as many lines as it takes, zeros at its end.
+PAGE = 32
+
+
+def document_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0")
+    padded = F.expr(f"rpad(text, CAST({PAGE} * ceil(length(text) / {PAGE}) AS INT), chr(0))")
+    each = docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0))).alias("p", "c"))
+    return each.selectExpr("image_id", f"CAST(p div {PAGE} AS INT) AS y", f"CAST(p % {PAGE} AS INT) AS x", "CAST(ascii(c) % 256 AS BIGINT) AS v0")
+
+
+def document_sql() -> str:
+    chars = f"rpad(text, CAST({PAGE} * ceil(length(text) / {PAGE}) AS INT), chr(1))"
+    cells = f"SELECT doc_id, length(text) AS n, unnest(string_split({chars}, '')) AS c, generate_subscripts(string_split({chars}, ''), 1) - 1 AS p FROM documents WHERE length(text) > 0"
+    return f"SELECT doc_id AS image_id, CAST(p // {PAGE} AS INT) AS y, CAST(p % {PAGE} AS INT) AS x, CAST(CASE WHEN p < n THEN unicode(c) % 256 ELSE 0 END AS BIGINT) AS v0 FROM ({cells}) AS q"

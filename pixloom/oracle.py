@@ -126,6 +126,37 @@ class Sql:
         left = self.add(f"SELECT *, 32768 - sum(q) OVER (PARTITION BY i) AS r, coalesce(sum(32767 - q) OVER z, 0) AS above, coalesce(sum(q + 32768) OVER z, 0) AS below FROM {q} WINDOW z AS (PARTITION BY i ORDER BY abs(q) DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", False)
         return self.add(f"SELECT i, j, w, CAST(q + CASE WHEN r > 0 THEN greatest(0, least(32767 - q, r - above)) WHEN r < 0 THEN least(0, greatest(-32768 - q, r + below)) ELSE 0 END AS BIGINT) AS wq FROM {left}", False)
 
+    def weights_of(self, sizes: str, which: str) -> str:
+        """The taps of a filter for each distinct (m, n) of a table: in_size m, out_size n, output i, source j, tap k, w and wq."""
+        f = find_filter(which)
+        wide = "1e0" if f.fixed else "greatest(m * 1e0 / n, 1e0)"
+        base = self.add(f"SELECT m, n, m * 1e0 / n AS scale, {wide} AS wide, CAST(floor(2e0 * {f.radius} * {wide} + 0.5e0) AS BIGINT) AS base FROM (SELECT DISTINCT m, n FROM {sizes}) AS q WHERE m <> n", False)
+        c = self.add(f"SELECT *, least((i + 0.5e0) * scale, m * 1e0) AS cx FROM (SELECT *, unnest(range(n)) AS i FROM {base}) AS q", False)
+        b = self.add(f"SELECT *, CAST(greatest(floor(cx - base / 2e0), 0) AS BIGINT) AS s, CAST(ceil(cx + base / 2e0) AS BIGINT) AS e FROM {c}", False)
+        t = self.add(f"SELECT *, unnest(range(least(e, s + base, m) - s)) AS k FROM {b}", False)
+        d = self.add(f"SELECT m, n, i, s + k AS j, k, abs(s + k - (cx - 0.5e0)) AS d, abs(s + k - (cx - 0.5e0)) * (1e0 / wide) AS x FROM {t}", False)
+        raw = self.add(f"SELECT m, n, i, j, k, {kernel_sql(f.name)} AS w FROM {d}", False)
+        if f.area:
+            s = self.add(f"SELECT m, n, i, CAST(floor(i * scale) AS BIGINT) AS s, i + 1 - (floor(i * scale) + 1) / scale AS fx FROM {c} WHERE n > m", False)
+            grow = f"SELECT m, n, i, s + k AS j, k, CASE k WHEN 0 THEN 1 - d ELSE d END AS w FROM (SELECT *, CASE WHEN fx <= 0 THEN 0e0 ELSE fx - floor(fx) END AS d, unnest([0, 1]) AS k FROM {s}) AS q WHERE s + k < m"
+            raw = self.add(f"SELECT * FROM {raw} WHERE n < m UNION ALL {grow}", False)
+        norm = self.add(f"SELECT m, n, i, j, k, CASE WHEN t = 0 THEN 0e0 ELSE w * (1e0 / t) END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY m, n, i) AS t FROM {raw}) AS q", False)
+        q = self.add(f"SELECT *, CAST(greatest(-32768, least(32767, round(w * 32768))) AS BIGINT) AS q FROM {norm}", False)
+        left = self.add(f"SELECT *, 32768 - sum(q) OVER (PARTITION BY m, n, i) AS r, coalesce(sum(32767 - q) OVER z, 0) AS above, coalesce(sum(q + 32768) OVER z, 0) AS below FROM {q} WINDOW z AS (PARTITION BY m, n, i ORDER BY abs(q) DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", False)
+        same = f"SELECT m, n, i, i AS j, 0 AS k, 1e0 AS w, 32768 AS wq FROM (SELECT m, n, unnest(range(n)) AS i FROM (SELECT DISTINCT m, n FROM {sizes} WHERE m = n) AS q) AS q"
+        return self.add(f"SELECT m, n, i, j, k, w, CAST(q + CASE WHEN r > 0 THEN greatest(0, least(32767 - q, r - above)) WHEN r < 0 THEN least(0, greatest(-32768 - q, r + below)) ELSE 0 END AS BIGINT) AS wq FROM {left} UNION ALL {same}", False)
+
+    def mixed(self, width: str, height: str, which: str, format: Format) -> Sql:
+        """Each image from its own size w x h to that of two expressions."""
+        sizes = self.add(f"SELECT image_id, w, h, CAST({width} AS BIGINT) AS tw, CAST({height} AS BIGINT) AS th FROM (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM {self.last} GROUP BY image_id) AS q", False)
+        low, high = format.limits
+        total = "CAST(16384 + sum(@ * wq) AS BIGINT) >> 15" if format.fixed_point else "round(round(sum(@ * t.w), 6))"
+        for axis, other, m, n in (("y", "x", "h", "th"), ("x", "y", "w", "tw")):
+            taps = self.weights_of(f"(SELECT {m} AS m, {n} AS n FROM {sizes})", which)
+            store = f"CAST(CASE WHEN s.{m} = s.{n} THEN max(@) ELSE greatest({low}, least({high}, {total})) END AS BIGINT)"
+            self.add(f"SELECT p.image_id, p.{other}, CAST(t.i AS INT) AS {axis}, {self.cells(store)} FROM {self.last} AS p JOIN {sizes} AS s USING (image_id) JOIN {taps} AS t ON t.m = s.{m} AND t.n = s.{n} AND t.j = p.{axis} GROUP BY p.image_id, p.{other}, t.i, s.{m}, s.{n}")
+        return self
+
     def axis(self, axis: str, in_size: int, out_size: int, which: str, format: Format, single: bool = False) -> None:
         w, other = self.weights(in_size, out_size, which), "y" if axis == "x" else "x"
         low, high = (0, 0) if format.floating else format.limits

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import fixtures, size_queries
 from .functions.colorspaces import LINEAR, SPACES
 from .functions.kernels import FILTERS
 from .operators import color
@@ -206,3 +206,5 @@ def _space(name: str, space: str, format: Format, **how) -> None:
 
 
 _register()
+QUERIES |= size_queries.QUERIES
+ORACLES |= size_queries.ORACLES
