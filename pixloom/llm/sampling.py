@@ -50,14 +50,14 @@ def draw(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame
     groups = samples // TOGETHER
     each = range(TOGETHER)
     rows = terms.select(*keys, "term", F.log(F.col("weight").cast("double")).alias("_lw"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    rows = rows.select(*keys, "_g", "_lw", *(F.xxhash64("term", F.col("_g") * (2 * TOGETHER) + 2 * j + i).alias(f"_{x}{j}") for j in each for i, x in enumerate("ab")))
-    # 64 bits make two uniforms for r; another 64 make two for c, and b.
-    unit = lambda x, start, width: _unit(_bits(F.col(x), start, width), width)
+    rows = rows.select(*keys, "_g", "_lw", *(F.xxhash64("term", F.col("_g") * TOGETHER + j).alias(f"_h{j}") for j in each))
+    # Of 64 bits four times 13 make uniforms, two for r and two for c; the others make b.
+    unit = lambda j, start, width: _unit(_bits(F.col(f"_h{j}"), start, width), width)
     rows = rows.select(
         *keys, "_g", "_lw",
-        *((-F.log(unit(f"_a{j}", 0, 32) * unit(f"_a{j}", 32, 32))).alias(f"_r{j}") for j in each),
-        *(F.log(-F.log(unit(f"_b{j}", 0, 22) * unit(f"_b{j}", 22, 22))).alias(f"_c{j}") for j in each),
-        *(unit(f"_b{j}", 44, 20).alias(f"_u{j}") for j in each),
+        *((-F.log(unit(j, 0, 13) * unit(j, 13, 13))).alias(f"_r{j}") for j in each),
+        *(F.log(-F.log(unit(j, 26, 13) * unit(j, 39, 13))).alias(f"_c{j}") for j in each),
+        *(unit(j, 52, 12).alias(f"_u{j}") for j in each),
     )
     bid = lambda j: F.col(f"_c{j}") - F.col(f"_r{j}") * (F.floor(F.col("_lw") / F.col(f"_r{j}") + F.col(f"_u{j}")) - F.col(f"_u{j}") + 1.0)
     won = rows.groupBy(*keys, "_g").agg(*(F.min(bid(j)).alias(f"_m{j}") for j in each))
@@ -122,14 +122,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = texts.join(facts, texts["key"] == facts["next_key"]).select("_own", "_id", "n_chars", "next_key", F.substring("_text", F.lit(1), half).alias("_head"))
     met = texts.join(heads, texts["key"] == heads["_own"]).drop("_own")
     edited = F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.col("_head"))
-    keys = ["key", "_id", "n_chars", "next_key", "edited_sha256"]
-    both = met.select(*keys[:4], "_text", edited.alias("_edited"))
-    both = both.select(*keys[:4], F.sha2(F.col("_edited").cast("binary"), 256).alias(keys[4]), F.inline(F.array(F.struct(F.lit(0).alias("_which"), F.col("_text")), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")))))
-    drawn = fingerprint(both, [*keys, "_which"], "_text", samples)
-    pair = F.sort_array(F.collect_list(F.struct("_which", "samples")))
-    drawn = drawn.groupBy(*keys).agg(pair.alias("_pair"))
+    both = met.select("key", F.inline(F.array(F.struct(F.lit(0).alias("_which"), F.col("_text")), F.struct(F.lit(1).alias("_which"), edited.alias("_text")))))
+    drawn = fingerprint(both, ["key", "_which"], "_text", samples)
+    drawn = drawn.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_which", "samples"))).alias("_pair"))
+    # Keys of the many rows of terms are kept short; what else belongs to a document meets its samples where they are.
+    others = met.select("key", "_id", "n_chars", "next_key", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
     packed = lambda i: F.unhex(F.get("_pair", F.lit(i))["samples"])
-    done = stored(drawn.select(*keys, packed(0).alias("_a"), packed(1).alias("_b")), "fingerprints")
+    done = drawn.join(others, "key").select("key", "_id", "n_chars", "next_key", "edited_sha256", packed(0).alias("_a"), packed(1).alias("_b"))
+    done = stored(done, "fingerprints")
     discard(listed, order)
     after = done.select(F.col("key").alias("next_key"), F.col("_a").alias("_c"))
     found = done.join(after, "next_key").select("_id", "n_chars", "edited_sha256", *(F.lower(F.hex(c)).alias(c) for c in ("_a", "_b", "_c")))
