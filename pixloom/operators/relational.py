@@ -28,6 +28,11 @@ def by_image(px: DataFrame) -> DataFrame:
     return px.repartition("image_id")
 
 
+def _flag(px: DataFrame) -> list[str]:
+    """The column that says whether an image's colours are multiplied by alpha, where there is one; it is the same in all of its pixels."""
+    return [c for c in px.columns if c == "assoc"]
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_SENT else df
 
@@ -67,9 +72,9 @@ def axis_pass(px: DataFrame, axis: str, in_size: int, out_size: int, which: str,
     taps, names = weight_rows(px.sparkSession, in_size, out_size, which), channels_of(px)
     other = "y" if axis == "x" else "x"
     tap = F.col("wq") if format.fixed_point else F.col("w").cast("float").cast("double") if single else F.col("w")
-    met = px.join(taps, px[axis] == taps["in_idx"])
-    summed = met.groupBy("image_id", other, F.col("out_idx").alias(axis)).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
-    return summed.select(*KEYS, *(narrow(F.col(c), format).alias(c) for c in names))
+    met, flag = px.join(taps, px[axis] == taps["in_idx"]), _flag(px)
+    summed = met.groupBy("image_id", other, F.col("out_idx").alias(axis), *flag).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
+    return summed.select(*KEYS, *(narrow(F.col(c), format).alias(c) for c in names), *flag)
 
 
 def nearest_pass(px: DataFrame, step: Step) -> DataFrame:
@@ -79,7 +84,7 @@ def nearest_pass(px: DataFrame, step: Step) -> DataFrame:
         rows = [(o, int(s)) for o, s in enumerate(nearest_index(step.src[i], step.dst[i]))]
         index = _small(spark.createDataFrame(rows, f"{axis}_out int, {axis} int"), len(rows))
         out = out.join(index, axis).drop(axis).withColumnRenamed(f"{axis}_out", axis)
-    return out.select(*KEYS, *channels_of(px))
+    return out.select(*KEYS, *channels_of(px), *_flag(px))
 
 
 # ---- alpha -------------------------------------------------------------------------------------------------------
@@ -119,8 +124,7 @@ def alpha_nonconstant(px: DataFrame, alpha: str) -> DataFrame:
 
 
 def _blend(px: DataFrame, how: Callable, format: Format, when: str) -> DataFrame:
-    names, alpha = channels_of(px), f"v{format.alpha}"
-    flag = [] if "assoc" not in px.columns else ["assoc"]
+    names, alpha, flag = channels_of(px), f"v{format.alpha}", _flag(px)
     go = F.lit(True) if when == "always" or not flag else F.col("assoc")
     return px.select(*KEYS, *(F.col(c) if c == alpha else F.when(go, how(F.col(c), F.col(alpha), format)).otherwise(F.col(c)).alias(c) for c in names), *flag)
 
@@ -162,20 +166,22 @@ def run_step(px: DataFrame, step: Step, format: Format, single: bool = False) ->
 
 
 def resample(px: DataFrame, plan: Plan) -> DataFrame:
-    """Pixels of images of the plan's source size, resampled to its target. Pixels beyond that size raise; see also ``whole``."""
+    """Pixels of images of the plan's source size, resampled to its target. Pixels beyond that size raise; see also ``whole``.
+
+    The source is read once and dealt by image once, whatever the plan: whether alpha varies is told by a window over the image.
+    """
     if not plan.steps:
         return px
     px, format = by_image(within(px, plan.src)), plan.format
     for step in plan.steps:
-        flags = None
         if step.premultiply == "varying":
-            flags = alpha_nonconstant(px, f"v{format.alpha}").withColumnRenamed("nonconstant", "assoc")
-            px = _blend(px.join(flags, "image_id"), premultiplied, format, "varying").drop("assoc")
+            px = px.withColumn("assoc", varying_alpha(px, f"v{format.alpha}"))
+            px = _blend(px, premultiplied, format, "varying")
         elif step.premultiply == "always":
             px = premultiply(px, format)
         px = run_step(px, step, format, plan.single)
         if step.divide == "varying":
-            px = _blend(px.join(flags, "image_id"), divided, format, "varying").drop("assoc")
+            px = _blend(px, divided, format, "varying").drop("assoc")
         elif step.divide == "always":
             px = unpremultiply(px, format)
     return px

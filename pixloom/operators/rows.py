@@ -125,6 +125,18 @@ def apply(px: np.ndarray, plan: Plan) -> np.ndarray:
     return px.astype(KINDS[format.sample])
 
 
+#: EXIF orientations as turns of [height, width, channels].
+TURNS: dict[int, Callable[[np.ndarray], np.ndarray]] = {
+    2: lambda px: px[:, ::-1], 3: lambda px: px[::-1, ::-1], 4: lambda px: px[::-1], 5: lambda px: px.transpose(1, 0, 2),
+    6: lambda px: np.rot90(px, -1), 7: lambda px: px.transpose(1, 0, 2)[::-1, ::-1], 8: np.rot90,
+}
+
+
+def turned(px: np.ndarray, orientation: int | None) -> np.ndarray:
+    """One image upright; unknown orientations leave it as it is."""
+    return TURNS.get(orientation, _as_is)(px)
+
+
 #: Bytes of results that a task holds before it gives them out.
 _HELD = 64 << 20
 

@@ -218,6 +218,22 @@ class Sql:
             self.add(f"SELECT image_id, y, x, {', '.join(f'{e} AS v{j}' for j, e in enumerate(stage))}{more} FROM {self.last}")
         return self
 
+    def resample_linear(self, plan: Plan, sample: str, depth: int) -> Sql:
+        """sRGB through linear light by the tables' rounding, written from IEC 61966-2-1: the curve of the nearest of 65535 or 262143 steps."""
+        most, steps = (1 << depth) - 1, 65535 if sample == "u8" else 262143
+        light = f"CAST(CAST(CASE WHEN @ <= 0.04045e0 * {most} THEN @ / {most}e0 / 12.92e0 ELSE power((@ / {most}e0 + 0.055e0) / 1.055e0, 2.4e0) END AS FLOAT) AS DOUBLE)"
+        index = f"CAST(CAST(greatest(0, least({steps}, round(@ * {steps}e0))) / {steps}e0 AS FLOAT) AS DOUBLE)"
+        back = f"CAST(round({most}e0 * least(1e0, CASE WHEN {index} <= 0.0031308e0 THEN 12.92e0 * {index} ELSE 1.055e0 * power({index}, 1e0 / 2.4e0) - 0.055e0 END)) AS BIGINT)"
+        alpha = plan.format.alpha
+
+        def cells(color: str, other: str) -> str:
+            return ", ".join(f"{(other if c == alpha else color).replace('@', f'v{c}')} AS v{c}" for c in range(self.channels))
+
+        self.add(f"SELECT image_id, y, x, {cells(light, f'(@ / {most}e0)')} FROM {self.last}")
+        self.resample(plan)
+        self.add(f"SELECT image_id, y, x, {cells(back, f'CAST(round({most}e0 * greatest(0e0, least(1e0, @))) AS BIGINT)')} FROM {self.last}")
+        return self
+
     def resample_in(self, made: SpacePlan) -> Sql:
         return self.convert(made.there, made.alpha[0]).resample(made.plan).convert(made.back, made.alpha[1])
 

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import api, fixtures
 from .functions.kernels import FILTERS
-from .operators import bands, lines, mixed
+from .operators import bands, intervals, lines, mixed
 from .operators import relational as R
 from .oracle import Sql
 from .plans.frames import weight_frame
 from .plans.plan import Format, Plan, Scaler
+from .sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,7 +115,74 @@ def _forms() -> None:
             _put(f"banded_{name}", lambda s, d, make=make, plan=plan, rounded=rounded: rounded(bands.resample_banded(make(s, d), plan, 3)), text)
 
 
+def _intervals() -> None:
+    """Box and area as running sums, held against their taps."""
+    for name, which, make, text, src, dst, format in (
+        ("interval_box", "box", fixtures.heat_pixels, Sql(fixtures.heat_sql(), 1), fixtures.HEAT, (6, 7), Format()),
+        ("interval_area", "area", fixtures.heat_pixels, Sql(fixtures.heat_sql(), 1), fixtures.HEAT, (7, 10), Format()),
+        ("interval_box_rgba16", "box", lambda s, d: fixtures.embedding_pixels(s, d, 4, 4, 4, "u16"), Sql(fixtures.embedding_sql(4, 4, 4, "u16"), 4), (4, 4), (3, 2), Format("u16", "rgba", 16)),
+    ):
+        _put(name, lambda s, d, a=(which, make, src, dst, format): intervals.shrink(a[1](s, d), a[2], a[3], a[0], a[4]), text.resample(Scaler(which).plan(src, dst, format)).text())
+
+
+# ---- whole images ------------------------------------------------------------------------------------------------
+
+_RGB = (6, 4, 3, "u8")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.from_pixels(fixtures.embedding_pixels(spark, sf_dir, *_RGB), 6, 4, Format("u8", "rgb", 8))
+
+
+def _whole() -> None:
+    """Stores, the entry points and checks over one image for each embedding."""
+    base = fixtures.embedding_sql(*_RGB)
+    hexed = "string_agg(printf('%02x%02x%02x', v0, v1, v2), '' ORDER BY y, x)"
+    _put(
+        "store_from_pixels", lambda s, d: _images(s, d).select("image_id", "width", "height", "channels", "stride", F.lower(F.hex("data")).alias("data")),
+        f"SELECT image_id, CAST(6 AS INT) AS width, CAST(4 AS INT) AS height, CAST(3 AS INT) AS channels, CAST(0 AS INT) AS stride, {hexed} AS data FROM ({base}) AS p GROUP BY image_id",
+    )
+    _put(
+        "store_allocate", lambda s, d: images.allocate(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id")), 3, 2, "rgb", "u16", 10).select("image_id", "width", "height", "channels", "bit_depth", F.hex("data").alias("data")),
+        "SELECT vec_id AS image_id, CAST(3 AS INT) AS width, CAST(2 AS INT) AS height, CAST(3 AS INT) AS channels, CAST(10 AS INT) AS bit_depth, repeat('00', 36) AS data FROM embeddings",
+    )
+
+    def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        facts = F.struct(*(F.lit(None).cast("binary").alias(c) for c in ("icc", "exif", "xmp")), (F.col("image_id") % 8 + 1).cast("int").alias("orientation"))
+        return images.integers(images.to_pixels(images.auto_orient(_images(spark, sf_dir).withColumn("metadata", facts)), "rgb"))
+
+    _put("auto_orient_images", turned, ORACLES["auto_orient"])
+    small = Sql(base, 3).resample(Scaler("lanczos3").plan((6, 4), (3, 5), Format("u8", "rgb", 8))).text()
+    pixels = lambda rows: images.integers(images.to_pixels(rows, "rgb"))
+    _put("api_resize", lambda s, d: pixels(api.resize(_images(s, d), (3, 5), "RGB", "lanczos3")), small)
+    _put("api_plan", lambda s, d: pixels(api.plan((6, 4), (3, 5), "RGB", "lanczos3").resize(_images(s, d))), small)
+
+    def by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+        api.register_formats(spark)
+        made = _images(spark, sf_dir).withColumn("data", F.expr("resize_rgb8(data, width, height, 3, 5, 8, 'lanczos3', 0)"))
+        return pixels(made.withColumns({"width": F.lit(3), "height": F.lit(5)}))
+
+    _put("sql_resize_rgb8", by_sql, small)
+
+    def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rasters with a fault each, by their id, against a plan for 6x4 to 3x5."""
+        k = F.col("image_id") % 12
+        rows = _images(spark, sf_dir).withColumns({
+            "width": F.when(k == 1, 0).when(k == 2, 1 << 30).when(k == 9, 3).otherwise(F.col("width")).cast("int"), "height": F.when(k == 2, 1 << 30).otherwise(F.col("height")).cast("int"),
+            "sample": F.when(k == 6, "u16").otherwise("u8"), "channels": F.when(k == 2, 1 << 10).otherwise(F.col("channels")).cast("int"), "bit_depth": F.when(k == 6, 17).otherwise(8),
+            "stride": F.when(k == 5, 5).otherwise(0), "data": F.when(k == 4, F.substring("data", 1, 71)).otherwise(F.col("data")),
+            "to_width": F.when(k == 10, 4).when(k == 3, 2_000_000_000).otherwise(3), "to_height": F.when(k == 3, 2_000_000_000).when(k == 11, 0).otherwise(5),
+            "scratch": F.when(k == 8, 89).when(k == 7, F.lit(None)).otherwise(90),
+        })
+        rows = rows.withColumn("channels", F.when(k == 3, 4).otherwise(F.col("channels")))
+        good, bad = images.checked(rows, api.plan((6, 4), (3, 5)))
+        return good.select(F.lit(0).alias("code")).union(bad.select("code")).groupBy("code").agg(F.count("*").alias("images"))
+
+    codes = "CASE vec_id % 12 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 WHEN 8 THEN 9 WHEN 9 THEN 10 WHEN 10 THEN 11 WHEN 11 THEN 1 ELSE 0 END"
+    _put("validate_rows", faults, f"SELECT CAST({codes} AS INT) AS code, count(*) AS images FROM embeddings GROUP BY 1")
+
+
 for _filter in FILTERS:
     if _filter != "nearest":
         _weights(_filter)
-_documents(), _oriented(), _forms()
+_documents(), _oriented(), _forms(), _intervals(), _whole()

@@ -205,7 +205,7 @@ def _orientation_place(exif: bytes | None) -> tuple[int, str] | None:
 
 
 def upright(exif: bytes | None) -> bytes | None:
-    """The same block with orientation 1, as the pixels are stored upright."""
+    """The same block with orientation 1, for pixels that have been turned."""
     place = _orientation_place(exif)
     return exif if place is None else exif[: place[0]] + struct.pack(place[1] + "H", 1) + exif[place[0] + 2 :]
 
@@ -240,8 +240,8 @@ def extract(data: bytes) -> Metadata:
 
 
 def inject(data: bytes, meta: Metadata) -> bytes:
-    """A JPEG or PNG file with ICC profile and EXIF (made upright) put in; other formats pass through."""
-    exif, kind = upright(meta.exif), sniff(data)
+    """A JPEG or PNG file with ICC profile and EXIF put in as they are; other formats pass through. See ``upright`` for turned pixels."""
+    exif, kind = meta.exif, sniff(data)
     if kind == "jpeg":
         parts = []
         if exif:

@@ -4,6 +4,7 @@ import time
 import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from pixloom import api
 from pixloom.errors import ResampleError
@@ -52,7 +53,7 @@ def test_bmp_and_metadata():
     assert (found.icc, found.exif, found.orientation) == (b"profile", EXIF, 6)
     jpeg = codecs.inject(b"\xff\xd8\xff\xda", codecs.Metadata(icc=b"p" * 70000, exif=EXIF))
     found = codecs.extract(jpeg)
-    assert found.icc == b"p" * 70000 and found.orientation == 1
+    assert found.icc == b"p" * 70000 and found.orientation == 6
     assert codecs.sniff(b"\0\0\0\x18ftypheic") == "heic"
     with pytest.raises(ResampleError):
         codecs.decode(b"\0\0\0\x18ftypheic")
@@ -65,10 +66,71 @@ def test_files_in_and_out(spark, tmp_path):
     read = images.read_files(spark, str(tmp_path)).drop("path")
     assert [bytes(r.data) for r in read.collect()] == [px.astype(np.uint8).tobytes()] * 2
     small = api.resize(read, (3, 4), "RGB")
-    files = [bytes(r.content) for r in images.encoded(small).collect()]
-    assert all(codecs.decode(f)[0].shape == (4, 3, 3) and codecs.extract(f).orientation == 1 for f in files)
     other = images.read_with_spark(spark, str(tmp_path / "b.bmp")).first()
     assert bytes(other.data) == px.astype(np.uint8).tobytes()
+    # Orientation 6: the file with it is turned, and only then says that it is upright.
+    files = {codecs.decode(f)[0].shape for f in (bytes(r.content) for r in images.encoded(small).collect())}
+    assert files == {(3, 4, 3), (4, 3, 3)}
+    kept = [codecs.extract(bytes(r.content)).orientation for r in images.encoded(read, orient=False).collect()]
+    assert sorted(kept) == [1, 6]
+
+
+@pytest.mark.parametrize("orientation", range(10))
+def test_pixels_are_turned_by_their_own_orientation(spark, tmp_path, orientation):
+    exif = EXIF.replace(struct.pack("<HHII", 0x0112, 3, 1, 6), struct.pack("<HHII", 0x0112, 3, 1, orientation))
+    px = np.arange(3 * 2 * 3).reshape(2, 3, 3)
+    (tmp_path / "a.png").write_bytes(codecs.encode(px, "png", meta=codecs.Metadata(icc=b"p", exif=exif)))
+    # Where the stored row 0 and column 0 are to be seen, as the standard has it.
+    want = {2: px[:, ::-1], 3: px[::-1, ::-1], 4: px[::-1], 5: px.transpose(1, 0, 2), 6: px.transpose(1, 0, 2)[:, ::-1], 7: px.transpose(1, 0, 2)[::-1, ::-1], 8: px.transpose(1, 0, 2)[::-1]}.get(orientation, px)
+    read = images.read_files(spark, str(tmp_path)).drop("path")
+    row = images.auto_orient(read).first()
+    assert (row.height, row.width) == want.shape[:2] and bytes(row.data) == want.astype(np.uint8).tobytes()
+    assert row.metadata.orientation == (orientation if orientation in (0, 9) else 1)
+    file = bytes(images.encoded(read).first().content)
+    assert np.array_equal(codecs.decode(file)[0], want) and codecs.extract(file).icc == b"p"
+    assert codecs.extract(file).orientation == (orientation if orientation in (0, 9) else 1)
+    made = images.resize(read, (6, 4), "rgb", "bilinear").first()
+    assert (made.width, made.height) == (6, 4)
+
+
+def test_source_and_committed_writes(spark, tmp_path):
+    images.use(spark)
+    px = [np.random.default_rng(i).integers(0, 256, (4, 5, 3)) for i in range(6)]
+    for i, p in enumerate(px):
+        (tmp_path / f"{i}.png").write_bytes(codecs.encode(p, "png", meta=codecs.Metadata(exif=EXIF) if i == 2 else codecs.Metadata()))
+    (tmp_path / "x.png").write_bytes(b"no image")
+    source = spark.read.format("pixloom").option("bytes", 200)
+    read = source.load(str(tmp_path))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert len(rows) == 7 and rows["x.png"].problem and read.rdd.getNumPartitions() > 3
+    assert all(bytes(rows[f"{i}.png"].data) == p.astype(np.uint8).tobytes() for i, p in enumerate(px))
+    bare = source.option("pixels", "false").load(str(tmp_path)).where("problem IS NULL").collect()
+    assert {r.data for r in bare} == {None} and {(r.width, r.height) for r in bare} == {(5, 4)} and sorted(r.metadata.orientation for r in bare) == [1] * 5 + [6]
+    out = tmp_path / "out"
+    named = read.where("problem IS NULL").withColumn("image_id", F.monotonically_increasing_id())
+    images.save(named, str(out), "png")
+    files = [f for f in out.rglob("*") if f.is_file()]
+    assert len(files) == 6 and not list(out.glob("_temporary*"))
+    shapes = sorted(codecs.decode(f.read_bytes())[0].shape for f in files)
+    assert shapes == [(4, 5, 3)] * 5 + [(5, 4, 3)]  # one was turned
+    # A task that fails leaves neither its own files nor those of the others.
+    broken = named.withColumn("data", F.when(F.col("path").endswith("5.png"), F.lit(b"short")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match=r"\[4\]"):
+        images.save(broken, str(tmp_path / "none"), "png")
+    assert not [f for f in (tmp_path / "none").rglob("*") if f.is_file()]
+
+
+def test_rows_are_set_apart_by_code(spark):
+    plan = api.plan((3, 2), (2, 2))
+    base = images.allocate(spark.range(4).toDF("image_id"), 3, 2, "rgb")
+    good, bad = images.checked(base, plan)
+    assert good.count() == 4 and bad.count() == 0
+    same = images.checked(base, api.plan((3, 2), (3, 2)))[1]
+    assert {r.code for r in same.collect()} == {12}
+    assert {r.code for r in images.checked(base, plan, memory=10)[1].collect()} == {8}
+    assert {r.code for r in images.checked(base.withColumn("width", F.lit(0)))[1].collect()} == {1}
+    assert images.checked(base.withColumn("data", F.lit(None).cast("binary")), plan)[0].count() == 4
+    assert images.checked(base.limit(0), plan)[1].count() == 0
 
 
 def test_folders_of_all_sorts(spark, tmp_path):
@@ -92,8 +154,9 @@ def test_folders_of_all_sorts(spark, tmp_path):
     assert small == {(3, 2, 3), (2, 4, 3)}
     out = tmp_path / "out"
     out.mkdir()
-    paths = [r.path for r in images.save(read.where("problem IS NULL"), f"file://{out}", "bmp").collect()]
-    assert len(paths) == 2 == len(list(out.iterdir())) and codecs.decode(next(out.iterdir()).read_bytes())[0].shape[2] == 3
+    images.save(read.where("problem IS NULL"), f"file://{out}", "bmp")
+    files = list(out.rglob("*.bmp"))
+    assert len(files) == 2 and codecs.decode(files[0].read_bytes())[0].shape[2] == 3
 
 
 def test_stores(spark):
