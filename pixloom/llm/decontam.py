@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import stored
 from .textkit import U, Words, as_text, mix, runs, slices
@@ -230,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A window has as many words as the item; a text shorter than an item is one window. Reported are windows whose
     weighted shingle similarity is ``similarity`` or more; ties go to the earliest. Items of fewer than ``shingle``
     words count as one shingle. Items without words (null, empty) match nothing, as do texts without. Items of equal
-    text each report. Rows with equal or null doc_id each report on their own; repeated items too. Other columns
+    text each report. Ids are integers or binary. Rows with equal or null doc_id each report on their own; repeated items too. Other columns
     aren't read; empty tables give an empty table.
 
     Similar windows whose fingerprints differ in more than ``radius`` bits are not found: none of 9,000 pairs of
@@ -241,7 +242,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Documents are read once a block and never shuffled.
     """
     spark = docs.sparkSession
-    sources = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ident = F.col(id_col) if isinstance(docs.schema[id_col].dataType, BinaryType) else F.col(id_col).cast("long")
+    sources = docs.select(ident.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     number, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if number > ITEM_BLOCK or size > ITEM_BYTES:
@@ -250,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         parts = [items.where(F.col("part") == i).drop("part") for i in range(pieces)]
     else:
         parts = [items]
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    schema = f"doc_id {sources.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long, n_words long"
     found = []
     for part in parts:
         rows = part.collect()
