@@ -13,19 +13,34 @@ from pixloom.llm.common import by_ids, stored, table, unused
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``work``, which makes columns of these names: own ones of such a name stand aside meanwhile."""
+    aside = {c: unused(f"_{c}", docs) for c in docs.columns if c.lower() in names}
+    return work(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression can tell; those without letters, or with too narrow a margin, go.
 
-    The model learns from a bounded sample of the labelled rows of ``docs``; lang stays as it came.
+    The model learns from a bounded sample of the labelled rows of ``docs``; lang stays as it came. Each row is judged on its own, so
+    repeated rows and ids stay or go alike; an empty table stays empty; columns of any name pass.
     """
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where("accepted").select(*docs.columns)
+    model = langid.fit(docs)
+    return beside(docs, ("lang_pred", "score", "accepted"), lambda rows: langid.identify(rows, model).where("accepted"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents hold stay in the first; documents without text left go. n_chars follows the text."""
-    kept = lines.dedup_lines(docs).where("n_dropped = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines that several documents hold stay in the first; documents without text left go. n_chars follows the text.
+
+    Rows that share an id are one document, null ids one that comes last. An empty table stays empty; columns of any name pass.
+    """
+    has_words, changed = "n_dropped = 0 OR text RLIKE '[^ \\\\t-\\\\r]'", F.col("n_dropped") > 0
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        kept = lines.dedup_lines(rows).where(has_words)
+        return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in rows.columns else kept
+
+    return beside(docs, ("n_lines", "n_dropped"), cleaned)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +55,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go; each row by its own text, with a null or repeated id too.
 
-    A row is known by a 64-bit hash of its id and text. An empty table, or an empty benchmark, changes nothing.
+    A row is known by a digest of its id and text, of 128 bits. An empty table, or an empty benchmark, changes nothing.
     """
     row = unused("_row", docs)
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    name = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit(""))
+    keyed = docs.withColumn(row, F.unhex(F.md5(F.concat(name("doc_id"), F.lit(":"), name("text")).cast("binary"))))
     leaks = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), row).select("doc_id").distinct()
     return by_ids(keyed, leaks, row, "left_anti").select(*docs.columns)
 
