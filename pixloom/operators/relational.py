@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import BUFFER_MISMATCH, CROP_OUT_OF_BOUNDS, ResampleError
+from ..functions.kernels import find_filter
+from ..plans.frames import weight_frame
 from ..plans.plan import Format, Plan, Step
 from ..plans.weights import nearest_index, weights
 
@@ -41,6 +43,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def weight_rows(spark: SparkSession, in_size: int, out_size: int, which: str) -> DataFrame:
+    """(out_idx, in_idx, tap, w, wq): within MOST_SENT rows made here and sent to all tasks, beyond that made by Spark and joined by shuffle."""
+    if out_size * 2 * find_filter(which).radius * max(1.0, in_size / out_size) > MOST_SENT:
+        sizes = spark.range(1).select(F.lit(in_size).alias("in_size"), F.lit(out_size).alias("out_size"))
+        return weight_frame(sizes, which).select(*(F.col(c).cast("int").alias(c) for c in ("out_idx", "in_idx", "tap")), "w", "wq")
     rows = weights(in_size, out_size, which).rows()
     return _small(spark.createDataFrame(rows, "out_idx int, in_idx int, tap int, w double, wq long"), len(rows))
 

@@ -140,6 +140,14 @@ def test_one_read_for_varying_alpha(spark):
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_long_tables_of_taps_are_made_by_spark(spark, monkeypatch):
+    px = made_up([(24, 3)])
+    plan = Scaler("lanczos3").plan((24, 3), (10, 2))
+    monkeypatch.setattr(R, "MOST_SENT", 20)
+    made = R.resample(frame(spark, px), plan)
+    assert np.array_equal(gathered(made)[0], apply(px[0], plan)) and "Window" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_curves_go_by_their_tables_rounding(spark):
     there, back = color.linear_curves(Format("u8", "rgb", 8), "srgb")
     assert (there.entries, back.entries) == (256, 1 << 16) and color.linear_curves(Format("u16", "rgb", 10), "srgb")[1].entries == 1 << 18
