@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions import colorspaces as C  # matrices and white point: fixed values
 from .functions.kernels import BC, BLACKMAN, BLUR_HAASN, GAUSS_SIGMA, JINC_ZERO_3, JINC_ZERO_4, KAISER_BETA, SPLINES, find_filter
 from .operators.color import SpacePlan
 from .plans.plan import Format, Plan, Step
@@ -90,6 +91,59 @@ def _stored(x: str, format: Format) -> str:
     return f"(CASE WHEN {x} = 0 THEN 0e0 ELSE round_even({x} / power(2e0, greatest(floor(log2(abs({x}))), -14e0) - 10e0), 0) * power(2e0, greatest(floor(log2(abs({x}))), -14e0) - 10e0) END)"
 
 
+def _linear(names: str, matrix, terms: str) -> str:
+    """A step that applies a matrix: new names from old ones."""
+    cells = ", ".join(f"{row[0]!r} * {terms[0]} + {row[1]!r} * {terms[1]} + {row[2]!r} * {terms[2]} AS {n}" for n, row in zip(names.split(), matrix, strict=True))
+    return f"SELECT image_id, y, x@a, {cells} FROM @from"
+
+
+def _named(**cells: str) -> str:
+    return f"SELECT image_id, y, x@a, {', '.join(f'{v} AS {k}' for k, v in cells.items())} FROM @from"
+
+
+def _space_sql() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Steps from linear r, g, b to c0, c1, c2 and back. CIE 15 (L*a*b*, L*u*v*), Ottosson 2020, Safdar et al. 2017."""
+    xn, yn, zn = (f"{w!r}" for w in C.WHITE)
+    to_xyz, to_rgb = _linear("p q s", C.RGB_XYZ, "rgb"), _linear("r g b", C.XYZ_RGB, "pqs")  # X, Y, Z are p, q, s
+    eps, kappa = "(216e0 / 24389e0)", "(24389e0 / 27e0)"
+    root = lambda t: f"(CASE WHEN {t} > {eps} THEN cbrt({t}) ELSE ({kappa} * ({t}) + 16e0) / 116e0 END)"
+    cube = lambda t: f"(CASE WHEN {t} > 6e0 / 29e0 THEN ({t}) * ({t}) * ({t}) ELSE (116e0 * ({t}) - 16e0) / {kappa} END)"
+    lab = (to_xyz, _named(fx=root(f"p / {xn}"), fy=root(f"q / {yn}"), fz=root(f"s / {zn}")), _named(c0="116e0 * fy - 16e0", c1="500e0 * (fx - fy)", c2="200e0 * (fy - fz)"))
+    lab_back = (_named(fx="(c0 + 16e0) / 116e0 + c1 / 500e0", fy="(c0 + 16e0) / 116e0", fz="(c0 + 16e0) / 116e0 - c2 / 200e0"), _named(p=f"{cube('fx')} * {xn}", q=f"{cube('fy')} * {yn}", s=f"{cube('fz')} * {zn}"), to_rgb)
+    white = f"({xn} + 15e0 * {yn} + 3e0 * {zn})"
+    un, vn = f"(4e0 * {xn} / {white})", f"(9e0 * {yn} / {white})"
+    luv = (
+        to_xyz, _named(p="p", q="q", d="p + 15e0 * q + 3e0 * s"), _named(p="p", q="q", d="d", l=f"CASE WHEN q > {eps} THEN 116e0 * cbrt(q) - 16e0 ELSE {kappa} * q END"),
+        _named(c0="l", c1=f"CASE WHEN d = 0 THEN 0e0 ELSE 13e0 * l * (4e0 * p / d - {un}) END", c2=f"CASE WHEN d = 0 THEN 0e0 ELSE 13e0 * l * (9e0 * q / d - {vn}) END"),
+    )
+    luv_back = (
+        _named(q=f"CASE WHEN c0 > 8 THEN power((c0 + 16e0) / 116e0, 3) ELSE c0 / {kappa} END", u=f"CASE WHEN c0 <= 0 THEN 0e0 ELSE c1 / (13e0 * c0) + {un} END", v=f"CASE WHEN c0 <= 0 THEN 1e0 ELSE c2 / (13e0 * c0) + {vn} END"),
+        _named(p="q * 9e0 * u / (4e0 * greatest(v, 1e-9))", q="q", s="q * (12e0 - 3e0 * u - 20e0 * v) / (4e0 * greatest(v, 1e-9))"), to_rgb,
+    )
+    polar, cartesian = _named(c0="c0", c1="sqrt(c1 * c1 + c2 * c2)", c2="atan2(c2, c1)"), _named(c0="c0", c1="c1 * cos(c2)", c2="c1 * sin(c2)")
+    oklab = (_linear("p q s", C.RGB_LMS, "rgb"), _named(p="cbrt(p)", q="cbrt(q)", s="cbrt(s)"), _linear("c0 c1 c2", C.LMS_OK, "pqs"))
+    oklab_back = (_linear("p q s", C.OK_LMS, ("c0", "c1", "c2")), _named(p="p * p * p", q="q * q * q", s="s * s * s"), _linear("r g b", C.LMS_RGB, "pqs"))
+    c1, c2, c3 = C.PQ_C
+    pq = lambda t: f"power(({c1} + {c2} * power(greatest({t}, 0e0) / 1e4, {C.PQ_N})) / (1 + {c3} * power(greatest({t}, 0e0) / 1e4, {C.PQ_N})), {C.PQ_P})"
+    qp = lambda t: f"1e4 * power(greatest(({c1} - power(greatest({t}, 0e0), 1e0 / {C.PQ_P})) / ({c3} * power(greatest({t}, 0e0), 1e0 / {C.PQ_P}) - {c2}), 0e0), 1e0 / {C.PQ_N})"
+    jz = (
+        to_xyz, _named(p="203e0 * p", q="203e0 * q", s="203e0 * s"), _named(p=f"{C.JZ_B} * p - ({C.JZ_B} - 1) * s", q=f"{C.JZ_G} * q - ({C.JZ_G} - 1) * p", s="s"),
+        _linear("l m n", C.XYZ_JLMS, "pqs"), _named(l=pq("l"), m=pq("m"), n=pq("n")), _linear("i c1 c2", C.LMS_IZ, "lmn"),
+        _named(c0=f"(1 + {C.JZ_D}) * i / (1 + {C.JZ_D} * i) - {C.JZ_D0!r}", c1="c1", c2="c2"),
+    )
+    jz_back = (
+        _named(i=f"(c0 + {C.JZ_D0!r}) / (1 + {C.JZ_D} - {C.JZ_D} * (c0 + {C.JZ_D0!r}))", j="c1", k="c2"), _linear("l m n", C.IZ_LMS, "ijk"), _named(l=qp("l"), m=qp("m"), n=qp("n")),
+        _linear("p q s", C.JLMS_XYZ, "lmn"), _named(p=f"(p + ({C.JZ_B} - 1) * s) / {C.JZ_B}", q="q", s="s"), _named(p="p / 203e0", q=f"(q + ({C.JZ_G} - 1) * p) / {C.JZ_G} / 203e0", s="s / 203e0"), to_rgb,
+    )
+    return {
+        "xyz": ((to_xyz, _named(c0="p", c1="q", c2="s")), (_named(p="c0", q="c1", s="c2"), to_rgb)), "lab": (lab, lab_back), "luv": (luv, luv_back),
+        "lch": ((*luv, polar), (cartesian, *luv_back)), "oklab": (oklab, oklab_back), "jzazbz": (jz, jz_back),
+    }
+
+
+_SPACE_SQL = _space_sql()
+
+
 class Sql:
     """A chain of common table expressions; ``last`` is the current pixel table."""
 
@@ -234,6 +288,26 @@ class Sql:
         self.add(f"SELECT image_id, y, x, {cells(back, f'CAST(round({most}e0 * greatest(0e0, least(1e0, @))) AS BIGINT)')} FROM {self.last}")
         return self
 
+    def resample_space(self, plan: Plan, space: str) -> Sql:
+        """8-bit sRGB through a colour space, written from its publication with named quantities, not from the engine's stages."""
+        alpha = self.channels == 4
+        carried = ", a" if alpha else ""
+        light = lambda v: f"CASE WHEN {v} <= 0.04045e0 * 255 THEN {v} / 255e0 / 12.92e0 ELSE power(({v} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END"
+        rgb = f"SELECT image_id, y, x, {light('v0')} AS r, {light('v1')} AS g, {light('v2')} AS b{', v3 / 255e0 AS a' if alpha else ''} FROM {self.last}"
+        there, back = _SPACE_SQL[space]
+        for step in (rgb, *there):
+            table = self.add(step.replace("@from", self.last).replace("@a", carried), False)
+            self.last = table
+        self.add(f"SELECT image_id, y, x, c0 AS v0, c1 AS v1, c2 AS v2{', a AS v3' if alpha else ''} FROM {self.last}")
+        self.resample(plan)
+        last = self.add(f"SELECT image_id, y, x, v0 AS c0, v1 AS c1, v2 AS c2{', v3 AS a' if alpha else ''} FROM {self.last}", False)
+        for step in back:
+            last = self.add(step.replace("@from", last).replace("@a", carried), False)
+        stored = lambda v: f"CAST(round(255e0 * greatest(0e0, least(1e0, {v}))) AS BIGINT)"
+        encoded = lambda v: stored(f"CASE WHEN {v} <= 0.0031308e0 THEN 12.92e0 * {v} ELSE 1.055e0 * power(greatest({v}, 0e0), 1e0 / 2.4e0) - 0.055e0 END")
+        self.add(f"SELECT image_id, y, x, {encoded('r')} AS v0, {encoded('g')} AS v1, {encoded('b')} AS v2{f', {stored(chr(97))} AS v3' if alpha else ''} FROM {last}")
+        return self
+
     def resample_in(self, made: SpacePlan) -> Sql:
         return self.convert(made.there, made.alpha[0]).resample(made.plan).convert(made.back, made.alpha[1])
 

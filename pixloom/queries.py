@@ -202,7 +202,12 @@ def _space(name: str, space: str, format: Format, **how) -> None:
     size = SHAPES[format.layout]
     make, sql = _source(*size, format.channels, "u8" if format.sample == "u8" else f"u{format.bit_depth}")
     plan = color.plan_in(space, size, (3, 3), "lanczos3", format, **how)
-    text = sql().resample_linear(plan.plan, format.sample, format.depth) if plan.curves and not how else sql().resample_in(plan)
+    if plan.curves and not how:
+        text = sql().resample_linear(plan.plan, format.sample, format.depth)
+    elif space in SPACES and space != "sigmoidal" and not how:
+        text = sql().resample_space(plan.plan, space)
+    else:
+        text = sql().resample_in(plan)
     _put(name, lambda s, d: color.resample_in(make(s, d), plan), text.text())
 
 
