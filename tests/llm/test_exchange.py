@@ -93,7 +93,7 @@ def test_a_round_over_all_words(spark):
             if x == h and s < 2:
                 counts[s, p] += m
         want = lm.best_class(matrix, parts[h], counts[0], counts[1], rows[h, 2, 0])
-        if h % 2 == 0:
+        if h % 2 == 0 and parts[h] != lm._own(classes)[0]:
             assert after[h] == parts[h]  # the other half stays
         elif want not in lm._own(classes):
             assert after[h] == want
@@ -105,10 +105,11 @@ def test_rounds_over_all_words_lower_the_perplexity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
     trained = queries._remainder("doc_id", 7) != 2
     some = {}
-    for sweeps in (0, lm.SWEEPS):
+    for sweeps in (0, 1, 2):
         rows = lm.score(docs, trained, sweeps=sweeps).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
         some[sweeps] = 10 ** (-rows[0] / rows[1])
-    assert some[lm.SWEEPS] < some[0] and math.isfinite(some[0])
+    assert some[2] < some[1] < some[0] and math.isfinite(some[0])
+    print(some)
 
 
 def test_known_words_are_few_enough_to_send():
