@@ -105,11 +105,10 @@ def test_rounds_over_all_words_lower_the_perplexity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
     trained = queries._remainder("doc_id", 7) != 2
     some = {}
-    for sweeps in (0, 1, 2):
+    for sweeps in (0, lm.SWEEPS):
         rows = lm.score(docs, trained, sweeps=sweeps).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
         some[sweeps] = 10 ** (-rows[0] / rows[1])
-    assert some[2] < some[1] < some[0] and math.isfinite(some[0])
-    print(some)
+    assert some[lm.SWEEPS] < 0.97 * some[0] and math.isfinite(some[0])
 
 
 def test_known_words_are_few_enough_to_send():
