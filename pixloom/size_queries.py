@@ -36,12 +36,12 @@ def _weights(which: str) -> None:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         made = weight_frame(docs.selectExpr(f"{_IN} AS in_size", f"{_OUT} AS out_size"), which)
         whole = [F.col(c).cast("long").alias(c) for c in ("in_size", "out_size", "out_idx", "in_idx", "tap", "wq")]
-        # Where taps all but cancel out, their sum is noise; no negative zero.
-        return made.select(*whole, F.when(F.abs("w") < 1e6, F.round("w", 6) + 0.0).alias("w"))
+        # In millionths, cut where no simple fraction lies, so that the last bit of a sum decides nothing; none where taps all but cancel out.
+        return made.select(*whole, F.when(F.abs("w") < 1e6, F.floor(F.col("w") * 1e6 + 0.2718)).alias("w_millionths"))
 
     text = Sql(f"SELECT {_IN} AS m, {_OUT} AS n FROM documents", 0)
     taps = text.weights_of("p0", which)
-    _put(f"weights_{which}", query, f"WITH {', '.join(text.parts)} SELECT CAST(m AS BIGINT) AS in_size, CAST(n AS BIGINT) AS out_size, CAST(i AS BIGINT) AS out_idx, CAST(j AS BIGINT) AS in_idx, CAST(k AS BIGINT) AS tap, CAST(wq AS BIGINT) AS wq, CASE WHEN abs(w) < 1e6 THEN round(w, 6) + 0e0 END AS w FROM {taps}")
+    _put(f"weights_{which}", query, f"WITH {', '.join(text.parts)} SELECT CAST(m AS BIGINT) AS in_size, CAST(n AS BIGINT) AS out_size, CAST(i AS BIGINT) AS out_idx, CAST(j AS BIGINT) AS in_idx, CAST(k AS BIGINT) AS tap, CAST(wq AS BIGINT) AS wq, CASE WHEN abs(w) < 1e6 THEN CAST(floor(w * 1e6 + 0.2718e0) AS BIGINT) END AS w_millionths FROM {taps}")
 
 
 # ---- sizes and orientations of each image ------------------------------------------------------------------------
