@@ -1,29 +1,99 @@
-"""Pixel rows of images of many sizes in one plan: what an image's size or orientation decides is looked up by its row."""
+"""Pixel rows of images of many sizes in one plan: what an image's size or orientation decides is looked up by its row.
+
+Pixels are dealt by image as runs, compressed columns of the pixels of one image that a task reads one after another, so that no
+exchange or sort moves a row for a pixel.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CROP_OUT_OF_BOUNDS, ZERO_SIZE
-from ..plans.frames import weight_frame
-from ..plans.plan import Format
-from .relational import KEYS, MOST_SENT, ORIENTATIONS, alpha_nonconstant, by_image, channels_of, divided, narrow, premultiplied
+from ..plans.plan import Format, Plan, Scaler
+from ..plans.weights import nearest_index, weights
+from .relational import KEYS, ORIENTATIONS, channels_of
+from .rows import apply
 
 Size = Callable[[Column, Column], tuple[Column, Column]]
+#: Pixels that a task gives out together.
+_GIVEN = 1 << 16
+
+
+# ---- runs of pixels ----------------------------------------------------------------------------------------------
+
+
+def _runs(px: DataFrame) -> DataFrame:
+    """(image_id, width, height, run) dealt by image and sorted by it: each run has all other columns of some of its pixels.
 
+    width and height are those of the whole image. Pixels of null images aren't given.
+    """
 
-def image_sizes(px: DataFrame) -> DataFrame:
-    """(image_id, width, height) of images whose pixels are all there."""
-    return px.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image = batch.column(0).dictionary_encode()
+            at = image.indices.to_numpy()
+            if (at[1:] < at[:-1]).any():
+                order = np.argsort(at, kind="stable")
+                batch, at = batch.take(pa.array(order)), at[order]
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            y, x = (batch.column(i).to_numpy() for i in (1, 2))
+            far = [pa.array(np.maximum.reduceat(v, begins) + 1, pa.int32()) for v in (x, y)]
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+            parts = [_closed(rest.slice(lo, hi - lo)) for lo, hi in zip(begins, [*begins[1:], len(at)], strict=True)]
+            yield pa.RecordBatch.from_arrays([image.dictionary.take(pa.array(at[begins])), *far, pa.array(parts, pa.binary())], ["image_id", "width", "height", "run"])
+
+    px = px.select(*KEYS, *(c for c in px.columns if c not in KEYS)).where("image_id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL")
+    kind = px.schema["image_id"].dataType.simpleString()
+    runs, image = px.mapInArrow(each, f"image_id {kind}, width int, height int, run binary").repartition("image_id"), Window.partitionBy("image_id")
+    return runs.withColumns({c: F.max(c).over(image) for c in ("width", "height")}).sortWithinPartitions("image_id")
+
+
+def _closed(run: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(run)
+    return sink.getvalue().to_pybytes()
+
+
+def _open(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches as fewer ones."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.num_rows
+        if size >= _GIVEN:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=_GIVEN)
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=_GIVEN)
 
 
 def with_sizes(px: DataFrame) -> DataFrame:
     """``px``, dealt by image, with each image's width and height beside its pixels."""
-    px = by_image(px)
-    return px.join(image_sizes(px), "image_id")
+    carried = [c for c in px.columns if c not in KEYS]
+    names = ["image_id", "y", "x", *carried, "width", "height"]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                run = _open(batch.column(3)[r].as_py())
+                own, width, height = (pa.repeat(batch.column(i)[r], run.num_rows) for i in range(3))
+                yield pa.RecordBatch.from_arrays([own, *run.columns, width, height], names)
+
+    fields = px.select(*KEYS, *carried).schema
+    return _runs(px).mapInArrow(lambda batches: _together(opened(batches)), fields.add("width", "integer").add("height", "integer"))
 
 
 # ---- geometry ----------------------------------------------------------------------------------------------------
@@ -71,49 +141,73 @@ def fit_within(width: int, height: int) -> Size:
 # ---- resampling --------------------------------------------------------------------------------------------------
 
 
-def _taps(sizes: DataFrame, inner: str, outer: str, which: str) -> DataFrame:
-    """Weights for every (inner, outer) side of ``sizes``; sent to all tasks within MOST_SENT rows, else joined by shuffle."""
-    pairs = sizes.select(F.col(inner).alias("in_size"), F.col(outer).alias("out_size")).distinct()
-    taps = weight_frame(pairs, which).select("in_size", "out_size", F.col("in_idx").cast("int").alias("in_idx"), F.col("out_idx").cast("int").alias("out_idx"), "w", "wq")
-    return F.broadcast(taps) if taps.limit(MOST_SENT + 1).count() <= MOST_SENT else taps
+def _whole(run: pa.Table, width: int, height: int, names: list[str], format: Format) -> tuple[np.ndarray, np.ndarray]:
+    """([height, width, channels], which pixels are there) of an image's pixels; what isn't there is 0, and so is a null sample."""
+    at = run["y"].to_numpy().astype(np.int64) * width + run["x"].to_numpy()
+    there = np.zeros(width * height, bool)
+    there[at] = True
+    px = np.zeros((width * height, len(names)), np.float64 if format.floating else np.int64)
+    for c, name in enumerate(names):
+        np.add.at(px[:, c], at, run[name].fill_null(0).to_numpy())
+    return px.reshape(height, width, len(names)), there.reshape(height, width)
+
+
+def _reached(there: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which outputs have a tap on a pixel that is there."""
+    for step in plan.steps:
+        for axis, i in ((0, 1), (1, 0)):
+            a, b = step.src[i], step.dst[i]
+            if a != b and step.filter == "nearest":
+                there = np.take(there, nearest_index(a, b), axis)
+            elif a != b:
+                w = weights(a, b, step.filter)
+                sums = np.insert(np.cumsum(there, axis), 0, 0, axis)
+                there = np.take(sums, w.start + w.size, axis) > np.take(sums, w.start, axis)
+    return there
 
 
 def resample_mixed(px: DataFrame, which: str, target: Size, format: Format = Format(), premultiply: bool = False, single: bool = False) -> DataFrame:
     """Each image from its own size to what ``target`` makes of it, in one plan: vertical, then horizontal, each stored in the format.
 
-    Sizes come from one aggregate over the pixels, and the taps for all of them from one table, keyed by size; a pixel
-    meets those of its image's size and its place. Pixels are dealt by image once, whatever the sizes. An axis
-    that keeps its size has a tap of one and stays as it is. ``premultiply``: colours are multiplied by alpha where it varies in an
-    image. A target side below 1 raises. An image without pixels isn't there. The result has width and height beside the pixels.
+    Sizes come from a window over the runs of an image's pixels, which are dealt by image once, whatever the sizes; the runs of one image
+    make it whole in its task, where it goes through the plan of its size. An axis
+    that keeps its size stays as it is. ``premultiply``: colours are multiplied by alpha where it varies in an
+    image. A target side below 1 raises. An image without pixels isn't there, nor is an output none of whose taps meets a pixel.
+    The result has width and height beside the pixels.
     """
-    names, fixed = channels_of(px), format.fixed_point
-    px = by_image(px.select(*KEYS, *names))
+    names = channels_of(px)
+    px = px.select(*KEYS, *names)
+    kind = pa.float64() if format.floating else pa.int64()
     w, h = target(F.col("width"), F.col("height"))
     say = F.raise_error(F.lit(f"[{ZERO_SIZE}] a target of no width or height")).cast("int")
-    sizes = image_sizes(px).select("image_id", "width", "height", *(F.when(c >= 1, c.cast("int")).otherwise(say).alias(n) for c, n in ((w, "to_width"), (h, "to_height"))))
-    blend = premultiply and format.alpha is not None
-    if blend:
-        sizes = sizes.join(alpha_nonconstant(px, f"v{format.alpha}").withColumnRenamed("nonconstant", "assoc"), "image_id")
-    carried = ["width", "height", "to_width", "to_height", *(["assoc"] if blend else [])]
-    out = px.join(sizes, "image_id")
-    if blend:
-        out = out.select(*carried, "image_id", *_blended(out, premultiplied, format))
-    weight = F.col("wq") if fixed else F.col("w").cast("float").cast("double") if single else F.col("w")
-    for axis, other, inner, outer in (("y", "x", "height", "to_height"), ("x", "y", "width", "to_width")):
-        taps = _taps(sizes, inner, outer, which)
-        met = out.join(taps, (out[inner] == taps["in_size"]) & (out[outer] == taps["out_size"]) & (out[axis] == taps["in_idx"])).drop(axis)
-        same = F.col(inner) == F.col(outer)
-        summed = met.groupBy("image_id", other, F.col("out_idx").alias(axis), *carried).agg(*(F.sum(F.col(c) * weight).alias(f"s_{c}") for c in names), *(F.max(c).alias(c) for c in names))
-        # What keeps its size isn't even rounded.
-        stay = lambda c: F.when(same, F.col(c)).otherwise(narrow(F.col(f"s_{c}"), format)).alias(c)
-        out = summed.select("image_id", "y", "x", *carried, *map(stay, names))
-    if blend:
-        out = out.select(*carried, "image_id", *_blended(out, divided, format))
-    return out.select(*KEYS, *names, F.col("to_width").alias("width"), F.col("to_height").alias("height"))
-
-
-def _blended(px: DataFrame, how: Callable, format: Format) -> list[Column]:
-    alpha = f"v{format.alpha}"
-    # Where nothing changes size, nothing is multiplied and divided either.
-    go = F.col("assoc") & ((F.col("width") != F.col("to_width")) | (F.col("height") != F.col("to_height")))
-    return [F.col("y"), F.col("x"), *(F.col(c) if c == alpha else F.when(go, how(F.col(c), F.col(alpha), format)).otherwise(F.col(c)).alias(c) for c in channels_of(px))]
+    runs = _runs(px).select("image_id", "width", "height", "run", *(F.when(c >= 1, c.cast("int")).otherwise(say).alias(n) for c, n in ((w, "to_width"), (h, "to_height"))))
+
+    def made(image: pa.Scalar, width: int, height: int, to: tuple[int, int], parts: list[bytes]) -> pa.RecordBatch:
+        data, there = _whole(pa.Table.from_batches([_open(p) for p in parts]), width, height, names, format)
+        blend = premultiply and format.alpha is not None and np.ptp(data[there][:, format.alpha]) != 0
+        plan = replace(Scaler(which).plan((width, height), to, format, bool(blend)), single=single)
+        out = apply(data, plan).reshape(-1, len(names))
+        at = np.arange(len(out)) if there.all() else np.flatnonzero(_reached(there, plan))
+        place = [pa.array(v.astype(np.int32)) for v in np.divmod(at, to[0])]
+        sides = [pa.repeat(pa.scalar(v, pa.int32()), len(at)) for v in to]
+        return pa.RecordBatch.from_arrays([pa.repeat(image, len(at)), *place, *(pa.array(out[at, c], kind, safe=False) for c in range(len(names))), *sides], [*KEYS, *names, "width", "height"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, facts, parts = None, (), []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = batch.column(0)[r]
+                if parts and own != image:
+                    yield made(image, *facts, parts)
+                    parts = []
+                if not parts:
+                    width, height, *to = (batch.column(i)[r].as_py() for i in (1, 2, 4, 5))
+                    image, facts = own, (width, height, tuple(to))
+                parts.append(batch.column(3)[r].as_py())
+        if parts:
+            yield made(image, *facts, parts)
+
+    fields = px.select(*KEYS).schema
+    for c in names:
+        fields = fields.add(c, "double" if format.floating else "long")
+    return runs.mapInArrow(lambda batches: _together(each(batches)), fields.add("width", "integer").add("height", "integer"))
