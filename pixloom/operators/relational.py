@@ -7,6 +7,7 @@ together once, by image_id; sums by (image_id, y, x) then need no further shuffl
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +21,20 @@ from ..plans.weights import nearest_index, weights
 KEYS = ("image_id", "y", "x")
 #: Weight rows that are sent to all tasks at most; a larger table is joined by shuffle.
 MOST_SENT = 1 << 20
+#: Outputs of one pass that a task sums.
+SUMMED = 1 << 19
 
 
 def channels_of(px: DataFrame) -> list[str]:
     return sorted((c for c in px.columns if c[0] == "v" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
-def by_image(px: DataFrame) -> DataFrame:
-    return px.repartition("image_id")
+def by_image(px: DataFrame, growth: float = 1) -> DataFrame:
+    """``px`` dealt by image to as many tasks as hold SUMMED outputs each, if every pixel becomes ``growth`` of them: the sums of a pass
+    are all held until its last pixel was read. Costs a count of the pixels."""
+    spark = px.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, ceil(px.select("image_id").count() * max(growth, 1) / SUMMED))
+    return px.repartition(tasks, "image_id")
 
 
 def _flag(px: DataFrame) -> list[str]:
@@ -171,14 +178,19 @@ def run_step(px: DataFrame, step: Step, format: Format, single: bool = False) ->
     return px
 
 
+def _growth(plan: Plan) -> float:
+    """The most outputs for a source pixel that any pass of the plan has; between its two passes a step has its new height and old width."""
+    return max(max(s.dst[0], s.src[0]) * s.dst[1] for s in plan.steps) / (plan.src[0] * plan.src[1])
+
+
 def resample(px: DataFrame, plan: Plan) -> DataFrame:
     """Pixels of images of the plan's source size, resampled to its target. Pixels beyond that size raise; see also ``whole``.
 
-    The source is read once and dealt by image once, whatever the plan: whether alpha varies is told by a window over the image.
+    The source is counted, read once and dealt by image once, whatever the plan, to tasks that grow in number with what comes out: whether alpha varies is told by a window over the image.
     """
     if not plan.steps:
         return px
-    px, format = by_image(within(px, plan.src)), plan.format
+    px, format = within(by_image(px, _growth(plan)), plan.src), plan.format
     for step in plan.steps:
         if step.premultiply == "varying":
             px = px.withColumn("assoc", varying_alpha(px, f"v{format.alpha}"))

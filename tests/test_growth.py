@@ -51,3 +51,13 @@ def test_an_image_of_several_batches(spark):
     px = made_up([(160, 130)])
     made = mixed.resample_mixed(frame(spark, px), "lanczos3", lambda w, h: (F.lit(33), F.lit(60)))
     assert np.array_equal(gathered(made.select(*R.KEYS, "v0"))[0], apply(px[0], Scaler("lanczos3").plan((160, 130), (33, 60))))
+
+
+def test_tasks_grow_with_what_comes_out(spark, monkeypatch):
+    px = made_up([(8, 8)] * 12)
+    plan = Scaler("bilinear", multi_step=True).plan((8, 8), (40, 40))
+    monkeypatch.setattr(R, "SUMMED", 1600)
+    made = R.resample(frame(spark, px), plan)
+    assert "hashpartitioning(image_id" in plan_of(made) and ", 12)" in plan_of(made)  # an image's outputs a task
+    assert np.array_equal(gathered(made)[3], apply(px[3], plan))
+    assert R._growth(Scaler("box").plan((8, 2), (4, 8))) == 4  # the vertical pass comes first
