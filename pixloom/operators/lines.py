@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from ..plans.plan import Format, Plan, Step
 from ..plans.weights import nearest_index, weights
-from .relational import channels_of, divided, narrow, premultiplied, within
+from .relational import _growth, by_image, channels_of, divided, narrow, premultiplied, within
 
 
-def to_lines(px: DataFrame) -> DataFrame:
-    """(image_id, v0, v1, ..): each channel an array of lines from the top, each an array of samples from the left. Pixels gather by line, then lines by image."""
+def to_lines(px: DataFrame, growth: float = 1) -> DataFrame:
+    """(image_id, v0, v1, ..): each channel an array of lines from the top, each an array of samples from the left. Pixels gather by line, then lines by image.
+
+    ``growth``: of the work that follows for each pixel, which decides the number of tasks.
+    """
     names = channels_of(px)
     each = lambda c: F.transform("l", lambda p: p[c]).alias(c)
     inner = F.array_sort(F.collect_list(F.struct("x", *names)))
-    lines = px.repartition("image_id").groupBy("image_id", "y").agg(inner.alias("l"))
+    lines = by_image(px, growth).groupBy("image_id", "y").agg(inner.alias("l"))
     lines = lines.select("image_id", "y", *map(each, names))
     whole = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", *names))).alias("l"))
     return whole.select("image_id", *map(each, names))
@@ -32,37 +35,36 @@ def from_lines(images: DataFrame) -> DataFrame:
 
 
 def _taps(in_size: int, out_size: int, which: str, format: Format, single: bool) -> Column:
-    """An array of (start, w): where each output's taps begin, counted from 1, and what they are. A literal of the plan."""
+    """An array of arrays of (i, w): each output's taps, i counted from 1. A literal of the plan."""
     made = weights(in_size, out_size, which)
     values = made.fixed if format.fixed_point else made.taps.astype("float32") if single else made.taps
     kind = "bigint" if format.fixed_point else "double"
-    rows = (f"named_struct('start', {int(a) + 1}, 'w', array({', '.join(f'CAST({float(v)!r} AS DOUBLE)' if kind == 'double' else f'{int(v)}L' for v in w[: int(n)])}))" for a, n, w in zip(made.start, made.size, values, strict=True))
-    return F.expr(f"array({', '.join(rows)})")
+    value = lambda v: f"CAST({float(v)!r} AS DOUBLE)" if kind == "double" else f"{int(v)}L"
+    rows = (", ".join(f"named_struct('i', {int(a) + 1 + k}, 'w', {value(v)})" for k, v in enumerate(w[: int(n)])) for a, n, w in zip(made.start, made.size, values, strict=True))
+    return F.expr(f"array({', '.join(f'array({r})' for r in rows)})")
 
 
 def _zero(format: Format) -> Column:
     return F.lit(0).cast("long") if format.fixed_point else F.lit(0.0)
 
 
-def _dot(samples: Column, taps: Column, format: Format) -> Column:
-    return narrow(F.aggregate(F.zip_with(samples, taps, lambda a, b: a * b), _zero(format), lambda total, v: total + v), format)
-
-
 def across(plane: Column, step: Step, format: Format, single: bool = False) -> Column:
     """Every line of a plane resampled along itself."""
     taps = _taps(step.src[0], step.dst[0], step.filter, format, single)
-    return F.transform(plane, lambda line: F.transform(taps, lambda t: _dot(F.slice(line, t["start"], F.size(t["w"])), t["w"], format)))
+
+    def sample_of(line: Column, t: Column) -> Column:
+        return narrow(F.aggregate(t, _zero(format), lambda total, k: total + F.get(line, k["i"] - 1) * k["w"]), format)
+
+    return F.transform(plane, lambda line: F.transform(taps, lambda t: sample_of(line, t)))
 
 
 def down(plane: Column, step: Step, format: Format, single: bool = False) -> Column:
     """Output lines as sums of whole source lines, each times its tap."""
     taps = _taps(step.src[1], step.dst[1], step.filter, format, single)
     none = F.array_repeat(_zero(format), step.src[0])
-    scaled = lambda line, w: F.transform(line, lambda v: v * w)
 
     def line_of(t: Column) -> Column:
-        lines = F.zip_with(F.slice(plane, t["start"], F.size(t["w"])), t["w"], scaled)
-        total = F.aggregate(lines, none, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        total = F.aggregate(t, none, lambda sums, k: F.zip_with(sums, F.get(plane, k["i"] - 1), lambda x, v: x + v * k["w"]))
         return F.transform(total, lambda v: narrow(v, format))
 
     return F.transform(taps, line_of)
@@ -118,4 +120,4 @@ def _blended(images: DataFrame, how, format: Format) -> DataFrame:
 
 def resample_pixels(px: DataFrame, plan: Plan) -> DataFrame:
     """Pixels to pixels by way of lines; the samples are those of relational.resample."""
-    return from_lines(resample_lines(to_lines(within(px, plan.src)), plan)) if plan.steps else px
+    return from_lines(resample_lines(to_lines(within(px, plan.src), _growth(plan)), plan)) if plan.steps else px

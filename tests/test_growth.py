@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_sizes import frame, gathered, made_up
 
 from pixloom import fixtures
-from pixloom.operators import mixed
+from pixloom.operators import lines, mixed
 from pixloom.operators import relational as R
 from pixloom.operators.rows import apply
 from pixloom.plans.plan import Format, Scaler
@@ -61,3 +61,12 @@ def test_tasks_grow_with_what_comes_out(spark, monkeypatch):
     assert "hashpartitioning(image_id" in plan_of(made) and ", 12)" in plan_of(made)  # an image's outputs a task
     assert np.array_equal(gathered(made)[3], apply(px[3], plan))
     assert R._growth(Scaler("box").plan((8, 2), (4, 8))) == 4  # the vertical pass comes first
+
+
+def test_lines_are_dealt_to_tasks_by_what_comes_out(spark, monkeypatch):
+    px = made_up([(8, 8)] * 9)
+    plan = Scaler("lanczos3", multi_step=True).plan((8, 8), (64, 64))
+    monkeypatch.setattr(R, "SUMMED", 4096)
+    made = lines.resample_pixels(frame(spark, px), plan)
+    assert ", 9)" in plan_of(made) and "REPARTITION_BY_NUM" in plan_of(made)
+    assert np.array_equal(gathered(made)[5], apply(px[5], plan))
