@@ -101,10 +101,10 @@ def _with_ends(w: Words, values: np.ndarray, end) -> np.ndarray:
     return np.insert(values, w.first[1:], end)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = _SLICE) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in batches:
         text = as_text(batch.column(column))
-        for lo, hi in slices(text, _SLICE):
+        for lo, hi in slices(text, most):
             yield batch.slice(lo, hi - lo), Words(text, lo, hi)
 
 
@@ -374,7 +374,7 @@ def _surroundings(sent):
         before, ahead = np.concatenate([[end], part[:-1]]), np.concatenate([[-1], code[:-1]])
         after = np.concatenate([part[1:], [end]])
         keys = [code[some] * size + shift + near[some] for shift, near in ((0, before), (classes, after)) for some in [moves & (near >= 0)]]
-        same = moves & (code == ahead) & (part >= 0)
+        same = moves & (code == ahead)
         key, n = np.unique(np.concatenate([*keys, code[same] * size + 2 * classes]), return_counts=True)
         both = (before >= 0) & (part >= 0)
         pairs = np.bincount(before[both] * classes + part[both], minlength=classes * classes)
@@ -384,6 +384,41 @@ def _surroundings(sent):
     return each
 
 
+def _far_surroundings(sent):
+    """(h, side, far, part, fresh, n): what stood before (side 0) or after (1) the words of _surroundings where one of both isn't known here.
+
+    far: the neighbour, if it isn't, else part is its class; fresh: the word itself isn't.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "side", "far", "part", "fresh"], _STRETCH // 8)
+
+    def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> pa.Table:
+        codes, distinct = w.numbered
+        end = _own(classes)[1]
+        known = found(parts, words, distinct, -1)
+        part = _with_ends(w, known[codes], end)
+        moves = _with_ends(w, ((distinct % U(2) == U(turn % 2)) | (known < 0) | (known == _own(classes)[0]))[codes], False)
+        code = _with_ends(w, codes.astype(np.int64), -1)
+        tables = []
+        for side in (0, 1):
+            near = np.concatenate([[-1], code[:-1]]) if side == 0 else np.concatenate([code[1:], [-1]])
+            its = np.concatenate([[end], part[:-1]]) if side == 0 else np.concatenate([part[1:], [end]])
+            some = np.flatnonzero(moves & ((its < 0) | (part < 0)))
+            far, mine = its[some] < 0, code[some]
+            key, n = np.unique(mine * (classes + len(distinct)) + np.where(far, classes + near[some], its[some]), return_counts=True)
+            mine, there = np.divmod(key, classes + len(distinct))
+            far = there >= classes
+            hashes = distinct.view(np.int64)
+            tables.append(pa.table({
+                "h": hashes[mine], "side": np.full(len(key), side), "far": pa.array(hashes[np.maximum(there - classes, 0)], mask=~far) if len(hashes) else pa.nulls(0, pa.int64()),
+                "part": np.where(far, -1, there), "fresh": known[mine] < 0, "n": n,
+            }))
+        return pa.concat_tables(tables)
+
+    return each
+
+
 def _exchanging(sent):
     """(h, part) from rows (h, at, n, own) sorted by h: the class of each word after the exchange."""
 
@@ -420,8 +455,8 @@ def sweep(column: DataFrame, vocabulary: DataFrame, classes: int, turn: int) ->
     """``vocabulary`` (h, n, part) after a round over all words: every other one may move, and so may those that have found no class yet
     and those beyond the KNOWN most frequent ones.
 
-    One pass over the texts counts each word's neighbours by class; the class bigrams are sums of these. A neighbour beyond the KNOWN
-    most frequent words doesn't count in a round; it does in the model.
+    One pass over the texts counts each word's neighbours by class; the class bigrams are sums of these. If there are words beyond the KNOWN
+    most frequent ones, a second pass counts the neighbours that are such words, which meet their classes in a join by word.
     """
     spark = column.sparkSession
     top = most_frequent(vocabulary, KNOWN).select("h", "part").toArrow()
@@ -433,12 +468,26 @@ def sweep(column: DataFrame, vocabulary: DataFrame, classes: int, turn: int) ->
     matrix = np.zeros((classes, classes))
     for at, n in near.where(F.col("at") > 2 * classes).select("at", "n").collect():
         matrix[divmod(at - 2 * classes - 1, classes)] += n
-    moving = near.where(F.col("at") <= 2 * classes).join(vocabulary.select("h", F.col("part").alias("own")), "h")
+    moving, beyond = near.where(F.col("at") <= 2 * classes), []
+    if vocabulary.count() > len(known):
+        own = vocabulary.select(F.col("h").alias("_h"), F.col("part").alias("_part"))
+        far = stored(column.mapInArrow(_far_surroundings(sent), "h long, side long, far long, part long, fresh boolean, n long"), "far")
+        # Rows of known neighbours have no word to meet and stay beside the join.
+        met = far.where("far IS NOT NULL").join(own, F.col("far") == F.col("_h")).select("h", "side", F.col("_part").cast("long").alias("part"), "fresh", F.lit(True).alias("met"), "n")
+        met = met.unionByName(far.where("far IS NULL").select("h", "side", "part", "fresh", F.lit(False).alias("met"), "n"))
+        met = stored(met.groupBy("h", "side", "part", "fresh", "met").agg(F.sum("n").alias("n")), "far-by-class")
+        # Each pair once: a new word with what is before it, and with what is after it if that isn't new.
+        pairs = met.where("fresh AND (side = 0 OR NOT met)").join(own, F.col("h") == F.col("_h")).groupBy("side", "part", "_part").agg(F.sum("n").alias("n"))
+        for side, part, mine, n in pairs.collect():
+            matrix[(part, mine) if side == 0 else (mine, part)] += n
+        moving = moving.unionByName(met.where("met").select("h", (F.col("side") * classes + F.col("part")).alias("at"), "n"))
+        beyond = [far, met]
+    moving = moving.join(vocabulary.select("h", F.col("part").alias("own")), "h")
     moving = moving.select("h", "at", "n", "own").repartition("h").sortWithinPartitions("h", "at")
     moved = moving.mapInArrow(_exchanging(spark.sparkContext.broadcast(matrix)), "h long, part long")
     after = vocabulary.join(moved.withColumnRenamed("part", "_to"), "h", "left").select("h", "n", F.coalesce("_to", "part").alias("part"))
     after = stored(after, "vocabulary")
-    discard(near)
+    discard(near, *beyond)
     return after
 
 
@@ -464,7 +513,7 @@ def _class_pairs(sent):
     """Counts of neighbours, each word by its class or, if that isn't known here, its hash."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["vh", "vc", "wh", "wc"])
+        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["vh", "vc", "wh", "wc"], _STRETCH // 4)
 
     def counts(w: Words, known: np.ndarray, parts: np.ndarray, classes: int) -> pa.Table:
         codes, distinct = w.numbered
@@ -563,7 +612,7 @@ def _score(sent, whole: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ClassModel = sent.value
         key = TaskContext.get().partitionId() << 40
-        for rows, w in _texts(batches, 2):
+        for rows, w in _texts(batches, 2, _SLICE // 4):  # a token has some twenty numbers here
             codes, distinct = w.numbered
             n = rows.num_rows
             parts = found(m.known_part, m.known, distinct, m.unseen if whole else -1)
