@@ -34,8 +34,9 @@ MIX, ALPHA, DELTA, ROUNDS = 0.6, 0.5, 0.1, 8
 SWEEPS = 1
 #: Rows of counts that are weighed together.
 _WEIGHED = 1 << 13
-#: Tokens that a task counts before it gives counts out; bytes of text that it looks at together.
-_STRETCH, _SLICE = 4 << 20, 4 << 20
+#: Rows of counts that a task holds before it adds them up and gives them out; bytes of text that it looks at together: a token has
+#: some twenty numbers of 8 bytes meanwhile.
+_STRETCH, _SLICE = 1 << 20, 1 << 20
 #: Places of all words outside the core, and of a text's end, among those of the core.
 OTHER, END = CORE, CORE + 1
 _PLACES = CORE + 2
@@ -101,10 +102,10 @@ def _with_ends(w: Words, values: np.ndarray, end) -> np.ndarray:
     return np.insert(values, w.first[1:], end)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = _SLICE) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in batches:
         text = as_text(batch.column(column))
-        for lo, hi in slices(text, most):
+        for lo, hi in slices(text, _SLICE):
             yield batch.slice(lo, hi - lo), Words(text, lo, hi)
 
 
@@ -112,10 +113,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = _SLIC
 
 
 def _summed(tables: list[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows (keys, n), added up by their keys."""
+    """Rows (keys, n), added up by their keys, which no single table has twice; ``tables`` is empty afterwards."""
     if tables:
-        whole = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"])
-        yield from whole.rename_columns([*keys, "n"]).to_batches(max_chunksize=1 << 16)
+        whole = tables[0]
+        if len(tables) > 1:
+            whole = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+        tables.clear()
+        yield from whole.to_batches(max_chunksize=1 << 16)
 
 
 def _in_stretches(counts: Iterator[pa.Table], keys: list[str], most: int = _STRETCH) -> Iterator[pa.RecordBatch]:
@@ -123,10 +127,13 @@ def _in_stretches(counts: Iterator[pa.Table], keys: list[str], most: int = _STRE
     for table in counts:
         held.append(table)
         size += len(table)
+        del table  # nothing of a stretch stays while the next one is counted
         if size >= most:
             yield from _summed(held, keys)
-            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+            size = 0
     yield from _summed(held, keys)
+    pa.default_memory_pool().release_unused()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +369,7 @@ def _surroundings(sent):
     known here, or next to itself (2 * classes); and, from 2 * classes + 1 on, the class bigrams of such words, h being 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "at"], _STRETCH // 8)  # most rows are of a word that is there once
+        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "at"], _STRETCH // 2)  # most rows are of a word that is there once
 
     def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> pa.Table:
         codes, distinct = w.numbered
@@ -391,7 +398,7 @@ def _far_surroundings(sent):
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "side", "far", "part", "fresh"], _STRETCH // 8)
+        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "side", "far", "part", "fresh"], _STRETCH // 4)
 
     def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> pa.Table:
         codes, distinct = w.numbered
@@ -612,7 +619,7 @@ def _score(sent, whole: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ClassModel = sent.value
         key = TaskContext.get().partitionId() << 40
-        for rows, w in _texts(batches, 2, _SLICE // 4):  # a token has some twenty numbers here
+        for rows, w in _texts(batches, 2):
             codes, distinct = w.numbered
             n = rows.num_rows
             parts = found(m.known_part, m.known, distinct, m.unseen if whole else -1)
