@@ -13,9 +13,8 @@ from .functions.kernels import FILTERS
 from .operators import color
 from .operators import relational as R
 from .oracle import Sql
-from .operators.rows import run_plan
 from .plans.plan import Format, Plan, Scaler
-from .sources.images import from_pixels, integers, to_pixels
+from .sources.images import integers, through_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,7 +112,7 @@ def _whole_images(name: str, source, plan: Plan) -> None:
     format = plan.format
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = to_pixels(run_plan(from_pixels(make(spark, sf_dir), *plan.src, format), plan), format.layout)
+        out = through_plan(make(spark, sf_dir), plan)
         return out if format.floating else integers(out)
 
     QUERIES[name], ORACLES[name] = query, sql().resample(plan).text()

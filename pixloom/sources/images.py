@@ -20,7 +20,7 @@ from ..errors import (
     BUFFER_MISMATCH, DESTINATION_TOO_LARGE, EMPTY_PLAN, GENERIC, INVALID_DESTINATION_SIZE, INVALID_SCRATCH, INVALID_SOURCE_SIZE,
     INVALID_STRIDE, OUT_OF_MEMORY, SOURCE_TOO_LARGE, UNSUPPORTED_BIT_DEPTH, ZERO_SIZE, ResampleError,
 )
-from ..operators.rows import KINDS, TURNS, resample_by, resample_images, turned, view
+from ..operators.rows import FEW, KINDS, TURNS, Batches, planned, resample_by, resample_images, turned, view
 from ..plans.plan import LAYOUTS, Format, Plan, Scaler
 from .codecs import Metadata, decode, encode, extract, upright
 
@@ -180,17 +180,27 @@ def auto_orient(images: DataFrame) -> DataFrame:
 
     Images without metadata, of orientation 1 or of an unknown one, and rows of null data pass as they are. Rows don't depend on each other.
     """
-    at = {c: images.columns.index(c) for c in ("width", "height", "channels", "sample", "bit_depth", "stride", "data", "metadata")}
+    return images.mapInArrow(_turning(images.columns), images.schema)
+
+
+def _turning(columns: list[str]) -> Batches:
+    at = {c: columns.index(c) for c in ("width", "height", "channels", "sample", "bit_depth", "stride", "data", "metadata")}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = [_upright_row(dict(zip(at, r, strict=True))) for r in zip(*(batch.column(i).to_pylist() for i in at.values()), strict=True)]
             columns = list(batch.columns)
             for c, i in at.items():
                 columns[i] = pa.array([r[c] for r in rows], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return images.mapInArrow(each, images.schema)
+    return each
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of FEW images at most, so that what is made of one stays small."""
+    for batch in batches:
+        yield from (batch.slice(lo, FEW) for lo in range(0, batch.num_rows, FEW))
 
 
 def _upright_row(r: dict) -> dict:
@@ -271,22 +281,52 @@ def thirds(images: DataFrame, kind: str = "png") -> DataFrame:
     return encoded(small, kind, False, False)
 
 
-def to_pixels(images: DataFrame, layout: str) -> DataFrame:
-    """Pixel rows (image_id, y, x, v0, ...) of images; padding between rows is dropped."""
+#: Pixels that to_pixels gives out together.
+_PIXELS = 1 << 16
+
+
+def to_pixels(images: DataFrame, layout: str, orient: bool = False) -> DataFrame:
+    """Pixel rows (image_id, y, x, v0, ...) of images; padding between rows is dropped.
+
+    ``orient``: images are turned upright first, as by auto_orient, in the same Python worker.
+    """
+    turn, unpack = _turning(images.columns) if orient else None, _unpacking(images.columns, layout)
+    return images.mapInArrow((lambda batches: unpack(turn(batches))) if orient else unpack, _pixels_of(layout))
+
+
+def _pixels_of(layout: str) -> str:
+    return "image_id long, y int, x int, " + ", ".join(f"v{c} double" for c in range(LAYOUTS[layout]))
+
+
+def _unpacking(columns: list[str], layout: str) -> Batches:
     n = LAYOUTS[layout]
-    at = [images.columns.index(c) for c in ("image_id", "width", "height", "sample", "bit_depth", "stride", "data")]
+    at = [columns.index(c) for c in ("image_id", "width", "height", "sample", "bit_depth", "stride", "data")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, size = [], 0
+        for batch in _few(batches):
             for r in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
                 if r[6] is None:
                     continue
-                px = view(r[6], r[1], r[2], r[5] or 0, Format(r[3], layout, r[4] or 0)).astype(np.float64)
-                y, x = np.divmod(np.arange(r[1] * r[2]), r[1])
-                cells = [pa.array(np.ascontiguousarray(px[..., c]).ravel()) for c in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0]] * len(y), pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), *cells], ["image_id", "y", "x", *(f"v{c}" for c in range(n))])
-
-    return images.mapInArrow(each, "image_id long, y int, x int, " + ", ".join(f"v{c} double" for c in range(n)))
+                px = view(r[6], r[1], r[2], r[5] or 0, Format(r[3], layout, r[4] or 0)).reshape(-1, n)
+                for lo in range(0, len(px), _PIXELS):
+                    held.append((r[0], r[1], lo, px[lo : lo + _PIXELS]))
+                    size += len(held[-1][3])
+                    if size >= _PIXELS:
+                        yield rows_of(held)
+                        held, size = [], 0
+        if held:
+            yield rows_of(held)
+
+    def rows_of(held: list[tuple[int | None, int, int, np.ndarray]]) -> pa.RecordBatch:
+        many = [len(px) for *_, px in held]
+        ids = pa.array([r[0] for r in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), many)))
+        y, x = np.divmod(np.concatenate([np.arange(lo, lo + k) for (_, _, lo, _), k in zip(held, many, strict=True)]), np.repeat([r[1] for r in held], many))
+        px = np.concatenate([r[3] for r in held])  # images of a table may differ in their samples' type, which numpy widens
+        cells = [pa.array(px[:, c].astype(np.float64)) for c in range(n)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(y, pa.int32()), pa.array(x, pa.int32()), *cells], ["image_id", "y", "x", *(f"v{c}" for c in range(n))])
+
+    return each
 
 
 def integers(px: DataFrame) -> DataFrame:
@@ -296,20 +336,34 @@ def integers(px: DataFrame) -> DataFrame:
 
 def from_pixels(px: DataFrame, width: int, height: int, format: Format) -> DataFrame:
     """Images of pixel rows. Rows of pixels gather first, then images, each in one row, as it is stored."""
+    return _gathered(px, format).mapInArrow(_packing(width, height, format), IMAGE)
+
+
+def through_plan(px: DataFrame, plan: Plan) -> DataFrame:
+    """Pixel rows of whole images through ``plan``: to_pixels of run_plan of from_pixels, in one Python worker a task instead of three."""
+    pack, resize, unpack = _packing(*plan.src, plan.format), planned(IMAGE.names, plan), _unpacking(IMAGE.names, plan.format.layout)
+    return _gathered(px, plan.format).mapInArrow(lambda batches: unpack(resize(pack(batches))), _pixels_of(plan.format.layout))
+
+
+def _gathered(px: DataFrame, format: Format) -> DataFrame:
+    """(image_id, v): all samples of an image in their order."""
     names = [f"v{c}" for c in range(format.channels)]
     cells = F.struct("x", F.array(*(F.col(c).cast("double") for c in names)).alias("v"))
     lines = px.repartition("image_id").groupBy("image_id", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(cells)), lambda c: c["v"])).alias("v"))
-    whole = lines.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda r: r["v"])).alias("v"))
+    return lines.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda r: r["v"])).alias("v"))
+
+
+def _packing(width: int, height: int, format: Format) -> Batches:
     kind = KINDS[format.sample]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             data = [row.values.to_numpy().astype(kind).tobytes() for row in batch.column(1)]
             many = batch.num_rows
             fixed = [pa.array([v] * many, t) for v, t in ((width, pa.int32()), (height, pa.int32()), (format.channels, pa.int32()), (format.sample, pa.string()), (format.bit_depth, pa.int32()), (0, pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *fixed, pa.array(data, pa.binary()), pa.nulls(many, _META)], IMAGE.names)
 
-    return whole.mapInArrow(each, IMAGE)
+    return each
 
 
 # ---- a data source -----------------------------------------------------------------------------------------------

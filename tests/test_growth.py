@@ -1,6 +1,8 @@
 """What keeps work and memory in proportion to the input: what is exchanged, how many tasks, how much a task holds."""
 
+import __spark_entry__ as entry
 import numpy as np
+import pyarrow as pa
 from conftest import DATA
 from pyspark.sql import functions as F
 from test_sizes import frame, gathered, made_up
@@ -10,6 +12,7 @@ from pixloom.operators import lines, mixed
 from pixloom.operators import relational as R
 from pixloom.operators.rows import apply
 from pixloom.plans.plan import Format, Scaler
+from pixloom.sources import images
 
 
 def plan_of(df):
@@ -70,3 +73,21 @@ def test_lines_are_dealt_to_tasks_by_what_comes_out(spark, monkeypatch):
     made = lines.resample_pixels(frame(spark, px), plan)
     assert ", 9)" in plan_of(made) and "REPARTITION_BY_NUM" in plan_of(made)
     assert np.array_equal(gathered(made)[5], apply(px[5], plan))
+
+
+def test_whole_images_take_one_python_worker_a_task(spark):
+    queries = entry.queries()
+    for name, workers in (("bulk_rgb_f16", 1), ("bulk_cbcr_u16_d10", 1), ("bulk_plane_f16", 1)):
+        assert plan_of(queries[name](spark, DATA)).count("MapInArrow") == workers, name
+
+
+def test_pixels_of_images_come_in_bounded_batches_and_not_one_for_an_image():
+    small = [(i, 5, 2, 1, "u8", 8, 6, bytes(range(i % 90, i % 90 + 12)), None) for i in range(3000)]
+    large = [(None, 400, 300, 1, "u8", 8, 0, np.arange(120_000).astype(np.uint8).tobytes(), None), (7, 1, 1, 1, "u8", 8, 0, None, None)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.null()]
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*small, *large, strict=True), kinds, strict=True)], images.IMAGE.names)
+    got = list(images._unpacking(images.IMAGE.names, "planar")(iter([batch])))
+    assert len(got) < 6 and max(b.num_rows for b in got) < 2 * images._PIXELS
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert rows[:30_000] == [{"image_id": r[0], "y": y, "x": x, "v0": float(r[7][6 * y + x])} for r in small for y in range(2) for x in range(5)]
+    assert [(r["image_id"], r["y"], r["x"], r["v0"]) for r in rows[30_000:]] == [(None, k // 400, k % 400, float(k % 256)) for k in range(120_000)]
