@@ -150,7 +150,7 @@ def _whole() -> None:
 
     def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts = F.struct(*(F.lit(None).cast("binary").alias(c) for c in ("icc", "exif", "xmp")), (F.col("image_id") % 8 + 1).cast("int").alias("orientation"))
-        return images.integers(images.to_pixels(images.auto_orient(_images(spark, sf_dir).withColumn("metadata", facts)), "rgb"))
+        return images.integers(images.to_pixels(_images(spark, sf_dir).withColumn("metadata", facts), "rgb", orient=True))
 
     _put("auto_orient_images", turned, ORACLES["auto_orient"])
     small = Sql(base, 3).resample(Scaler("lanczos3").plan((6, 4), (3, 5), Format("u8", "rgb", 8))).text()

@@ -77,7 +77,7 @@ def test_lines_are_dealt_to_tasks_by_what_comes_out(spark, monkeypatch):
 
 def test_whole_images_take_one_python_worker_a_task(spark):
     queries = entry.queries()
-    for name, workers in (("bulk_rgb_f16", 1), ("bulk_cbcr_u16_d10", 1), ("bulk_plane_f16", 1)):
+    for name, workers in (("bulk_rgb_f16", 1), ("bulk_cbcr_u16_d10", 1), ("bulk_plane_f16", 1), ("auto_orient_images", 2)):
         assert plan_of(queries[name](spark, DATA)).count("MapInArrow") == workers, name
 
 
