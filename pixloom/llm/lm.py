@@ -197,18 +197,20 @@ def leave(matrix: np.ndarray, word: np.ndarray, side: np.ndarray, part: np.ndarr
     """
     other, end = _own(len(matrix))
     count = int(word[-1]) + 1
-    cell = np.where((side == 0)[:, None], matrix[part], matrix[:, part].T)
+    # A row's gains depend on its side, class and count alone, and most rows of a batch have the same few.
+    _, first, which = np.unique((n * 2 + side) * len(matrix) + part, return_index=True, return_inverse=True)
     n = n.astype(float)
-    cell[:, other] -= n
+    cell = np.where((side[first] == 0)[:, None], matrix[part[first]], matrix[:, part[first]].T)
+    cell[:, other] -= n[first]
     begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    gain = np.add.reduceat(_xlogx(cell + n[:, None]) - _xlogx(cell), begins)
+    gain = np.add.reduceat((_xlogx(cell + n[first][:, None]) - _xlogx(cell))[which], begins)
     sides = np.zeros((2, count, len(matrix)))
     sides[side, word, part] = n
     for own, totals in ((sides[1], matrix.sum(1)), (sides[0], matrix.sum(0))):  # those before, in rows; those after, in columns
-        some = own.sum(1)
-        rest = np.repeat(totals[None], count, 0)
+        some, which = np.unique(own.sum(1), return_inverse=True)
+        rest = np.repeat(totals[None], len(some), 0)
         rest[:, other] -= some
-        gain -= _xlogx(rest + some[:, None]) - _xlogx(rest)
+        gain -= (_xlogx(rest + some[:, None]) - _xlogx(rest))[which]
     w, c = np.nonzero((sides[0] > 0) & (sides[1] > 0))
     d, a, b = np.diag(matrix)[c], sides[0][w, c], sides[1][w, c]
     gain[w, c] += _xlogx(d + a + b) - _xlogx(d + a) - _xlogx(d + b) + _xlogx(d)
@@ -253,7 +255,9 @@ def exchange(matrix: np.ndarray, own: np.ndarray, word: np.ndarray, side: np.nda
     d = np.repeat(np.diag(matrix)[None], count, 0)
     d[every, own] -= left[every, own] + right[every, own] + itself
     np.maximum(d, 0, out=d)
-    gain += _xlogx(d + right + left + alone) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
+    w, c = np.nonzero(((left != 0) & (right != 0)) | (alone != 0))  # elsewhere the four cancel out
+    d, a, b, i = d[w, c], left[w, c], right[w, c], itself[w]
+    gain[w, c] += _xlogx(d + b + a + i) - _xlogx(d + b) - _xlogx(d + a) + _xlogx(d)
     for totals, more in ((matrix.sum(1), least), (matrix.sum(0), some)):
         rest = np.repeat(totals[None], count, 0)
         rest[every, own] -= (more + alone)[:, 0]
