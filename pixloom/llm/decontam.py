@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import stored
+from .common import small_batches, stored
 from .textkit import U, Words, as_text, mix, runs, slices
 
 #: Blocks of a fingerprint; bits in which those of similar windows may differ. At similarity 0.8 they differ in 39 on
@@ -242,6 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Documents are read once a block and never shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ident = F.col(id_col) if isinstance(docs.schema[id_col].dataType, BinaryType) else F.col(id_col).cast("long")
     sources = docs.select(ident.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")

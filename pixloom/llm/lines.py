@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import join_by_key, stored, unused
+from .common import join_by_key, small_batches, stored, unused
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,6 +74,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     key_schema = StructType([StructField("doc", docs.schema[id_col].dataType), StructField("h", BinaryType())])
     keys = stored(docs.select(id_col, text_col).mapInArrow(_lines_of(min_chars), key_schema), "line-keys")

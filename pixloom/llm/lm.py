@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, most_frequent, stored
+from .common import discard, most_frequent, small_batches, stored
 from .textkit import U, Words, as_text, slices
 
 #: Words whose exchange goes over several rounds; classes; words whose counts and classes are sent to all tasks, others are joined.
@@ -676,6 +676,7 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
     Counts and classes of the KNOWN most frequent words go to all tasks; other tokens, and those after them, meet the whole
     table of words in joins by word and are summed per text, so no table that grows with the corpus is sent anywhere.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~F.coalesce(trained_on, F.lit(False))).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model, vocabulary = train(rows.where("NOT held_out"), "text", classes, rounds, sweeps)
     sent = docs.sparkSession.sparkContext.broadcast(model)

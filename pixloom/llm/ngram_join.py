@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, discard, join_by_key, most_frequent, stored
+from .common import by_ids, components, discard, join_by_key, most_frequent, small_batches, stored
 from .textkit import U, Words, as_text, exact_runs, mix, shingle_sets, slices
 
 #: Groups of a leaf's bounds, and of each filed point; fine groups number a power of two near n, within these.
@@ -382,6 +382,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     adds verified links.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = docs.select("text").mapInArrow(_frequent(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # Which shingles are known as frequent decides the global order alone; any order finds every link.
