@@ -232,6 +232,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 #: Rows and pairs of points that a task looks at together; leading groups that say in which slab a pair is given out.
 _ROWS, _PAIRS, _SKETCH = 1 << 16, 1 << 19, 8
+#: A slab of so many points has no more pairs than points, so its rows travel without key and sketch and it gives out all of its pairs.
+_FEW = 3
 
 
 def _least_common(one: np.ndarray, two: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -354,12 +356,16 @@ def _tree_items(large: DataFrame, percent: int) -> DataFrame:
 
 def _search_leaves(filed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components, from rows (key, node, n, component, in_slab) of slabs that hold several."""
-    sketch = F.slice(F.concat("lead", F.array_repeat(F.lit(0).cast("long"), _SKETCH)), 1, _SKETCH).alias("sketch")
-    points = filed.drop("lead").join(nodes.select("node", "curve", "coarse", "near", sketch), "node")
+    none = F.array_repeat(F.lit(0).cast("long"), _SKETCH)
+    sketch = F.slice(F.concat("lead", none), 1, _SKETCH).alias("sketch")
+    filed, few = filed.drop("lead"), F.col("in_slab") <= _FEW
     # A slab within a leaf meets itself at once.
-    dealt = points.where(F.col("in_slab") <= LEAF).select(F.col("key").alias("item"), F.lit(2).alias("side"), "node", "n", "component", "near", "key", "sketch")
-    if not filed.where(F.col("in_slab") > LEAF).isEmpty():
-        dealt = dealt.union(_tree_items(points.where(F.col("in_slab") > LEAF), percent))
+    points = filed.where(F.col("in_slab") <= LEAF).join(nodes.select("node", "near", sketch), "node")
+    dealt = points.select(F.col("key").alias("item"), F.lit(2).alias("side"), "node", "n", "component", "near", F.when(few, 0).otherwise(F.col("key")).alias("key"), F.when(few, none).otherwise(F.col("sketch")).alias("sketch"))
+    large = filed.where(F.col("in_slab") > LEAF)
+    if not large.isEmpty():
+        some = by_ids(nodes, large.select("node").distinct(), "node", "left_semi")
+        dealt = dealt.union(_tree_items(large.join(some.select("node", "curve", "coarse", "near", sketch), "node"), percent))
     dealt = dealt.repartition("item").sortWithinPartitions("item")
     return dealt.mapInArrow(_in_leaves(percent), "a long, b long").distinct()
 
@@ -413,10 +419,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = survivors(_to_first(entries, percent), nodes, percent)
     first = first.groupBy("b").agg(F.max_by("a", F.struct("rank", -F.col("a"))).alias("a"))
     parts = components(same.union(_links(first, docs, shingle, percent)))
-    some = survivors(_to_linked(_mixed(entries, parts), centres, percent), nodes, percent)
+    mixed = _mixed(entries, parts)
+    discard(entries)
+    some = survivors(_to_linked(mixed, centres, percent), nodes, percent)
     parts = _merged(parts, _links(some, docs, shingle, percent))
-    # Then every pair of points of a slab whose components differ.
-    rest = survivors(_search_leaves(_mixed(entries, parts), nodes, percent).withColumn("rank", F.lit(0).cast("long")), nodes, percent)
+    # Then every pair of points of a slab whose components differ. A slab of one component stays so, whatever more is linked.
+    left = _mixed(mixed, parts)
+    discard(mixed)
+    rest = survivors(_search_leaves(left, nodes, percent).withColumn("rank", F.lit(0).cast("long")), nodes, percent)
     parts = _merged(parts, _links(rest, docs, shingle, percent))
     found = members.join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"), F.coalesce("node", "doc_id").alias("class_id"))
@@ -442,7 +452,7 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, node, n, component, in_slab, lead) of slabs with several components; lead is that of the first point."""
-    filed = entries.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    filed = entries.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     slabs = filed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("in_slab"), F.min_by("component", "node").alias("lead"))
     return stored(filed.join(slabs.where("c0 <> c1").select("key", "in_slab", "lead"), "key"), "mixed")
 
