@@ -235,18 +235,26 @@ def exchange(matrix: np.ndarray, own: np.ndarray, word: np.ndarray, side: np.nda
     k_side, k_word, k_part = np.nonzero(sides)
     k_n, mine = sides[k_side, k_word, k_part], own[k_word]
     gain = np.zeros((count, classes))
+    # Outside the word's own class a row's changes depend on its side, class and count alone, and most rows have the same few.
+    _, first, which = np.unique((k_n.astype(np.int64) * 2 + k_side) * classes + k_part, return_index=True, return_inverse=True)
+    # side 1 changes row c at column k, side 0 column c at row k.
+    cells = np.where((k_side[first] == 1)[:, None], matrix[:, k_part[first]].T, matrix[k_part[first]])
+    changes = _xlogx(cells + k_n[first][:, None]) - _xlogx(cells)
     for lo in range(0, len(k_n), _WEIGHED):
         at = slice(lo, lo + _WEIGHED)
-        w, k, m, o, before = k_word[at], k_part[at], k_n[at], mine[at], (k_side[at] == 1)[:, None]
-        # side 1 changes row c at column k, side 0 column c at row k.
-        cell = np.where(before, matrix[:, k].T, matrix[k])
+        w, k, m, o, u = k_word[at], k_part[at], k_n[at], mine[at], which[at]
         i = np.arange(len(w))
-        cell[i, o] -= m
-        inner = k == o
-        cell[inner] -= np.where(before, left[w], right[w])[inner]
-        cell[i[inner], o[inner]] -= itself[w[inner]]
-        np.maximum(cell, 0, out=cell)
-        change = _xlogx(cell + m[:, None]) - _xlogx(cell)
+        change, own_cell = changes[u], np.maximum(cells[u, o] - m, 0)
+        change[i, o] = _xlogx(own_cell + m) - _xlogx(own_cell)
+        inner = np.flatnonzero(k == o)
+        if len(inner):
+            w_in, o_in, m_in = w[inner], o[inner], m[inner]
+            cell = cells[u[inner]]
+            cell[np.arange(len(inner)), o_in] -= m_in
+            cell -= np.where((k_side[at][inner] == 1)[:, None], left[w_in], right[w_in])
+            cell[np.arange(len(inner)), o_in] -= itself[w_in]
+            np.maximum(cell, 0, out=cell)
+            change[inner] = _xlogx(cell + m_in[:, None]) - _xlogx(cell)
         starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else i
         np.add.at(gain, w[starts], np.add.reduceat(change, starts))  # a word has rows of both sides
     some, least = (x.sum(1)[:, None] for x in (left, right))
@@ -259,10 +267,12 @@ def exchange(matrix: np.ndarray, own: np.ndarray, word: np.ndarray, side: np.nda
     d, a, b, i = d[w, c], left[w, c], right[w, c], itself[w]
     gain[w, c] += _xlogx(d + b + a + i) - _xlogx(d + b) - _xlogx(d + a) + _xlogx(d)
     for totals, more in ((matrix.sum(1), least), (matrix.sum(0), some)):
-        rest = np.repeat(totals[None], count, 0)
-        rest[every, own] -= (more + alone)[:, 0]
-        np.maximum(rest, 0, out=rest)
-        gain -= _xlogx(rest + more + alone) - _xlogx(rest)
+        more = (more + alone)[:, 0]
+        sums, which = np.unique(more, return_inverse=True)
+        change = (_xlogx(totals + sums[:, None]) - _xlogx(totals))[which]
+        rest = np.maximum(totals[own] - more, 0)
+        change[every, own] = _xlogx(rest + more) - _xlogx(rest)
+        gain -= change
     # What all words have left, and the texts' ends, are no classes to go to.
     other, end = _own(classes)
     gain[:, end] = -np.inf
@@ -430,15 +440,20 @@ def _far_surroundings(sent):
     return each
 
 
+#: In place of a class, of the row with a word's own count, which comes before its neighbours' and spares a join by word.
+_ITSELF = -1
+
+
 def _exchanging(sent):
-    """(h, part) from rows (h, at, n, own) sorted by h: the class of each word after the exchange."""
+    """(h, n, part) from rows (h, at, n, own) sorted by h and at: each word with its class after the exchange."""
 
     def decided(t: pa.Table) -> pa.RecordBatch:
         matrix, classes = sent.value, len(sent.value)
         h, at, n, own = (t.column(i).to_numpy() for i in range(4))
-        begins = np.concatenate([[True], h[1:] != h[:-1]])
-        part = exchange(matrix, own[begins], np.cumsum(begins) - 1, at // classes, at % classes, n)
-        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(part)], ["h", "part"])
+        begins = at == _ITSELF
+        word, at, beside = (np.cumsum(begins) - 1)[~begins], at[~begins], n[~begins]
+        part = exchange(matrix, own[begins], word, at // classes, at % classes, beside)
+        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(n[begins]), pa.array(part)], ["h", "n", "part"])
 
     return _by_word(decided)
 
@@ -493,24 +508,27 @@ def sweep(column: DataFrame, vocabulary: DataFrame, classes: int, turn: int) ->
             matrix[(part, mine) if side == 0 else (mine, part)] += n
         moving = moving.unionByName(met.where("met").select("h", (F.col("side") * classes + F.col("part")).alias("at"), "n"))
         beyond = [far, met]
-    moving = moving.join(vocabulary.select("h", F.col("part").alias("own")), "h")
-    moving = moving.select("h", "at", "n", "own").repartition("h").sortWithinPartitions("h", "at")
-    moved = moving.mapInArrow(_exchanging(spark.sparkContext.broadcast(matrix)), "h long, part long")
-    after = vocabulary.join(moved.withColumnRenamed("part", "_to"), "h", "left").select("h", "n", F.coalesce("_to", "part").alias("part"))
-    after = stored(after, "vocabulary")
+    moving = moving.select("h", "at", "n", F.lit(0).cast("long").alias("own"))
+    moving = moving.union(vocabulary.select("h", F.lit(_ITSELF).cast("long"), "n", F.col("part").cast("long"))).repartition("h").sortWithinPartitions("h", "at")
+    after = stored(moving.mapInArrow(_exchanging(spark.sparkContext.broadcast(matrix)), "h long, n long, part long"), "vocabulary")
     discard(near, *beyond)
     return after
 
 
 def _leaving(sent):
-    """(h, part) from rows (h, at, n) sorted by h and at, so that sums are the same in every run."""
+    """(h, n, part) from rows (h, at, n) sorted by h and at, so that sums are the same in every run; core words, which are known, stay."""
 
     def decided(t: pa.Table) -> pa.RecordBatch:
-        matrix, classes = sent.value, len(sent.value)
+        matrix, words, parts = sent.value
+        classes = len(matrix)
         h, at, n = (t.column(i).to_numpy() for i in range(3))
-        begins = np.concatenate([[True], h[1:] != h[:-1]])
-        part = leave(matrix, np.cumsum(begins) - 1, at // classes, at % classes, n)
-        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(part)], ["h", "part"])
+        begins = at == _ITSELF
+        part = found(parts, words, h[begins].view(U), _own(classes)[0])
+        if len(at) > len(part):
+            some, word = np.unique((np.cumsum(begins) - 1)[~begins], return_inverse=True)
+            at, beside = at[~begins], n[~begins]
+            part[some] = leave(matrix, word, at // classes, at % classes, beside)
+        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(n[begins]), pa.array(part)], ["h", "n", "part"])
 
     return _by_word(decided)
 
@@ -578,12 +596,10 @@ def train(texts: DataFrame, text_col: str = "text", classes: int = CLASSES, roun
 
     # Every other word, by its neighbours in the core.
     sent = spark.sparkContext.broadcast((words, part[order], classes))
-    near = column.mapInArrow(_neighbours(sent), "h long, at long, n long").groupBy("h", "at").agg(F.sum("n").alias("n"))
-    near = near.repartition("h").sortWithinPartitions("h", "at")
-    left = near.mapInArrow(_leaving(spark.sparkContext.broadcast(matrix)), "h long, part long")
-    left = left.unionByName(spark.createDataFrame(pd.DataFrame({"h": h, "part": part[: len(h)]}), "h long, part long"))
-    vocabulary = counted.join(left, "h", "left").select("h", "n", F.coalesce("part", F.lit(other)).alias("part"))
-    vocabulary = stored(vocabulary, "vocabulary")
+    near = column.mapInArrow(_neighbours(sent), "h long, at long, n long").union(counted.select("h", F.lit(_ITSELF).cast("long"), "n"))
+    # Dealt by word once, for the sums and for the choice.
+    near = near.repartition("h").groupBy("h", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("h", "at")
+    vocabulary = stored(near.mapInArrow(_leaving(spark.sparkContext.broadcast((matrix, words, part[order]))), "h long, n long, part long"), "vocabulary")
     for turn in range(sweeps):
         vocabulary = sweep(column, vocabulary, classes, turn)
 
