@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, most_frequent, small_batches, stored
-from .textkit import U, Words, as_text, slices
+from .textkit import U, Words, as_text, mix, slices
 
 #: Words whose exchange goes over several rounds; classes; words whose counts and classes are sent to all tasks, others are joined.
 CORE, CLASSES, KNOWN = 2048, 64, 1 << 19
@@ -91,10 +91,24 @@ def smoothed(matrix: np.ndarray, class_total: np.ndarray, class_words: np.ndarra
 
 def found(values: np.ndarray, sorted_keys: np.ndarray, wanted: np.ndarray, otherwise: int) -> np.ndarray:
     """The value of each wanted key, or ``otherwise``."""
+    return taken(values, places(sorted_keys, wanted), otherwise)
+
+
+def taken(values: np.ndarray, at: np.ndarray, otherwise: int) -> np.ndarray:
+    """The values there, or ``otherwise`` for -1."""
+    return np.where(at < 0, otherwise, values[at]).astype(np.int64) if len(values) else np.full(len(at), otherwise, np.int64)
+
+
+def places(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key is, or -1."""
     if not len(sorted_keys):
-        return np.full(len(wanted), otherwise, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, values[at], otherwise).astype(np.int64)
+        return np.full(len(wanted), -1, np.int64)
+    order = np.argsort(wanted)  # neighbouring searches touch the same memory
+    ascending = wanted[order]
+    near = np.minimum(np.searchsorted(sorted_keys, ascending), len(sorted_keys) - 1)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.where(sorted_keys[near] == ascending, near, -1)
+    return at
 
 
 def _with_ends(w: Words, values: np.ndarray, end) -> np.ndarray:
@@ -136,6 +150,71 @@ def _in_stretches(counts: Iterator[pa.Table], keys: list[str], most: int = _STRE
     pa.default_memory_pool().release_unused()
 
 
+#: A word's rows on their way to it, and its row when they are gathered. own: its class in the row of the vocabulary, which has its count n;
+#: COUNTS in rows of packed counts; MET in a row of one count, packed in n; PAIRS in those of class bigrams, which are no word's.
+_ROWS = "h long, n long, own long, counts binary"
+_COUNTS, _MET, _PAIRS = -1, -2, -3
+#: Counts travel as one number of 64 bits, the place above the count.
+_BITS = 43
+_NO_COUNTS = "X''"
+
+
+def _rows_of(h: np.ndarray, n, own, begins: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (h, n, own, counts); the counts of each begin in ``at`` and ``counts`` at its ``begins``, which has one more than there are rows."""
+    packed = pa.py_buffer((at.astype(np.int64) << _BITS) | counts.astype(np.int64))
+    binary = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((begins * 8).astype(np.int32)), packed])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(np.broadcast_to(x, len(h)).astype(np.int64)) for x in (n, own)), binary], ["h", "n", "own", "counts"])
+
+
+def _unpacked(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, at, count) of packed counts."""
+    offsets = np.frombuffer(counts.buffers()[1], np.int32)[counts.offset : counts.offset + len(counts) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = np.frombuffer(counts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
+    return np.repeat(np.arange(len(counts)), np.diff(offsets) // 8), packed >> _BITS, packed & ((1 << _BITS) - 1)
+
+
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their n."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def _packed(counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, most: int = _STRETCH // 2) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a stretch with its counts, from (distinct hashes, number of hash * size + at, n) of slices."""
+    held, rows = [], 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        if rows:
+            words, number = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
+            ends = np.cumsum([len(h) for h, _, _ in held])
+            keys = [number[end - len(h) : end][key // size] * size + key % size for (h, key, _), end in zip(held, ends, strict=True)]
+            key, n = _added(np.concatenate(keys), np.concatenate([n for _, _, n in held]))
+            held.clear()
+            del keys, number
+            word, at = np.divmod(key, size)
+            begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            step = 1 << 16
+            for lo in range(0, len(begins), step):
+                some = begins[lo : lo + step]
+                end = begins[lo + step] if lo + step < len(begins) else len(key)
+                yield _rows_of(words[word[some]], 0, _COUNTS, np.append(some, end) - some[0], at[some[0] : end], n[some[0] : end])
+
+    for hashes, key, n in counts:
+        held.append((hashes, key, n))
+        rows += len(key)
+        del hashes, key, n  # nothing of a stretch stays while the next one is counted
+        if rows >= most:
+            yield from given()
+            rows = 0
+    yield from given()
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = (pa.table({"h": w.numbered[1].view(np.int64), "n": np.bincount(w.numbered[0], minlength=len(w.numbered[1]))}) for _, w in _texts(batches))
     return _in_stretches(counts, ["h"])
@@ -356,12 +435,12 @@ def _moves(sent, classes: int):
 
 
 def _neighbours(sent):
-    """(h, at, n): how often words outside the core stood after (at: class) or before (at: classes + class) core words."""
+    """Rows of counts: how often words outside the core stood after (at: class) or before (at: classes + class) core words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "at"])
+        return _packed((counts(w, *sent.value) for _, w in _texts(batches)), 2 * sent.value[2])
 
-    def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int) -> pa.Table:
+    def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, distinct = w.numbered
         end = _own(classes)[1]
         part = _with_ends(w, found(parts, words, distinct, -1)[codes], end)
@@ -372,90 +451,121 @@ def _neighbours(sent):
         for shift, near in ((0, before), (classes, after)):
             some = (part < 0) & (near >= 0)
             keys.append(code[some].astype(np.int64) * size + shift + near[some])
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.table({"h": distinct[key // size].view(np.int64), "at": key % size, "n": n})
+        return distinct, *np.unique(np.concatenate(keys), return_counts=True)
 
     return each
 
 
+def _moves_now(known: np.ndarray, distinct: np.ndarray, classes: int, turn: int) -> np.ndarray:
+    """Which words may move: this round's half, those that have found no class yet and those whose class isn't known here."""
+    return (distinct % U(2) == U(turn % 2)) | (known < 0) | (known == _own(classes)[0])
+
+
 def _surroundings(sent):
-    """(h, at, n): how often each word of this round's half stood after (at: class) or before (classes + class) words whose class is
-    known here, or next to itself (2 * classes); and, from 2 * classes + 1 on, the class bigrams of such words, h being 0."""
+    """Rows of counts: how often each word that may move stood after (at: class) or before (classes + class) words whose class is known
+    here, or next to itself (2 * classes); and one of the class bigrams of such words, as class * classes + class."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "at"], _STRETCH // 2)  # most rows are of a word that is there once
-
-    def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> pa.Table:
+        classes = sent.value[2]
+        pairs = np.zeros(classes * classes, np.int64)
+        yield from _packed((counts(w, pairs, *sent.value) for _, w in _texts(batches)), 2 * classes + 1)
+        at, task = np.flatnonzero(pairs), TaskContext.get()
+        # Such rows are no word's, and any task may add them up.
+        yield _rows_of(mix(np.array([task.partitionId() if task else 0], U)), 0, _PAIRS, np.array([0, len(at)]), at, pairs[at])
+
+    def counts(w: Words, pairs: np.ndarray, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, distinct = w.numbered
         end, size = _own(classes)[1], 2 * classes + 1
         known = found(parts, words, distinct, -1)
         part = _with_ends(w, known[codes], end)
-        moves = _with_ends(w, ((distinct % U(2) == U(turn % 2)) | (known < 0) | (known == _own(classes)[0]))[codes], False)
+        moves = _with_ends(w, _moves_now(known, distinct, classes, turn)[codes], False)
         code = _with_ends(w, codes.astype(np.int64), -1)
         before, ahead = np.concatenate([[end], part[:-1]]), np.concatenate([[-1], code[:-1]])
         after = np.concatenate([part[1:], [end]])
         keys = [code[some] * size + shift + near[some] for shift, near in ((0, before), (classes, after)) for some in [moves & (near >= 0)]]
         same = moves & (code == ahead)
-        key, n = np.unique(np.concatenate([*keys, code[same] * size + 2 * classes]), return_counts=True)
         both = (before >= 0) & (part >= 0)
-        pairs = np.bincount(before[both] * classes + part[both], minlength=classes * classes)
-        at = np.flatnonzero(pairs)
-        return pa.table({"h": np.concatenate([distinct[key // size].view(np.int64), 0 * at]), "at": np.concatenate([key % size, size + at]), "n": np.concatenate([n, pairs[at]])})
+        pairs += np.bincount(before[both] * classes + part[both], minlength=classes * classes)
+        return distinct, *np.unique(np.concatenate([*keys, code[same] * size + 2 * classes]), return_counts=True)
 
     return each
 
 
 def _far_surroundings(sent):
-    """(h, side, far, part, fresh, n): what stood before (side 0) or after (1) the words of _surroundings where one of both isn't known here.
-
-    far: the neighbour, if it isn't, else part is its class; fresh: the word itself isn't.
-    """
+    """(h, side, far, n): the neighbours ``far`` before (side 0) or after (1) the words of _surroundings whose class isn't known here."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "side", "far", "part", "fresh"], _STRETCH // 4)
+        return _in_stretches((counts(w, *sent.value) for _, w in _texts(batches)), ["h", "side", "far"], _STRETCH // 4)
 
     def counts(w: Words, words: np.ndarray, parts: np.ndarray, classes: int, turn: int) -> pa.Table:
         codes, distinct = w.numbered
-        end = _own(classes)[1]
         known = found(parts, words, distinct, -1)
-        part = _with_ends(w, known[codes], end)
-        moves = _with_ends(w, ((distinct % U(2) == U(turn % 2)) | (known < 0) | (known == _own(classes)[0]))[codes], False)
+        moves = _moves_now(known, distinct, classes, turn)
         code = _with_ends(w, codes.astype(np.int64), -1)
-        tables = []
-        for side in (0, 1):
-            near = np.concatenate([[-1], code[:-1]]) if side == 0 else np.concatenate([code[1:], [-1]])
-            its = np.concatenate([[end], part[:-1]]) if side == 0 else np.concatenate([part[1:], [end]])
-            some = np.flatnonzero(moves & ((its < 0) | (part < 0)))
-            far, mine = its[some] < 0, code[some]
-            key, n = np.unique(mine * (classes + len(distinct)) + np.where(far, classes + near[some], its[some]), return_counts=True)
-            mine, there = np.divmod(key, classes + len(distinct))
-            far = there >= classes
-            hashes = distinct.view(np.int64)
-            tables.append(pa.table({
-                "h": hashes[mine], "side": np.full(len(key), side), "far": pa.array(hashes[np.maximum(there - classes, 0)], mask=~far) if len(hashes) else pa.nulls(0, pa.int64()),
-                "part": np.where(far, -1, there), "fresh": known[mine] < 0, "n": n,
-            }))
+        far = np.flatnonzero(_with_ends(w, (known < 0)[codes], False))
+        tables, hashes, most = [], distinct.view(np.int64), max(len(distinct), 1)
+        for side, step in ((0, 1), (1, -1)):
+            there = far[far > 0] if side else far  # nothing is before the first, and an end after the last
+            mine, its = code[there + step], code[there]
+            some = np.flatnonzero((mine >= 0) & moves[mine]) if len(moves) else mine
+            key, n = np.unique(mine[some] * most + its[some], return_counts=True)
+            tables.append(pa.table({"h": hashes[key // most], "side": np.full(len(key), side), "far": hashes[key % most], "n": n}))
         return pa.concat_tables(tables)
 
     return each
 
 
-#: In place of a class, of the row with a word's own count, which comes before its neighbours' and spares a join by word.
-_ITSELF = -1
+def _gathered(sent):
+    """One row for each word, its counts added up, from rows sorted by h; and one of the class bigrams of words among which one isn't
+    known to all tasks, and of all _PAIRS that came. ``sent``: the known words and the number of classes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes = sent.value
+        size, pairs = 2 * classes + 1, np.zeros((classes, classes), np.int64)
+
+        def decided(t: pa.Table) -> pa.RecordBatch:
+            h, n, own = (t.column(i).to_numpy() for i in range(3))
+            row, at, count = _unpacked(t.column(3).combine_chunks())
+            bigrams = own[row] == _PAIRS
+            np.add.at(pairs.reshape(-1), at[bigrams], count[bigrams])
+            row, at, count = row[~bigrams], at[~bigrams], count[~bigrams]
+            met = np.flatnonzero(own == _MET)
+            row, at, count = np.concatenate([row, met]), np.concatenate([at, n[met] >> _BITS]), np.concatenate([count, n[met] & ((1 << _BITS) - 1)])
+            its = np.flatnonzero(own >= 0)
+            word = np.searchsorted(h[its], h)[row]
+            h, n, own = h[its], n[its], own[its]
+            # Each pair once: a word that isn't known with what is before it, and with what is after it if that is known.
+            fresh = found(np.zeros(len(words), np.int64), words, h.view(U), 1)[word] == 1
+            side, part, mine = at // classes, at % classes, own[word]
+            close = np.arange(len(at)) < len(at) - len(met)
+            for some, cell in ((fresh & (side == 0), (part, mine)), (fresh & (side == 1) & close, (mine, part))):
+                np.add.at(pairs, tuple(x[some] for x in cell), count[some])
+            key, count = _added(word * size + at, count)
+            return _rows_of(h, n, own, np.searchsorted(key, np.arange(len(h) + 1) * size), key % size, count)
+
+        yield from _by_word(decided)(batches)
+        at = np.flatnonzero(pairs)
+        yield _rows_of(np.zeros(1, U), 0, _PAIRS, np.array([0, len(at)]), at, pairs.reshape(-1)[at])
+
+    return each
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(batch.column(0))[1:]], ["at", "n"])
 
 
 def _exchanging(sent):
-    """(h, n, part) from rows (h, at, n, own) sorted by h and at: each word with its class after the exchange."""
+    """(h, n, part) from the rows of _gathered: each word with its class after the exchange."""
 
-    def decided(t: pa.Table) -> pa.RecordBatch:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, classes = sent.value, len(sent.value)
-        h, at, n, own = (t.column(i).to_numpy() for i in range(4))
-        begins = at == _ITSELF
-        word, at, beside = (np.cumsum(begins) - 1)[~begins], at[~begins], n[~begins]
-        part = exchange(matrix, own[begins], word, at // classes, at % classes, beside)
-        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(n[begins]), pa.array(part)], ["h", "n", "part"])
+        for batch in batches:
+            word, at, beside = _unpacked(batch.column(3))
+            part = exchange(matrix, batch.column(2).to_numpy(), word, at // classes, at % classes, beside)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part)], ["h", "n", "part"])
 
-    return _by_word(decided)
+    return each
 
 
 def _by_word(decided):
@@ -477,58 +587,60 @@ def _by_word(decided):
     return each
 
 
+def _dealt(*rows: DataFrame) -> DataFrame:
+    """Rows of words, each word's side by side in one task: moved and sorted once, packed as they are."""
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.union(more)
+    return every.repartition("h").sortWithinPartitions("h")
+
+
 def sweep(column: DataFrame, vocabulary: DataFrame, classes: int, turn: int) -> DataFrame:
     """``vocabulary`` (h, n, part) after a round over all words: every other one may move, and so may those that have found no class yet
     and those beyond the KNOWN most frequent ones.
 
-    One pass over the texts counts each word's neighbours by class; the class bigrams are sums of these. If there are words beyond the KNOWN
-    most frequent ones, a second pass counts the neighbours that are such words, which meet their classes in a join by word.
+    One pass over the texts counts each word's neighbours by class, and class bigrams. If there are words beyond the KNOWN most frequent
+    ones, a second pass counts the neighbours that are such words, which meet their classes in a join by word. What a word has of both
+    comes to it packed, with its own class, and is added up there once; the class bigrams of words beyond are sums of it.
     """
     spark = column.sparkSession
     top = most_frequent(vocabulary, KNOWN).select("h", "part").toArrow()
     known = top["h"].to_numpy().view(U)
     order = np.argsort(known)
     sent = spark.sparkContext.broadcast((known[order], top["part"].to_numpy()[order].astype(np.int8), classes, turn))
-    near = column.mapInArrow(_surroundings(sent), "h long, at long, n long")
-    near = stored(near.repartition("h").groupBy("h", "at").agg(F.sum("n").alias("n")), "surroundings")
-    matrix = np.zeros((classes, classes))
-    for at, n in near.where(F.col("at") > 2 * classes).select("at", "n").collect():
-        matrix[divmod(at - 2 * classes - 1, classes)] += n
-    moving, beyond = near.where(F.col("at") <= 2 * classes), []
+    rows = [column.mapInArrow(_surroundings(sent), _ROWS), vocabulary.select("h", "n", F.col("part").cast("long"), F.expr(_NO_COUNTS))]
     if vocabulary.count() > len(known):
-        own = vocabulary.select(F.col("h").alias("_h"), F.col("part").alias("_part"))
-        far = stored(column.mapInArrow(_far_surroundings(sent), "h long, side long, far long, part long, fresh boolean, n long"), "far")
-        # Rows of known neighbours have no word to meet and stay beside the join.
-        met = far.where("far IS NOT NULL").join(own, F.col("far") == F.col("_h")).select("h", "side", F.col("_part").cast("long").alias("part"), "fresh", F.lit(True).alias("met"), "n")
-        met = met.unionByName(far.where("far IS NULL").select("h", "side", "part", "fresh", F.lit(False).alias("met"), "n"))
-        met = stored(met.groupBy("h", "side", "part", "fresh", "met").agg(F.sum("n").alias("n")), "far-by-class")
-        # Each pair once: a new word with what is before it, and with what is after it if that isn't new.
-        pairs = met.where("fresh AND (side = 0 OR NOT met)").join(own, F.col("h") == F.col("_h")).groupBy("side", "part", "_part").agg(F.sum("n").alias("n"))
-        for side, part, mine, n in pairs.collect():
-            matrix[(part, mine) if side == 0 else (mine, part)] += n
-        moving = moving.unionByName(met.where("met").select("h", (F.col("side") * classes + F.col("part")).alias("at"), "n"))
-        beyond = [far, met]
-    moving = moving.select("h", "at", "n", F.lit(0).cast("long").alias("own"))
-    moving = moving.union(vocabulary.select("h", F.lit(_ITSELF).cast("long"), "n", F.col("part").cast("long"))).repartition("h").sortWithinPartitions("h", "at")
-    after = stored(moving.mapInArrow(_exchanging(spark.sparkContext.broadcast(matrix)), "h long, n long, part long"), "vocabulary")
-    discard(near, *beyond)
+        own = vocabulary.select(F.col("h").alias("_h"), F.col("part").cast("long").alias("_part"))
+        far = column.mapInArrow(_far_surroundings(sent), "h long, side long, far long, n long").join(own, F.col("far") == F.col("_h"))
+        packed = F.shiftleft(F.col("side") * classes + F.col("_part"), _BITS).bitwiseOR(F.col("n"))
+        rows.append(far.select("h", packed, F.lit(_MET).cast("long"), F.expr(_NO_COUNTS)))
+    near = stored(_dealt(*rows).mapInArrow(_gathered(spark.sparkContext.broadcast((known[order], classes))), _ROWS), "surroundings")
+    matrix = np.zeros((classes, classes))
+    for at, n in near.where(F.col("own") == _PAIRS).select("counts").mapInArrow(_places, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        matrix[divmod(at, classes)] = n
+    after = stored(near.where("own >= 0").mapInArrow(_exchanging(spark.sparkContext.broadcast(matrix)), "h long, n long, part long"), "vocabulary")
+    discard(near)
     return after
 
 
 def _leaving(sent):
-    """(h, n, part) from rows (h, at, n) sorted by h and at, so that sums are the same in every run; core words, which are known, stay."""
+    """(h, n, part) from rows sorted by h; core words, which are known, stay."""
 
     def decided(t: pa.Table) -> pa.RecordBatch:
         matrix, words, parts = sent.value
         classes = len(matrix)
-        h, at, n = (t.column(i).to_numpy() for i in range(3))
-        begins = at == _ITSELF
-        part = found(parts, words, h[begins].view(U), _own(classes)[0])
-        if len(at) > len(part):
-            some, word = np.unique((np.cumsum(begins) - 1)[~begins], return_inverse=True)
-            at, beside = at[~begins], n[~begins]
-            part[some] = leave(matrix, word, at // classes, at % classes, beside)
-        return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(n[begins]), pa.array(part)], ["h", "n", "part"])
+        h, n, own = (t.column(i).to_numpy() for i in range(3))
+        its = np.flatnonzero(own != _COUNTS)
+        row, at, count = _unpacked(t.column(3).combine_chunks())
+        word = np.searchsorted(h[its], h)[row]
+        h, n = h[its], n[its]
+        part = found(parts, words, h.view(U), _own(classes)[0])
+        if len(at):
+            # Sorted, so that sums are the same in every run.
+            key, count = _added(word * 2 * classes + at, count)
+            some, word = np.unique(key // (2 * classes), return_inverse=True)
+            part[some] = leave(matrix, word, key // classes % 2, key % classes, count)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(part)], ["h", "n", "part"])
 
     return _by_word(decided)
 
@@ -549,9 +661,12 @@ def _class_pairs(sent):
         part = found(parts, known, distinct, -1)
         # A number for each class, and one for each other word.
         number = _with_ends(w, np.where(part >= 0, part, classes + np.arange(len(part)))[codes], classes - 1)
-        top = classes + len(part)
-        key, n = np.unique(np.concatenate([[classes - 1], number[:-1]]) * top + number, return_counts=True)
-        v, w_ = key // top, key % top
+        top, before = classes + len(part), np.concatenate([[classes - 1], number[:-1]])
+        here = (before < classes) & (number < classes)
+        pairs = np.bincount(before[here] * classes + number[here], minlength=classes * classes)
+        at = np.flatnonzero(pairs)
+        key, n = np.unique(before[~here] * top + number[~here], return_counts=True)
+        v, w_, n = np.append(at // classes, key // top), np.append(at % classes, key % top), np.append(pairs[at], n)
         columns = {"n": n}
         for name, x in (("v", v), ("w", w_)):
             rare = x >= classes
@@ -596,9 +711,7 @@ def train(texts: DataFrame, text_col: str = "text", classes: int = CLASSES, roun
 
     # Every other word, by its neighbours in the core.
     sent = spark.sparkContext.broadcast((words, part[order], classes))
-    near = column.mapInArrow(_neighbours(sent), "h long, at long, n long").union(counted.select("h", F.lit(_ITSELF).cast("long"), "n"))
-    # Dealt by word once, for the sums and for the choice.
-    near = near.repartition("h").groupBy("h", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("h", "at")
+    near = _dealt(column.mapInArrow(_neighbours(sent), _ROWS), counted.select("h", "n", F.lit(0).cast("long"), F.expr(_NO_COUNTS)))
     vocabulary = stored(near.mapInArrow(_leaving(spark.sparkContext.broadcast((matrix, words, part[order]))), "h long, n long, part long"), "vocabulary")
     for turn in range(sweeps):
         vocabulary = sweep(column, vocabulary, classes, turn)
@@ -642,14 +755,15 @@ def _score(sent, whole: bool):
         for rows, w in _texts(batches, 2):
             codes, distinct = w.numbered
             n = rows.num_rows
-            parts = found(m.known_part, m.known, distinct, m.unseen if whole else -1)
-            part = _with_ends(w, parts[codes], m.end_part)
-            count = _with_ends(w, found(m.known_counts, m.known, distinct, 0)[codes], m.end_count)
+            at = places(m.known, distinct)
+            parts, counts = taken(m.known_part, at, m.unseen if whole else -1), taken(m.known_counts, at, 0)
+            part, count = _with_ends(w, parts[codes], m.end_part), _with_ends(w, counts[codes], m.end_count)
+            base = _with_ends(w, np.log10(m.base(counts))[codes], np.log10(m.base(m.end_count)))
             before = np.concatenate([[m.end_part], part[:-1]])
             own, here = part >= 0, (part >= 0) & (before >= 0)
             row = np.repeat(np.arange(n), np.diff(w.first) + 1)
             full = np.log10(m.full(before, part, count))  # of tokens that are known here; others are left out
-            sums = [np.bincount(row, np.where(may, x, 0), minlength=n) for x, may in (((count > 0).astype(float), own), (np.log10(m.base(count)), own), (full, here))]
+            sums = [np.bincount(row, np.where(may, x, 0), minlength=n) for x, may in (((count > 0).astype(float), own), (base, own), (full, here))]
             keys = key + np.arange(n)
             key += n
             known = [keys, rows.column(0), rows.column(1), np.diff(w.first) + 1, sums[0].astype(np.int64), sums[1], sums[2]]
