@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import GENERIC, ResampleError
 from ..plans.plan import Plan, Step
 from ..plans.weights import nearest_index, weights
-from .relational import KEYS, _blend, _small, alpha_nonconstant, channels_of, divided, narrow, premultiplied, premultiply, unpremultiply, weight_rows, within
+from .relational import KEYS, _blend, _sent, _small, alpha_nonconstant, channels_of, divided, in_order, narrow, premultiplied, premultiply, unpremultiply, weight_rows, within
 
 #: Samples of a plane that are worth a task of their own.
 AREA = 256 * 256
@@ -50,6 +50,8 @@ def _vertical(px: DataFrame, step: Step, plan: Plan, rows: int) -> DataFrame:
     taps = weight_rows(px.sparkSession, step.src[1], step.dst[1], step.filter).withColumn("of", F.floor(F.col("out_idx") / rows).cast("int"))
     tap = F.col("wq") if format.fixed_point else F.col("w").cast("float").cast("double") if plan.single else F.col("w")
     met = px.join(taps, (px["y"] == taps["in_idx"]) & (px["band"] == taps["of"]))
+    if format.floating:
+        met = in_order(met, ["band", "x"], _sent(step.src[1], step.dst[1], step.filter))
     summed = met.groupBy("image_id", "band", "x", F.col("out_idx").alias("y")).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
     return summed.select("image_id", "band", "y", "x", *(narrow(F.col(c), format).alias(c) for c in names))
 
@@ -58,7 +60,10 @@ def _horizontal(px: DataFrame, step: Step, plan: Plan) -> DataFrame:
     names, format = channels_of(px), plan.format
     taps = weight_rows(px.sparkSession, step.src[0], step.dst[0], step.filter)
     tap = F.col("wq") if format.fixed_point else F.col("w").cast("float").cast("double") if plan.single else F.col("w")
-    summed = px.join(taps, px["x"] == taps["in_idx"]).groupBy("image_id", "band", "y", F.col("out_idx").alias("x")).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
+    met = px.join(taps, px["x"] == taps["in_idx"])
+    if format.floating:
+        met = in_order(met, ["band", "y"], _sent(step.src[0], step.dst[0], step.filter))
+    summed = met.groupBy("image_id", "band", "y", F.col("out_idx").alias("x")).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
     return summed.select("image_id", "band", "y", "x", *(narrow(F.col(c), format).alias(c) for c in names))
 
 

@@ -49,13 +49,29 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 # ---- axis passes -------------------------------------------------------------------------------------------------
 
 
+def _sent(in_size: int, out_size: int, which: str) -> bool:
+    """Whether the taps of an axis are few enough to be sent to all tasks."""
+    return out_size * 2 * find_filter(which).radius * max(1.0, in_size / out_size) <= MOST_SENT
+
+
 def weight_rows(spark: SparkSession, in_size: int, out_size: int, which: str) -> DataFrame:
     """(out_idx, in_idx, tap, w, wq): within MOST_SENT rows made here and sent to all tasks, beyond that made by Spark and joined by shuffle."""
-    if out_size * 2 * find_filter(which).radius * max(1.0, in_size / out_size) > MOST_SENT:
+    if not _sent(in_size, out_size, which):
         sizes = spark.range(1).select(F.lit(in_size).alias("in_size"), F.lit(out_size).alias("out_size"))
         return weight_frame(sizes, which).select(*(F.col(c).cast("int").alias(c) for c in ("out_idx", "in_idx", "tap")), "w", "wq")
     rows = weights(in_size, out_size, which).rows()
-    return _small(spark.createDataFrame(rows, "out_idx int, in_idx int, tap int, w double, wq long"), len(rows))
+    return F.broadcast(spark.createDataFrame(rows, "out_idx int, in_idx int, tap int, w double, wq long"))
+
+
+def in_order(met: DataFrame, place: list[str], sent: bool) -> DataFrame:
+    """``met``, pixels beside the taps that use them, with the rows of an output side by side and by their source.
+
+    Sums of doubles are added so, as many lie on a tie of the precision that they are stored in, where the last bit decides, and neither
+    hash maps nor exchanges keep an order. Rows side by side stay one sum where a map spills. Where taps weren't ``sent``, their join has
+    parted the pixels of an image, which meet again by image_id and ``place``.
+    """
+    met = met if sent else met.repartition("image_id", *place)
+    return met.sortWithinPartitions("image_id", *place, "out_idx", "in_idx", *channels_of(met))
 
 
 def half(x: Column) -> Column:
@@ -86,6 +102,8 @@ def axis_pass(px: DataFrame, axis: str, in_size: int, out_size: int, which: str,
     other = "y" if axis == "x" else "x"
     tap = F.col("wq") if format.fixed_point else F.col("w").cast("float").cast("double") if single else F.col("w")
     met, flag = px.join(taps, px[axis] == taps["in_idx"]), _flag(px)
+    if format.floating:
+        met = in_order(met, [other], _sent(in_size, out_size, which))
     summed = met.groupBy("image_id", other, F.col("out_idx").alias(axis), *flag).agg(*(F.sum(F.col(c) * tap).alias(c) for c in names))
     return summed.select(*KEYS, *(narrow(F.col(c), format).alias(c) for c in names), *flag)
 
